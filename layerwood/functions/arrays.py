@@ -83,3 +83,9 @@ def category_subset(number, arity) -> Column:
 def subset_count(arity) -> Column:
     """Number of distinct two-sided splits of a category set: 2^(k-1)-1."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), _col(arity).cast("int") - 1) - 1
+
+
+def models_mean(vector: str, models: int, num_classes: int) -> str:
+    """SQL for the mean of a known number of concatenated class vectors."""
+    sums = [" + ".join(f"get({vector}, {m * num_classes + k})" for m in range(models)) for k in range(num_classes)]
+    return "array(" + ", ".join(f"({s}) / {models}D" for s in sums) + ")"

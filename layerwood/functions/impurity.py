@@ -1,46 +1,45 @@
-"""Impurity and gain over class counts held in a list of columns."""
+"""Impurity and gain as SQL expressions over class counts.
 
-from __future__ import annotations
-
-from functools import reduce
+The arguments are SQL expressions (mostly column names) and so are the results;
+use them with ``F.expr`` or ``selectExpr``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-INVALID_GAIN = -1.7976931348623157e308
+# Fixed value: the smallest double, the gain of a cut that must not be taken.
+INVALID_GAIN = "-1.7976931348623157E308D"
+LARGEST = "1.7976931348623157E308D"
 
 
-def total(counts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, counts)
+def total(counts: list[str]) -> str:
+    return "(" + " + ".join(counts) + ")"
 
 
-def gini(counts: list[Column]) -> Column:
+def gini(counts: list[str]) -> str:
     n = total(counts)
-    squares = reduce(lambda a, b: a + b, [c * c for c in counts])
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(1.0).cast("double") - squares / (n * n))
+    squares = total([f"{c} * {c}" for c in counts])
+    return f"(CASE WHEN {n} = 0 THEN 0D ELSE 1D - {squares} / ({n} * {n}) END)"
 
 
-def entropy(counts: list[Column]) -> Column:
+def entropy(counts: list[str]) -> str:
     n = total(counts)
-    parts = [F.when(c == 0, F.lit(0.0)).otherwise(-(c / n) * F.log2(c / n)) for c in counts]
-    return F.when(n == 0, F.lit(0.0)).otherwise(reduce(lambda a, b: a + b, parts))
+    parts = total([f"(CASE WHEN {c} = 0 THEN 0D ELSE -({c} / {n}) * log2({c} / {n}) END)" for c in counts])
+    return f"(CASE WHEN {n} = 0 THEN 0D ELSE {parts} END)"
 
 
-def variance(count: Column, sum_: Column, sum_squares: Column) -> Column:
-    return F.when(count == 0, F.lit(0.0)).otherwise(
-        (sum_squares - sum_ * sum_ / count) / count)
+def variance(count: str, sum_: str, sum_squares: str) -> str:
+    return f"(CASE WHEN {count} = 0 THEN 0D ELSE ({sum_squares} - {sum_} * {sum_} / {count}) / {count} END)"
 
 
 IMPURITY = {"gini": gini, "entropy": entropy}
 
 
-def split_gain(parent: list[Column], left: list[Column], impurity: str = "gini",
-               min_instances: int = 1, min_info_gain: float = 1e-6) -> Column:
+def split_gain(parent: list[str], left: list[str], impurity: str = "gini",
+               min_instances: int = 1, min_info_gain: float = 1e-6) -> str:
     """Gain of a cut; an invalid cut gets the smallest double."""
     measure = IMPURITY[impurity]
-    right = [p - l for p, l in zip(parent, left)]
-    n, n_left = total(parent), total(left)
-    n_right = n - n_left
-    gain = measure(parent) - n_left / n * measure(left) - n_right / n * measure(right)
-    enough = (n_left >= min_instances) & (n_right >= min_instances)
-    return F.when(enough & (gain >= min_info_gain), gain).otherwise(F.lit(INVALID_GAIN))
+    right = [f"({p} - {l})" for p, l in zip(parent, left)]
+    n, n_left, n_right = total(parent), total(left), total(right)
+    gain = f"({measure(parent)} - {n_left} / {n} * {measure(left)} - {n_right} / {n} * {measure(right)})"
+    return (f"(CASE WHEN {n_left} >= {min_instances} AND {n_right} >= {min_instances} "
+            f"AND {gain} >= {min_info_gain!r}D THEN {gain} ELSE {INVALID_GAIN} END)")

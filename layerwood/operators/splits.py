@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import key_hash, mix
-from ..functions.impurity import IMPURITY, INVALID_GAIN, split_gain, total
+from ..functions.impurity import IMPURITY, INVALID_GAIN, LARGEST, split_gain, total
 
 CONTINUOUS, ORDERED, UNORDERED = 0, 1, 2
 CUT_SALT = 104729
@@ -134,36 +134,38 @@ def node_histogram(points: DataFrame, frontier: DataFrame, num_classes: int, wit
                      F.coalesce(F.get("bins", F.col("c.feature")), F.lit(0)).alias("bin")))
     cells = cells.withColumn("bin", bin_code(F.col("bin"), F.col("kind"), F.col("cut")))
     return merge_histogram(cells.select(*CELL, "bin", *[
-        F.when(F.col("label") == k, F.col("w")).otherwise(F.lit(0)).alias(f"c{k}")
-        for k in range(num_classes)]), num_classes)
+        F.expr(f"if(label = {k}, cast(w AS double), 0D) AS c{k}") for k in range(num_classes)]), num_classes)
 
 
 def merge_histogram(partial: DataFrame, num_classes: int) -> DataFrame:
-    return partial.groupBy(*CELL, "bin").agg(
-        *[F.sum(F.col(c).cast("double")).alias(c) for c in count_columns(num_classes)])
+    return partial.groupBy(*CELL, "bin").agg({c: "sum" for c in count_columns(num_classes)}).selectExpr(
+        *CELL, "bin", *[f"`sum({c})` AS {c}" for c in count_columns(num_classes)])
+
+
+def _over(order: str = "") -> str:
+    cells = "PARTITION BY " + ", ".join(CELL)
+    frame = f" ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW" if order else ""
+    return f"OVER ({cells}{frame})"
 
 
 def prefix_sums(histogram: DataFrame, num_classes: int, order: str = "bin") -> DataFrame:
-    """Left counts l_k and totals t_k of every cut 'value bin <= this bin'."""
-    upto = Window.partitionBy(*CELL).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*CELL)
-    return histogram.select("*", *[e for k in range(num_classes) for e in (
-        F.sum(f"c{k}").over(upto).alias(f"l{k}"), F.sum(f"c{k}").over(whole).alias(f"t{k}"))])
+    """Left counts l_k and totals t_k of every cut 'value bin <= this bin'.
+
+    A window holds the bins of one (tree, node, feature): at most max_bins rows.
+    """
+    return histogram.selectExpr(
+        "*", *[f"sum(c{k}) {_over(order)} AS l{k}" for k in range(num_classes)],
+        *[f"sum(c{k}) {_over()} AS t{k}" for k in range(num_classes)])
 
 
 def centroid_order(histogram: DataFrame, num_classes: int, impurity: str = "gini") -> DataFrame:
     """Rank the categories of each cell (0-based): by impurity for several
     classes, by the count of class 1 for two; equal centroids by category."""
-    counts = [F.col(c) for c in count_columns(num_classes)]
+    counts = count_columns(num_classes)
     centroid = IMPURITY[impurity](counts) if num_classes > 2 else counts[1]
-    centroid = F.when(total(counts) == 0, F.lit(1.7976931348623157e308)).otherwise(centroid)
-    order = Window.partitionBy(*CELL).orderBy("centroid", "bin")
-    return (histogram.withColumn("centroid", centroid)
-            .withColumn("rank", F.row_number().over(order) - 1))
-
-
-def _bit(position) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), position)
+    ranked = histogram.selectExpr("*", f"CASE WHEN {total(counts)} = 0 THEN {LARGEST} ELSE {centroid} END AS centroid")
+    return ranked.selectExpr("*", "cast(row_number() OVER (PARTITION BY " + ", ".join(CELL)
+                             + " ORDER BY centroid, bin) - 1 AS int) AS rank")
 
 
 def candidate_splits(histogram: DataFrame, num_classes: int, kinds=(CONTINUOUS,),
@@ -173,73 +175,60 @@ def candidate_splits(histogram: DataFrame, num_classes: int, kinds=(CONTINUOUS,)
     ``mask`` has the left categories as bits; it is 0 for continuous features.
     """
     sides = [c for k in range(num_classes) for c in (f"l{k}", f"t{k}")]
+    head = [*NODE, "feature", "kind"]
     out = []
-    forced, kind = F.col("cut") >= 0, F.col("kind")
     if CONTINUOUS in kinds:
-        part = prefix_sums(histogram.filter(kind == CONTINUOUS), num_classes)
-        part = part.filter(~forced | (F.col("bin") == 0))
-        out.append(part.select(*NODE, "feature", "kind", F.when(forced, F.col("cut")).otherwise(
-            F.col("bin")).alias("cut"), F.lit(0).cast("long").alias("mask"), *sides))
+        part = prefix_sums(histogram.where(f"kind = {CONTINUOUS}"), num_classes)
+        out.append(part.where("cut < 0 OR bin = 0").selectExpr(
+            *head, "if(cut >= 0, cut, bin) AS cut", "0L AS mask", *sides))
     if ORDERED in kinds:
-        ranked = centroid_order(histogram.filter(kind == ORDERED), num_classes, impurity)
-        part = prefix_sums(ranked, num_classes, "rank")
-        left = Window.partitionBy(*CELL).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-        part = part.withColumn("mask", F.sum(_bit(F.col("bin"))).over(left).cast("long"))
-        part = part.filter(~forced | (F.col("rank") == F.col("cut")))
-        out.append(part.select(*NODE, "feature", "kind", F.col("rank").cast("int").alias("cut"), "mask", *sides))
+        ranked = centroid_order(histogram.where(f"kind = {ORDERED}"), num_classes, impurity)
+        part = prefix_sums(ranked, num_classes, "rank").selectExpr(
+            "*", f"sum(shiftleft(1L, bin)) {_over('rank')} AS mask")
+        out.append(part.where("cut < 0 OR rank = cut").selectExpr(*head, "rank AS cut", "mask", *sides))
     if UNORDERED in kinds:
-        cells = histogram.filter(kind == UNORDERED)
-        arity = F.max("bin").over(Window.partitionBy(*CELL)) + 1
-        numbers = F.when(forced, F.array((F.col("cut") + 1).cast("long"))).otherwise(
-            F.sequence(F.lit(1).cast("long"), F.greatest(_bit(F.col("_k")) - 1, F.lit(1).cast("long"))))
-        cells = cells.withColumn("_k", arity).withColumn("mask", F.explode(numbers))
-        holds = F.call_function("shiftright", F.col("mask"), F.col("bin")).bitwiseAND(F.lit(1).cast("long")) == 1
-        part = cells.groupBy(*NODE, "feature", "kind", "mask").agg(*[e for k in range(num_classes) for e in (
-            F.sum(F.when(holds, F.col(f"c{k}")).otherwise(F.lit(0.0))).alias(f"l{k}"),
-            F.sum(f"c{k}").alias(f"t{k}"))])
-        out.append(part.select(*NODE, "feature", "kind", (F.col("mask") - 1).cast("int").alias("cut"),
-                               "mask", *sides))
+        cells = histogram.where(f"kind = {UNORDERED}").selectExpr("*", f"max(bin) {_over()} AS _top")
+        cells = cells.selectExpr("*", "explode(if(cut >= 0, array(cut + 1L), "
+                                      "sequence(1L, greatest(shiftleft(1L, _top) - 1L, 1L)))) AS mask")
+        inside = "(shiftright(mask, bin) & 1L) = 1"
+        part = cells.groupBy(*head, "mask").agg(
+            *[F.expr(f"sum(if({inside}, c{k}, 0D)) AS l{k}") for k in range(num_classes)],
+            *[F.expr(f"sum(c{k}) AS t{k}") for k in range(num_classes)])
+        out.append(part.selectExpr(*head, "cast(mask - 1 AS int) AS cut", "mask", *sides))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def best_split(candidates: DataFrame, num_classes: int, impurity: str = "gini",
                min_instances: int = 1, min_info_gain: float = 1e-6) -> DataFrame:
     """Per node the cut of largest gain; ties go to the first feature, then the first cut."""
-    lefts = [F.col(f"l{k}") for k in range(num_classes)]
-    totals = [F.col(f"t{k}") for k in range(num_classes)]
-    gain = split_gain(totals, lefts, impurity, min_instances, min_info_gain)
-    gain = F.when(F.col("feature") == TOTALS, F.lit(INVALID_GAIN)).otherwise(gain)
-    payload = F.struct("feature", "kind", "cut", "mask", "gain", F.array(*lefts).alias("left"),
-                       F.array(*totals).alias("counts"))
-    rank = F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("cut")).alias("c"))
-    return (candidates.withColumn("gain", gain).groupBy(*NODE)
-            .agg(F.max_by(payload, rank).alias("s")).select(*NODE, "s.*"))
+    left, whole = [f"l{k}" for k in range(num_classes)], [f"t{k}" for k in range(num_classes)]
+    gain = split_gain(whole, left, impurity, min_instances, min_info_gain)
+    scored = candidates.selectExpr("*", f"if(feature = {TOTALS}, {INVALID_GAIN}, {gain}) AS gain")
+    payload = (f"struct(feature, kind, cut, mask, gain, array({', '.join(left)}) AS left, "
+               f"array({', '.join(whole)}) AS counts)")
+    return (scored.groupBy(*NODE)
+            .agg(F.expr(f"max_by({payload}, struct(gain, -feature, -cut)) AS s")).select(*NODE, "s.*"))
 
 
 # ---------------------------------------------------------------- growing and routing
 
-def array_impurity(counts: str, num_classes: int, impurity: str) -> Column:
-    return IMPURITY[impurity]([F.get(counts, F.lit(k)) for k in range(num_classes)])
-
-
 def expand_nodes(splits: DataFrame, level: int, max_depth: int, num_classes: int,
                  impurity: str = "gini", min_info_gain: float = 1e-6) -> DataFrame:
     """Decide leaf or split per node and which children are leaves at once."""
-    is_leaf = (F.col("gain") < min_info_gain) | F.lit(level == max_depth)
-    right = F.zip_with("counts", "left", lambda t, l: t - l)
-    last = F.lit(level + 1 == max_depth)
-    out = splits.withColumn("is_leaf", is_leaf).withColumn("right", right)
-    return (out.withColumn("left_leaf", last | (array_impurity("left", num_classes, impurity) == 0))
-               .withColumn("right_leaf", last | (array_impurity("right", num_classes, impurity) == 0)))
+    def pure(side: str) -> str:
+        return IMPURITY[impurity]([f"get({side}, {k})" for k in range(num_classes)]) + " = 0"
+
+    last = str(level + 1 == max_depth)
+    return (splits.selectExpr("*", f"gain < {min_info_gain!r}D OR {level == max_depth} AS is_leaf",
+                              "zip_with(counts, left, (t, l) -> t - l) AS right")
+            .selectExpr("*", f"{last} OR {pure('left')} AS left_leaf", f"{last} OR {pure('right')} AS right_leaf"))
 
 
 def children(expanded: DataFrame) -> DataFrame:
     """(tree, node, counts, is_leaf) of both children of every split node."""
-    pair = F.array(
-        F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("counts"), F.col("left_leaf").alias("is_leaf")),
-        F.struct((F.col("node") * 2 + 1).alias("node"), F.col("right").alias("counts"),
-                 F.col("right_leaf").alias("is_leaf")))
-    return (expanded.filter(~F.col("is_leaf")).select("tree", F.explode(pair).alias("c"))
+    pair = ("array(struct(node * 2 AS node, left AS counts, left_leaf AS is_leaf), "
+            "struct(node * 2 + 1 AS node, right AS counts, right_leaf AS is_leaf))")
+    return (expanded.where("NOT is_leaf").selectExpr("tree", f"explode({pair}) AS c")
             .select("tree", "c.node", "c.counts", "c.is_leaf"))
 
 
