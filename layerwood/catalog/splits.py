@@ -375,13 +375,13 @@ p0 AS MATERIALIZED (SELECT * FROM (SELECT tree, 1::BIGINT AS node, label, b0, b1
             sides = ", ".join(
                 f"sum(CASE WHEN label = {k} AND bin <= cut THEN w ELSE 0 END)::DOUBLE AS l{k}, "
                 f"sum(CASE WHEN label = {k} THEN w ELSE 0 END)::DOUBLE AS t{k}" for k in range(3))
-            cums = f"SELECT tree, node, feature, cut, {sides} FROM ({cells}) GROUP BY 1, 2, 3, 4"
+            cums = f"SELECT tree, node, feature, cut, {sides} FROM x{d} GROUP BY 1, 2, 3, 4"
         else:
             over = "(PARTITION BY tree, node, feature ORDER BY bin)"
             sides = ", ".join(f"sum(c{k}) OVER {over} AS l{k}, sum(c{k}) OVER (PARTITION BY tree, node, feature) AS t{k}"
                               for k in range(3))
             cums = (f"SELECT tree, node, feature, bin AS cut, {sides} FROM "
-                    f"(SELECT tree, node, feature, bin, {sums} FROM ({cells}) GROUP BY 1, 2, 3, 4)")
+                    f"(SELECT tree, node, feature, bin, {sums} FROM x{d} GROUP BY 1, 2, 3, 4)")
         last = d + 1 == depth
         parts += [
             f"n{d} AS MATERIALIZED (SELECT tree, node, {sql_mix('tree_hash', 'node')} AS k FROM "
@@ -390,7 +390,9 @@ p0 AS MATERIALIZED (SELECT * FROM (SELECT tree, 1::BIGINT AS node, label, b0, b1
             f"c{d} AS MATERIALIZED (SELECT tree, node, feature, {sql_mix('h', str(S.CUT_SALT))} % greatest(n, 1) AS cut "
             f"FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY h, feature) AS r FROM h{d}) "
             f"WHERE r <= {subset} AND n > 0)",
-            f"g{d} AS MATERIALIZED (SELECT *, {sql_gain()} AS gain FROM ({cums}))",
+            f"x{d} AS MATERIALIZED ({cells})",
+            f"u{d} AS MATERIALIZED ({cums})",
+            f"g{d} AS MATERIALIZED (SELECT *, {sql_gain()} AS gain FROM u{d})",
             f"s{d} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node "
             f"ORDER BY gain DESC, feature, cut) AS r FROM g{d}) WHERE r = 1)"]
         kids = ", ".join(f"CASE WHEN side = 0 THEN l{k} ELSE t{k} - l{k} END AS c{k}" for k in range(3))
@@ -455,7 +457,7 @@ WITH {VALUES_SQL}, trees(tree, tree_hash) AS (VALUES {", ".join(f"({t}, {h})" fo
 keys AS MATERIALIZED (SELECT tree, {sql_mix('tree_hash', '1')} AS k FROM trees),
 feats AS MATERIALIZED (SELECT tree, feature, n, {sql_mix('k', 'feature')} AS h FROM keys, nsplits),
 cuts AS MATERIALIZED (SELECT tree, feature, {sql_mix('h', str(S.CUT_SALT))} % n AS cut FROM feats),
-cells AS ({" UNION ALL ".join(f"SELECT {i} AS feature, b{i} AS bin, label FROM binned" for i in range(4))})
+cells AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {i} AS feature, b{i} AS bin, label FROM binned" for i in range(4))})
 SELECT cast(tree AS INTEGER) AS tree, cast(c.feature AS INTEGER) AS feature, cast(cut AS INTEGER) AS cut,
   {", ".join(f"count(*) FILTER (label = {k} AND bin <= cut)::DOUBLE AS l{k}, count(*) FILTER (label = {k})::DOUBLE AS t{k}" for k in range(3))}
 FROM cuts c JOIN cells USING (feature) GROUP BY 1, 2, 3""")
