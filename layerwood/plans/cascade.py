@@ -52,23 +52,23 @@ class CascadeModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` and ``prediction``; all layers run in one narrow pass."""
         require_columns(df, "instance", "features")
-        rows = df.withColumn("fold", F.lit(-1)).withColumn("_raw", F.col("features"))
+        rows = df.withColumn("_raw", F.col("features"))
         if "block" not in df.columns:
             rows = rows.withColumn("block", F.lit(0).cast("long"))
         for i, layer in enumerate(self.layers):
-            scored = with_class_vectors(rows, layer, "vector", broadcast_nodes=self.broadcast_nodes)
+            scored = with_class_vectors(rows, layer, "_vector", broadcast_nodes=self.broadcast_nodes)
             if i + 1 < len(self.layers):
-                rows = (scored.withColumn("features", F.concat("_raw", F.expr(fed_forward(layer, self.feed))))
-                        .drop("vector"))
+                passed_on = F.expr(fed_forward(layer, self.feed, "_vector"))
+                rows = scored.withColumn("features", F.concat("_raw", passed_on)).drop("_vector")
             else:
-                rows = scored.withColumn("probability", F.expr(fed_forward(layer, MEAN)))
+                rows = scored.withColumn("probability", F.expr(fed_forward(layer, MEAN, "_vector")))
         rows = rows.withColumn("features", F.col("_raw"))
         rows = rows.withColumn("prediction", argmax("probability").cast("double"))
         return rows.select(*df.columns, "probability", "prediction")
 
 
-def feature_count(df: DataFrame) -> int:
-    row = df.select(F.size("features").alias("n")).first()
+def feature_count(df: DataFrame, column: str = "features") -> int:
+    row = df.select(F.size(column).alias("n")).first()
     if row is None:
         raise ValueError("no training rows")
     return row["n"]
@@ -96,7 +96,8 @@ def with_previous(rows: DataFrame) -> DataFrame:
 def score_layer(rows: DataFrame, layer: Layer, feed: str, name: str, broadcast_nodes: int) -> DataFrame:
     """Class vectors of all rows, written as the next layer's input."""
     keep = [c for c in rows.columns if c not in ("features", "previous", "vector")]
-    scored = with_class_vectors(with_previous(rows), layer, "vector", broadcast_nodes=broadcast_nodes)
+    scored = with_class_vectors(with_previous(rows), layer, "vector", fold=F.col("fold"),
+                                broadcast_nodes=broadcast_nodes)
     return materialize(scored.select(*keep, "vector", F.expr(fed_forward(layer, feed)).alias("previous")), name)
 
 
@@ -119,8 +120,6 @@ def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestCo
     """
     require_columns(train, "instance", "block", "label", "features")
     train = multi_grain_scan(train, config.data_style)
-    blocks = sorted(int(r["block"]) for r in train.select("block").distinct().collect())
-    num_features = feature_count(train)
     columns = ["instance", "block", "label", "features"]
     rows = train.select(*columns, F.lit("train").alias("split"))
     if test is not None:
@@ -128,6 +127,9 @@ def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestCo
         rows = rows.unionByName(held_out)
     rows = ready_rows(rows, config.seed, "block", "instance").withColumnRenamed("features", "raw")
     rows = materialize(rows.withColumn("previous", F.array().cast("array<double>")), "layer-input")
+    seen = rows.filter("split = 'train'").select("block").distinct().collect()  # one row per block
+    blocks = sorted(int(r["block"]) for r in seen)
+    num_features = feature_count(rows.filter("split = 'train'"), "raw")
     bins = _Bins(rows.filter("split = 'train'").withColumn("features", F.col("raw")), blocks, num_features,
                  config, arity)
     randoms = set(range(config.rf_num, config.models_per_layer))
@@ -170,10 +172,10 @@ def fit_cascade(train: DataFrame, config: ForestConfig, arity: dict[int, int] |
     """
     require_columns(train, "instance", "label", "features")
     train = multi_grain_scan(train, config.data_style)
-    num_features = feature_count(train)
     rows = k_folds(train.drop("block", "fold"), config.num_folds, config.seed, "instance")
     rows = ready_rows(rows, config.seed, "instance").withColumnRenamed("features", "raw")
     rows = materialize(rows.withColumn("previous", F.array().cast("array<double>")), "layer-input")
+    num_features = feature_count(rows, "raw")
     bins = _Bins(rows.withColumn("features", F.col("raw")), [0], num_features, config, arity)
     randoms = set(range(config.rf_num, config.models_per_layer))
     model = CascadeModel([], config, num_features, CONCAT, [], broadcast_nodes)
@@ -197,12 +199,12 @@ def fit_cascade(train: DataFrame, config: ForestConfig, arity: dict[int, int] |
 def out_of_fold_vectors(train: DataFrame, config: ForestConfig, is_random: bool,
                         broadcast_nodes: int = BROADCAST_NODES) -> tuple[DataFrame, Layer]:
     """One forest's out-of-fold vectors for every row, and the forest itself."""
-    num_features = feature_count(train)
     rows = ready_rows(k_folds(train.drop("block", "fold"), config.num_folds, config.seed, "instance"),
                       config.seed, "instance")
     rows = materialize(rows, "fold-input")
+    num_features = feature_count(rows)
     trees = plan_trees([[0]], {0} if is_random else set(), num_features, config, 1,
                        folds_out=(-1, *range(config.num_folds)))
     layer = fit_layer(rows, trees, fit_binning(rows, [0], num_features, config), config, broadcast_nodes)
-    scored = with_class_vectors(rows, layer, "probability", broadcast_nodes=broadcast_nodes)
+    scored = with_class_vectors(rows, layer, "probability", fold=F.col("fold"), broadcast_nodes=broadcast_nodes)
     return scored.select("instance", "fold", "label", "probability"), layer

@@ -13,7 +13,7 @@ from pyspark.storagelevel import StorageLevel
 from ..config import ForestConfig
 from ..functions.arrays import argmax
 from ..operators.vectors import to_double_label
-from ..session import spread
+from ..session import materialize, spread
 from .grower import BROADCAST_NODES, Binning, Tree, bin_points, fit_binning, grow, plan_trees, with_row_hash
 from .scoring import Layer, with_class_vectors
 
@@ -49,9 +49,7 @@ class ForestModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` and ``prediction``."""
-        rows = df.withColumn("fold", F.lit(-1))
-        if "block" not in df.columns:
-            rows = rows.withColumn("block", F.lit(0).cast("long"))
+        rows = df if "block" in df.columns else df.withColumn("block", F.lit(0).cast("long"))
         out = with_class_vectors(rows, self.layer, "probability", broadcast_nodes=self.broadcast_nodes)
         out = out.withColumn("prediction", argmax("probability").cast("double"))
         return out.select(*df.columns, "probability", "prediction")
@@ -74,8 +72,10 @@ def fit_block_forest(df: DataFrame, config: ForestConfig, is_random: bool, num_f
                      broadcast_nodes: int = BROADCAST_NODES) -> ForestModel:
     """One model with one forest per block; the j-th forest sees the j-th block only."""
     blocks = [0] if blocks is None else blocks
-    rows = ready_rows(df, config.seed)
-    rows = rows.filter(F.col("block").isin([int(b) for b in blocks]))
+    if "block" in df.columns:
+        df = df.filter(F.col("block").isin([int(b) for b in blocks]))
+    rows = ready_rows(df, config.seed).select("block", "fold", "row_hash", "label", "features")
+    rows = materialize(rows, "forest-input")
     trees = plan_trees([blocks], {0} if is_random else set(), num_features, config, layer=1)
     binning = fit_binning(rows, blocks, num_features, config, arity)
     return ForestModel(fit_layer(rows, trees, binning, config, broadcast_nodes), num_features, broadcast_nodes)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import normalize
 from ..operators import splits as S
+from ..session import materialize
 from . import tasks
 from .grower import BROADCAST_NODES, Tree, list_column
 
+LEVELS_PER_TABLE = 4
+
 
 @dataclasses.dataclass
 class Layer:
@@ -80,34 +83,35 @@ def class_vector_column(layer: Layer, features: Column, fold: Column) -> Column:
     return score(features, fold)
 
 
-def tree_votes_by_joins(df: DataFrame, layer: Layer, keys) -> DataFrame:
+def tree_votes_by_joins(df: DataFrame, layer: Layer, keys, fold: Column) -> DataFrame:
     """(keys, model, forest, counts): the leaf counts of every (row, tree).
 
     For node tables beyond the broadcast bound: rows move down by one equi-join
-    on (tree, node) per level, so neither side has to fit in one place.
+    on (tree, node) with the nodes of each depth, so neither side has to fit in
+    one place.  A row that has reached its leaf no longer matches and waits.
     """
     plan = df.sparkSession.createDataFrame(
         [(t.tree, t.model, t.forest, t.fold_out) for t in layer.trees],
-        "tree int, model int, forest int, fold int")
-    nodes = layer.nodes.select("tree", "node", "is_leaf", "feature", "kind", "mask", "threshold", "counts")
+        "tree int, model int, forest int, _fold int")
+    nodes = layer.nodes.select("tree", "node", "is_leaf", "feature", "kind", "mask", "threshold",
+                               F.col("counts").alias("_counts"))
     # one row per tree of the layer: the size is fixed by the configuration
-    rows = (df.select(*keys, "fold", "features").join(F.broadcast(plan), "fold")
-            .withColumn("node", F.lit(1).cast("long")))
-    done = []
-    depth = layer.nodes.agg(F.max("node")).first()[0] or 1
+    rows = (df.select(*keys, fold.alias("_fold"), "features").join(F.broadcast(plan), "_fold").drop("_fold")
+            .withColumn("node", F.lit(1).cast("long")).withColumn("counts", F.lit(None).cast("array<double>")))
+    depth = int(layer.nodes.agg(F.max("node")).first()[0] or 1).bit_length()
     x = F.get("features", F.col("feature"))
     in_mask = F.call_function("shiftright", F.col("mask"), x.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
     left = F.when(F.col("kind") == S.CONTINUOUS, x <= F.col("threshold")).otherwise(in_mask)
-    for _ in range(int(depth).bit_length()):
-        met = rows.join(nodes, S.NODE)
-        done.append(met.filter("is_leaf").select(*keys, "model", "forest", "counts"))
-        rows = (met.filter("not is_leaf")
-                .withColumn("node", F.col("node") * 2 + F.when(left, 0).otherwise(1))
-                .select(*keys, "fold", "features", "tree", "model", "forest", "node"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    child = F.col("node") * 2 + F.when(left, 0).otherwise(1)
+    for level in range(depth):
+        here = nodes.filter((F.col("node") >= 1 << level) & (F.col("node") < 2 << level))
+        rows = rows.join(here, S.NODE, "left").select(
+            *keys, "features", "tree", "model", "forest",
+            F.when(F.col("is_leaf") == F.lit(False), child).otherwise(F.col("node")).alias("node"),
+            F.coalesce("counts", F.when(F.col("is_leaf"), F.col("_counts"))).alias("counts"))
+        if level % LEVELS_PER_TABLE == LEVELS_PER_TABLE - 1:
+            rows = materialize(rows, "routed")
+    return rows.filter(F.col("counts").isNotNull()).select(*keys, "model", "forest", "counts")
 
 
 def forest_votes(votes: DataFrame, num_classes: int, keys) -> DataFrame:
@@ -127,11 +131,17 @@ def model_votes(forests: DataFrame, num_classes: int, keys) -> DataFrame:
 
 
 def with_class_vectors(df: DataFrame, layer: Layer, output: str = "vector", keys=("instance", "block"),
-                       broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """Add the models' concatenated class vectors to (keys, fold, features) rows."""
+                       fold: Column | None = None, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """Add the models' concatenated class vectors to rows with ``features``.
+
+    ``fold`` is the fold a row belongs to; without it the trees that left no
+    fold out are used.  Beyond the broadcast bound the vectors are joined back
+    by ``keys``, which must then be unique.
+    """
+    fold = F.lit(-1) if fold is None else fold
     if layer.size() <= broadcast_nodes:
-        return df.withColumn(output, class_vector_column(layer, F.col("features"), F.col("fold")))
-    models = model_votes(forest_votes(tree_votes_by_joins(df, layer, keys), layer.num_classes, keys),
+        return df.withColumn(output, class_vector_column(layer, F.col("features"), fold))
+    models = model_votes(forest_votes(tree_votes_by_joins(df, layer, keys, fold), layer.num_classes, keys),
                          layer.num_classes, keys)
     ordered = F.array_sort(F.collect_list(F.struct("model", "probability")))
     vectors = models.groupBy(*keys).agg(

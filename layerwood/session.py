@@ -35,15 +35,25 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_read(df: DataFrame) -> int:
+    """Size of the sources under a frame, from their statistics; runs nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows over all cores when the source has fewer splits than cores.
+    """Hash a small table over all cores.
 
-    A large source already has more splits than cores and is left alone.
+    A source with fewer splits than cores would leave cores idle.  Only sources
+    below cores x split size are moved, so the shuffle is bounded; a larger one
+    has enough splits and is left alone.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if bytes_read(df) >= cores * split:
         return df
-    return df.repartition(wanted, *keys)
+    return df.repartition(cores, *keys)
 
 
 def require_columns(df: DataFrame, *names: str) -> None:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.arrays import to_csv_text
 
 
-def write_blocks(df: DataFrame, path: str, mode: str = "overwrite", files_per_block: int = 1) -> None:
+def write_blocks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One directory per block, so that later reads open the chosen blocks only.
 
-    A block is spread over ``files_per_block`` tasks; raise it with the block size.
+    The rebalance hint gathers the rows of a block and lets adaptive execution
+    split a block that is too large for one task.  Mode ``ignore`` keeps blocks
+    that were written before.
     """
-    salt = F.pmod(F.xxhash64("instance"), F.lit(files_per_block))
-    (df.repartition(F.col("block"), salt).write.mode(mode)
-       .partitionBy("block").parquet(path))
+    df.hint("rebalance", "block").write.mode(mode).partitionBy("block").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str, blocks: Iterable[int]) -> DataFrame:
