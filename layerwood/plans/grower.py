@@ -153,7 +153,7 @@ def sample_edges(df: DataFrame, max_splits: int, seed: int, skip=(), factor: int
     short = [(r["block"], r["feature"]) for r in known
              if r["lim"] < HASH_RANGE and len(out[r["block"], r["feature"]]) < max_splits]
     if short and factor < 1 << 40:
-        again = sample_edges(df, max_splits, seed, skip, factor << 20)
+        again = sample_edges(df, max_splits, seed, skip, max(factor, 1) << 20)
         out.update({key: again[key] for key in short})
     return {key: np.array(sorted(v), np.float64) for key, v in out.items()}
 
