@@ -74,9 +74,13 @@ def with_row_ids(df: DataFrame, column: str = "instance") -> DataFrame:
 
 
 def load_delimited(spark: SparkSession, dataset: str, path: str, features_path: str,
-                   partitions: int = 0) -> DataFrame:
-    """Read one of the registered datasets; ids are unique over all files."""
-    lines = keep_data_lines(spark.read.text(path))
+                   partitions: int = 0, phases: dict[str, str] | None = None) -> DataFrame:
+    """Read one of the registered datasets; ids are unique over all files.
+
+    ``phases`` may give paths to the names "train" and "test"; any other
+    ``path`` is read as it is.
+    """
+    lines = keep_data_lines(spark.read.text((phases or {}).get(path, path)))
     if partitions > 0:
         lines = lines.repartition(partitions)
     parsed = parse_delimited(lines, dataset_spec(dataset), read_feature_specs(spark, features_path))

@@ -45,6 +45,8 @@ def test_load_from_files(spark, tmp_path):
     assert df.columns == ["instance", "label", "features"]
     assert df.count() == 500 and df.select("instance").distinct().count() == 500
     assert df.rdd.getNumPartitions() == 3
+    named = load_delimited(spark, "watch_acc", "train", str(tmp_path / "spec"), phases={"train": str(tmp_path / "data")})
+    assert named.count() == 500
 
 
 def test_layer_text_round_trip(spark, tmp_path):
