@@ -184,12 +184,17 @@ def with_row_hash(df: DataFrame, seed: int, *keys: str) -> DataFrame:
 
 
 def bin_points(df: DataFrame, binning: Binning) -> DataFrame:
-    """One narrow row (block, fold, row_hash, label, bins) per training row."""
+    """One narrow row (block, fold, row_hash, label, bins) per training row.
+
+    Rows are ordered by block inside each partition (no shuffle), so that a
+    batch holds one block and a tree is walked with long arrays.
+    """
     require_columns(df, "block", "fold", "row_hash", "label", "features")
     shared = df.sparkSession.sparkContext.broadcast(binning.edges)
     return (df.select("block", "fold", "row_hash", F.col("label").cast("int").alias("label"), "features")
             .mapInArrow(lambda it: tasks.binned_batches(it, shared.value),
-                        "block long, fold int, row_hash long, label int, bins binary"))
+                        "block long, fold int, row_hash long, label int, bins binary")
+            .sortWithinPartitions("block"))
 
 
 # ---------------------------------------------------------------- driver-side tree table

@@ -56,24 +56,27 @@ def tree_weights(row_hash: np.ndarray, tree: dict) -> np.ndarray:
 
 def descend(values: np.ndarray, root: int, nodes: dict, limit: str) -> np.ndarray:
     """Last known node of every row; ``limit`` names the array compared with the value."""
-    at = np.full(len(values), root, np.int64)
-    rows = np.arange(len(values))
+    count, width = values.shape
+    flat = values.ravel()
+    at = np.empty(count, np.int64)
+    rows = np.arange(count)
+    here = np.full(count, root, np.int64)
     child, feature, kind, mask = nodes["child"], nodes["feature"], nodes["kind"], nodes["mask"]
     bound = nodes[limit]
     has_categories = nodes["has_categories"]
     while len(rows):
-        here = at[rows]
-        open_ = child[here] >= 0
-        rows, here = rows[open_], here[open_]
-        if not len(rows):
-            break
-        x = values[rows, feature[here]]
-        left = x <= bound[here]
+        below = child.take(here)
+        closed = below < 0
+        if closed.any():
+            at[rows[closed]] = here[closed]
+            rows, here, below = rows[~closed], here[~closed], below[~closed]
+        x = flat.take(rows * width + feature.take(here))
+        right = ~(x <= bound.take(here))  # a NaN goes right, as it does in the bins
         if has_categories:
-            category = kind[here] != 0
-            inside = (mask[here] >> np.where(category, x, 0).astype(np.int64)) & 1
-            left = np.where(category, inside == 1, left)
-        at[rows] = child[here] + np.where(left, 0, 1)
+            category = kind.take(here) != 0
+            inside = (mask.take(here) >> np.where(category, x, 0).astype(np.int64)) & 1
+            right = np.where(category, inside == 0, right)
+        here = below + right
     return at
 
 
@@ -86,18 +89,22 @@ def active_points(batch: pa.RecordBatch, state: dict):
     bins = byte_matrix(batch.column("bins"))
     nodes = state["nodes"]
     for block, rows in by_block(blocks):
+        block_bins = bins if len(rows) == len(bins) else bins[rows]
         for tree in state["trees"].get(block, ()):
-            used = rows
+            used, part = rows, block_bins
             weight = tree_weights(row_hash[used], tree)
             keep = weight > 0
             if tree["fold_out"] >= 0:
                 keep &= fold[used] != tree["fold_out"]
-            used, weight = used[keep], weight[keep]
-            slots = nodes["slot"][descend(bins[used], tree["root"], nodes, "cut")]
+            if not keep.all():
+                used, weight, part = used[keep], weight[keep], part[keep]
+            slots = nodes["slot"].take(descend(part, tree["root"], nodes, "cut"))
             keep = slots >= 0
-            if keep.any():
+            if keep.all():
+                yield tree, used, slots, weight, labels[used], part
+            elif keep.any():
                 used = used[keep]
-                yield tree, used, slots[keep], weight[keep], labels[used], bins[used]
+                yield tree, used, slots[keep], weight[keep], labels[used], part[keep]
 
 
 def distinct_sums(codes: np.ndarray, counts: np.ndarray):
