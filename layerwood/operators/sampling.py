@@ -134,7 +134,10 @@ def row_index(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
 
 
 def block_share(df: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Training rows of each model and its share of the layer's total."""
+    """Training rows of each model and its share of the layer's total.
+
+    The block counts have one row per block, which the configuration fixes.
+    """
     per_block = df.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     per_model = (assignment.join(F.broadcast(per_block), "block")
                  .groupBy("layer", "model").agg(F.sum("n").alias("n_rows")))

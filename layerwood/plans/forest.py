@@ -8,6 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 from ..config import ForestConfig
@@ -62,9 +63,8 @@ class ForestModel:
         tree_sum = per.groupBy("tree").agg(F.sum("g").alias("t"))
         scaled = (per.join(tree_sum, "tree").filter("t > 0").groupBy("feature")
                   .agg(F.sum(F.col("g") / F.col("t")).alias("s")))
-        whole = scaled.agg(F.sum("s").alias("w"))
-        return (scaled.crossJoin(F.broadcast(whole))
-                .select("feature", (F.col("s") / F.col("w")).alias("importance")))
+        whole = F.sum("s").over(Window.partitionBy())  # one row per feature
+        return scaled.select("feature", (F.col("s") / whole).alias("importance"))
 
 
 def fit_block_forest(df: DataFrame, config: ForestConfig, is_random: bool, num_features: int,

@@ -221,13 +221,17 @@ class NodeArrays:
         order = np.argsort(keys)
         at = front[order[np.searchsorted(keys[order], found["tree"].astype(np.int64) << 32 | found["node"])]]
         roots = c["node"][at] == 1
-        c["counts"][at[roots]] = found["counts"][roots]
+        if roots.any():
+            c["counts"][at[roots]] = found["counts"][roots]
         split = ~found["is_leaf"]
         at = at[split]
         for name in ("feature", "kind", "cut", "mask", "gain"):
             c[name][at] = found[name][split]
         n, start = len(at), len(self)
         c["child"][at] = start + 2 * np.arange(n)
+        if not n:
+            self.open = np.array([], np.int64)
+            return
         left, right = found["left"][split], found["counts"][split] - found["left"][split]
         added = {name: np.zeros(2 * n, column.dtype) for name, column in c.items() if column.ndim == 1}
         added["tree"] = np.repeat(c["tree"][at], 2)
@@ -321,8 +325,9 @@ def level_state(nodes: NodeArrays, trees: list[Tree], binning: Binning, config:
 
 
 def list_column(table: pa.Table, name: str) -> np.ndarray:
+    """A list column of equal lengths as a 2-d array; without rows its width is 0."""
     column = table.column(name).combine_chunks()
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1 if len(column) else 0)
 
 
 def read_level(table: pa.Table) -> dict:

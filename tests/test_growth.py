@@ -90,6 +90,18 @@ def test_leaf_counts_are_the_training_rows(spark):
     assert {r["n"] for r in leaves.collect()} == {4000.0}
 
 
+def test_growth_may_find_no_cut_at_all(spark):
+    """Too few rows for any child: roots stay leaves, on both ways."""
+    df = table(spark, 12)
+    for bound in (2_000_000, 0):
+        model = fit_forest(df, ForestConfig(num_classes=3, trees=3, max_depth=4, min_instances=7), True, 4,
+                           broadcast_nodes=bound)
+        assert [r["is_leaf"] for r in node_rows(model)] == [True] * 3
+        assert model.transform(df).count() == 12
+    deep = fit_forest(df, ForestConfig(num_classes=3, trees=6, max_depth=30), True, 4)
+    assert deep.layer.size() >= 6
+
+
 def test_accuracy_like_the_library_forest(spark):
     df = table(spark)
     config = ForestConfig(num_classes=3, trees=10, max_depth=6, feature_subset="all")
