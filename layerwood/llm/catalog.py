@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_chat
+from . import queries_chat, queries_mixing, queries_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fair_mix": queries_mixing.op3_fair_mix,
+    "op5_warc": queries_warc.op5_warc,
     "op9_chat_format": queries_chat.op9_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op3_fair_mix": queries_mixing.SQL,
+    "op5_warc": queries_warc.SQL,
     "op9_chat_format": queries_chat.SQL,
 }
