@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -106,15 +106,20 @@ def fair_queue_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     finish = (F.col("pass") * F.col("source_size") + F.col("served")) / F.col("target")
     copies = copies.select(finish.alias("finish"), "rank", "pass", "served", "size")
     line = running_sums(copies, ["finish", "rank", "pass", "served"], "size", "sent")
-    budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("_budget"))
-    # the first copy that no longer fits ends the mix: one row
-    end = F.min(F.struct("finish", "rank", "pass", "served")).alias("_end")
-    last = line.join(F.broadcast(budget)).filter(F.col("sent") > F.col("_budget")).agg(end)
-    # taken copies of a row: passes that finish before the end
-    rows = queue.join(F.broadcast(last))
-    before = [(F.col("_end").isNull() | (F.struct(
-        ((e * F.col("source_size") + F.col("served")) / F.col("target")).alias("finish"), F.col("rank").alias("rank"),
-        F.lit(e).alias("pass"), F.col("served").alias("served")) < F.col("_end"))).cast("int") for e in range(max_epochs)]
+    # two rows reach the driver: the budget, and the first copy that no longer fits
+    budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    place = F.struct("finish", "rank", "pass", "served")
+    end = line.filter(F.col("sent") > budget).agg(F.min(place)).first()[0]
+    # taken copies of a row: the passes that finish before that one
+    rows = queue
+
+    def taken(e: int) -> Column:
+        finish = (F.lit(e) * F.col("source_size") + F.col("served")) / F.col("target")
+        here = F.struct(finish.alias("finish"), F.col("rank").alias("rank"), F.lit(e).alias("pass"), F.col("served").alias("served"))
+        bound = F.struct(*[F.lit(v).alias(n) for n, v in end.asDict().items()]) if end else None
+        return F.lit(1) if bound is None else (here < bound).cast("int")
+
+    before = [taken(e) for e in range(max_epochs)]
     copies_of = F.when(F.col("size") > 0, sum(before[1:], before[0])).otherwise(0)
     rows = rows.withColumn("copies", copies_of)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies",
