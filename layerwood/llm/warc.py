@@ -213,7 +213,8 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -
     ranges = files.filter("length > 0").select("path", "length", F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least("length", F.col("start") + split_bytes).alias("end"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    # a given number, as adaptive execution would join these few small rows into one task
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path", "start"))
     schema = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()),
                         ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("payload", pa.binary())])
