@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_chat, queries_classify, queries_mixing, queries_warc
+from . import queries_chat, queries_classify, queries_mixing, queries_scoring, queries_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": queries_classify.op1_language,
+    "op2_lm_score": queries_scoring.op2_lm_score,
     "op10_toxicity": queries_classify.op10_toxicity,
     "op3_fair_mix": queries_mixing.op3_fair_mix,
     "op5_warc": queries_warc.op5_warc,

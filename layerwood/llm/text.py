@@ -43,3 +43,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
+
+
+#: A fixed random value per byte, for hashes of words.
+BYTE_VALUES = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+STEP = np.uint64(0xD1342543DE82EF95)
+STEP_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+REACH = 1 << 20
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def cut_words(flat: np.ndarray, starts: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; a word ends at a blank byte or with its text."""
+    solid = np.zeros(len(flat) + 2, bool)
+    solid[1:-1] = ~blank[flat]
+    begins = solid[1:-1] & ~solid[:-2]
+    ends = solid[1:-1] & ~solid[2:]
+    # texts stand next to each other without anything between them
+    inner = starts[1:-1]
+    inner = inner[(inner > 0) & (inner < len(flat))]
+    begins[inner] |= solid[1:-1][inner]
+    ends[inner - 1] |= solid[1:-1][inner - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def hash_words(flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes, by running sums over stretches of text."""
+    out = np.empty(len(begins), np.uint64)
+    low = 0
+    forth, back = powers(STEP, REACH), powers(STEP_BACK, REACH)
+    while low < len(begins):
+        first = begins[low]
+        high = max(low + 1, int(np.searchsorted(ends, first + REACH, "right")))
+        size = int(ends[high - 1] - first)
+        if size > len(forth):
+            forth, back = powers(STEP, size), powers(STEP_BACK, size)
+        run = np.zeros(size + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[flat[first:first + size]] * forth[:size], out=run[1:])
+        s, e = begins[low:high] - first, ends[low:high] - first
+        out[low:high] = (run[e] - run[s]) * back[s] + (e - s).astype(np.uint64)
+        low = high
+    return mixed(out)
+
+
+def per_text(begins: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many words begin in each text."""
+    return np.diff(np.searchsorted(begins, starts))
