@@ -3,10 +3,11 @@
 The model is the trie of all byte contexts up to ``ORDER`` bytes in the training
 texts, every text between end marks (byte 255, which UTF-8 never has).  A byte is
 coded in the longest context that was seen; if it is new there, an escape is
-coded (method C: as likely as the number of distinct bytes seen) and the next
-shorter context is used, with all bytes of the longer one excluded.  Behind the
-empty context all bytes that are left are equally likely.  A text's score is the
-log10 probability of its bytes and its end.
+coded and the next shorter context is used, with all bytes of the longer one
+excluded.  Escapes by method D: each byte seen in a context gives up ``ESCAPE`` of
+its count.  Shorter contexts are updated only where a byte is new in the longer
+one.  Behind the empty context all bytes that are left are equally likely.  A
+text's score is the log10 probability of its bytes and its end.
 
 Counts cover all training texts and the trie may be of any size: it is never in
 one place.  Texts are written once, in chunks of about ``CHUNK`` bytes.  A chunk
@@ -37,6 +38,8 @@ from .text import LOWER, cut_words, hash_words, joined, mixed, per_text
 
 ORDER = 4
 CHUNK = 8 << 20
+#: What a seen byte gives up for the escape.
+ESCAPE = 0.5
 END = 255
 GRAM, WORD = 0, 1
 U8 = np.uint64(8)
@@ -179,59 +182,66 @@ def chunked_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def pair_counts(counted: DataFrame) -> np.ndarray:
-    """Training counts of (byte, next byte): 256 x 256 numbers, whatever the corpus."""
+    """In how many different contexts of one more byte each (byte, next byte) was seen in training texts.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+    256 x 256 numbers, whatever the corpus.
+    """
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
         for batch in batches:
             for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total += np.bincount((unpack_sorted(keys) & np.uint64(0xFFFF)).astype(np.int64), unpack(counts, np.uint32), 1 << 16).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+                keys = unpack_sorted(keys)[unpack(counts, np.uint32) > 0]
+                held = np.union1d(held, keys & np.uint64(0xFFFFFF))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64))], ["triple"])
 
-    rows = counted.filter(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(pairs, "pair long, n long")
+    rows = counted.filter(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(triples, "triple long")
     out = np.zeros(1 << 16, np.int64)
-    for row in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[row["pair"]] = row["n"]
+    for row in rows.distinct().groupBy((F.col("triple") % (1 << 16)).alias("pair")).count().collect():
+        out[row["pair"]] = row["count"]
     return out.reshape(256, 256)
 
 
 def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log(a / b), 0 where nothing is left to tell apart."""
+    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((a > 0) & (b > 0), np.log(np.maximum(a, 1) / np.maximum(b, 1)), 0.0)
+        return np.where((a > 0) & (b > 0), np.log(np.where(a > 0, a, 1) / np.where(b > 0, b, 1)), 0.0)
 
 
 def code_lengths(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Natural log probability of the last byte of each n-gram in its context.
 
-    ``grams`` sorted and distinct, closed under what was counted for their last
-    two context bytes; ``pairs`` as of ``pair_counts``.  Goes from short to long
-    contexts.  ``whole`` is the log probability when coding starts in a context,
+    ``grams`` sorted and distinct, with all that were counted for their last two
+    context bytes; ``pairs`` as of ``pair_counts``.  The longest contexts have
+    counts; a shorter one counts in how many contexts of one more byte a byte
+    follows.  ``whole`` is the log probability when coding starts in a context,
     ``below`` the one after an escape from it, its own bytes excluded.
     """
-    single = pairs.sum(0)
+    single = np.count_nonzero(pairs, axis=0)
     total, kinds = single.sum(), np.count_nonzero(single)
     rest = -np.log(max(256 - kinds, 1))
-    whole0 = np.where(single > 0, ratio(single, total + kinds), ratio(np.full(256, kinds), np.full(256, total + kinds)) + rest)
+    whole0 = np.where(single > 0, ratio(single - ESCAPE, total), ratio(ESCAPE * kinds, total) + rest)
     # order 1, all pairs at once
     n, d = pairs.sum(1, keepdims=True), np.count_nonzero(pairs, axis=1)[:, None]
-    left = total - (single * (pairs > 0)).sum(1, keepdims=True) + kinds - d
-    below1 = np.where(single > 0, ratio(np.broadcast_to(single, pairs.shape), left), ratio(kinds - d, left) + rest)
-    whole1 = np.where(n == 0, whole0, np.where(pairs > 0, ratio(pairs, n + d), ratio(d, n + d) + below1))
+    left = total - (single * (pairs > 0)).sum(1, keepdims=True)
+    below1 = np.where(single > 0, ratio(single - ESCAPE, left), ratio(ESCAPE * (kinds - d), left) + rest)
+    whole1 = np.where(n == 0, whole0, np.where(pairs > 0, ratio(pairs - ESCAPE, n), ratio(ESCAPE * d, n) + below1))
     low = {"key": np.arange(1 << 16, dtype=np.uint64), "n": pairs.ravel(), "whole": whole1.ravel(), "below": below1.ravel(),
            "context_n": np.repeat(n.ravel(), 256), "context_d": np.repeat(d.ravel(), 256)}
+    levels = {ORDER: (grams, counts)}
+    for k in range(ORDER - 1, 1, -1):
+        key, n = levels[k + 1]
+        levels[k] = added(key & np.uint64((1 << 8 * (k + 1)) - 1), (n > 0).astype(np.int64))
     for k in range(2, ORDER + 1):
-        key, n = added(grams & np.uint64((1 << 8 * (k + 1)) - 1), counts)
+        key, n = levels[k]
         up = np.searchsorted(low["key"], key & np.uint64((1 << 8 * k) - 1))
         _, at = np.unique(key >> U8, return_inverse=True)
-        total = np.bincount(at, n)
-        kinds = np.bincount(at, n > 0)
-        excluded = np.bincount(at, np.where(n > 0, low["n"][up], 0))
-        total, kinds, excluded = total[at], kinds[at], excluded[at]
-        left = low["context_n"][up] - excluded + low["context_d"][up] - kinds
-        below = np.where(low["n"][up] > 0, ratio(low["n"][up], left), ratio(low["context_d"][up] - kinds, left) + low["below"][up])
-        whole = np.where(total == 0, low["whole"][up], np.where(n > 0, ratio(n, total + kinds), ratio(kinds, total + kinds) + below))
+        total, kinds = np.bincount(at, n)[at], np.bincount(at, n > 0)[at]
+        excluded = np.bincount(at, np.where(n > 0, low["n"][up], 0))[at]
+        left, kinds_left = low["context_n"][up] - excluded, low["context_d"][up] - kinds
+        below = np.where(low["n"][up] > 0, ratio(low["n"][up] - ESCAPE, left), ratio(ESCAPE * kinds_left, left) + low["below"][up])
+        whole = np.where(total == 0, low["whole"][up], np.where(n > 0, ratio(n - ESCAPE, total), ratio(ESCAPE * kinds, total) + below))
         low = {"key": key, "n": n, "whole": whole, "below": below, "context_n": total, "context_d": kinds}
     return low["whole"]
 
