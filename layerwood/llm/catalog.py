@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_chat, queries_classify, queries_mixing, queries_scoring, queries_warc
+from . import queries_chat, queries_classify, queries_contamination, queries_mixing, queries_scoring, queries_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": queries_classify.op1_language,
     "op2_lm_score": queries_scoring.op2_lm_score,
+    "op6_decontaminate": queries_contamination.op6_decontaminate,
     "op10_toxicity": queries_classify.op10_toxicity,
     "op3_fair_mix": queries_mixing.op3_fair_mix,
     "op5_warc": queries_warc.op5_warc,
     "op9_chat_format": queries_chat.op9_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op6_decontaminate": queries_contamination.SQL,
     "op3_fair_mix": queries_mixing.SQL,
     "op5_warc": queries_warc.SQL,
     "op9_chat_format": queries_chat.SQL,
