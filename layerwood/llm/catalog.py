@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_chat, queries_classify, queries_contamination, queries_jaccard, queries_mixing, queries_neighbours, queries_scoring, queries_warc
+from . import queries_chat, queries_classify, queries_contamination, queries_jaccard, queries_mixing, queries_neighbours, queries_repeats, queries_scoring, queries_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": queries_classify.op1_language,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": queries_contamination.op6_decontaminate,
     "op7_neighbours": queries_neighbours.op7_neighbours,
     "op4_jaccard_join": queries_jaccard.op4_jaccard_join,
+    "op8_repeats": queries_repeats.op8_repeats,
     "op10_toxicity": queries_classify.op10_toxicity,
     "op3_fair_mix": queries_mixing.op3_fair_mix,
     "op5_warc": queries_warc.op5_warc,
