@@ -65,7 +65,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
     """Per source: rank by code point (null last), source_size and target.
 
     Works on one row per source.  Sources fill up in the order of size / weight;
-    the first that does not, and all behind it, share what is left by weight.
+    the first that does not, and all behind it, share what is left by weight; the
+    level is highest there.
     """
     table = F.array(*[F.lit(float(w)) for w in weights])
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -77,7 +78,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
     budget = F.sum("source_size").over(Window.partitionBy())
     rows = rows.withColumn("level", (budget - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(behind))
     full = F.col("most") / F.col("weight") <= F.col("level")
-    rows = rows.withColumn("open_level", F.min(F.when(~full, F.col("level"))).over(Window.partitionBy()))
+    rows = rows.withColumn("open_level", F.max(F.when(~full, F.col("level"))).over(Window.partitionBy()))
     return rows.select("source", "rank", "source_size",
                        F.when(full, F.col("most")).otherwise(F.col("weight") * F.col("open_level")).alias("target"))
 

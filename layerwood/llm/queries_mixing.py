@@ -23,7 +23,7 @@ w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM
 v AS (SELECT *, CAST([5, 2, 1][1 + rank % 3] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS most FROM w),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
   / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
-o AS (SELECT *, min(CASE WHEN most / weight > level THEN level END) OVER () AS open_level FROM l),
+o AS (SELECT *, max(CASE WHEN most / weight > level THEN level END) OVER () AS open_level FROM l),
 t AS (SELECT source, rank, source_size, CASE WHEN most / weight <= level THEN most ELSE weight * open_level END AS target FROM o),
 q AS (SELECT doc_id, s.source, size, rank, source_size, target, row_number() OVER () AS nth,
     sum(size) OVER (PARTITION BY rank ORDER BY shuffled, size ROWS UNBOUNDED PRECEDING) AS served
