@@ -37,6 +37,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+#: Pairs that a bucket holds before it keeps each query's best.
+PAIRS = 400_000
+
+
 @dataclass(frozen=True)
 class Tree:
     """Inner nodes; a child below zero is leaf -child - 1, counted over the whole forest."""
@@ -128,6 +132,20 @@ def raised(x: np.ndarray, longest: float, query: bool = False) -> np.ndarray:
     return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
 
 
+def best_pairs(kept: list[tuple], uid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, member, score) the ``most`` best of each query, each point once."""
+    asker, member, score = (np.concatenate(x) for x in zip(*kept))
+    order = np.lexsort((uid[member], asker))
+    asker, member, score = asker[order], member[order], score[order]
+    once = np.ones(len(asker), bool)
+    once[1:] = (asker[1:] != asker[:-1]) | (uid[member[1:]] != uid[member[:-1]])
+    asker, member, score = asker[once], member[once], score[once]
+    order = np.lexsort((-score, asker))
+    asker = asker[order]
+    best = np.arange(len(asker)) - np.searchsorted(asker, asker) < most
+    return asker[best], member[order][best], score[order][best]
+
+
 def fit_forest(points: DataFrame, longest: float, trees: int, leaf_rows: int, sample_rows: int, seed: int) -> list[Tree]:
     total = points.count()
     sample = points.select("vector").orderBy(F.xxhash64("vector")).limit(sample_rows).toArrow().column(0)
@@ -210,26 +228,28 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
         wants = lists.flatten().to_numpy()
         back = np.argsort(wants, kind="stable")
         asks, wants = asks[back], wants[back]
-        kept = []
+        # a few more than asked for: the product's last digit may depend on the block
+        most, kept, held = k + 9, [], 0
         for name, low, high in zip(names, first, ends):
             who = asks[np.searchsorted(wants, name):np.searchsorted(wants, name, "right")]
             if not len(who):
                 continue
             members = order[low:high]
             scores = q[who] @ x[members].T
-            # a few more than asked for: the product's last digit may depend on the block
-            most = min(k + 9, len(members))
-            top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            kept.append(np.stack([np.repeat(who, most), members[top].ravel()]))
+            some = min(most, len(members))
+            top = np.argpartition(-scores, some - 1, axis=1)[:, :some]
+            kept.append((np.repeat(who, some), members[top].ravel(), np.take_along_axis(scores, top, 1).ravel()))
+            held += top.size
+            if held > PAIRS:
+                kept = [best_pairs(kept, uid, most)]
+                held = len(kept[0][0])
         if not kept:
             return none
-        pairs = np.concatenate(kept, axis=1)
-        score = np.einsum("ij,ij->i", q[pairs[0]], x[pairs[1]])
-        order = np.lexsort((uid[pairs[1]], -score, pairs[0]))
-        pairs, score = pairs[:, order], score[order]
-        same = np.zeros(len(score), bool)
-        same[1:] = (pairs[0, 1:] == pairs[0, :-1]) & (uid[pairs[1, 1:]] == uid[pairs[1, :-1]])
-        pairs, score = pairs[:, ~same], score[~same]
+        asker, member, _ = best_pairs(kept, uid, most)
+        score = np.concatenate([np.einsum("ij,ij->i", q[asker[i:i + PAIRS // 8]], x[member[i:i + PAIRS // 8]])
+                                for i in range(0, len(asker), PAIRS // 8)])
+        order = np.lexsort((uid[member], -score, asker))
+        pairs, score = np.stack([asker[order], member[order]]), score[order]
         begin = np.searchsorted(pairs[0], pairs[0])
         # ties with the last place stay, ids decide later
         last = np.minimum(begin + k, np.searchsorted(pairs[0], pairs[0], "right") - 1)
