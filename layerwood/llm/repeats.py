@@ -41,7 +41,7 @@ from .text import BYTE_VALUES, STEP, STEP_BACK, joined, mixed, powers
 
 LENGTH, CORE = 400, 100
 SHALLOW = CORE + 64
-SEGMENT = 2 << 20
+SEGMENT = 1 << 19
 MOST = 20_000
 RUN = 8_192
 FORTH, BACK = None, None
