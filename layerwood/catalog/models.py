@@ -213,13 +213,13 @@ def block_cascade_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _agreement(model.transform(test), load_cascade(spark, path).transform(test))
 
 
-@query("scoring_by_joins", AGREE_SQL)
-def scoring_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring by joins, for node tables beyond the broadcast bound, agrees with broadcast scoring."""
+@query("scoring_in_groups", AGREE_SQL)
+def scoring_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring in groups of one tree agrees with scoring by all trees at once."""
     train, test = blocked_lines(spark, sf_dir)
     model = fit_forest(train, SMALL, False, 4)
     first = model.transform(test)
-    model.broadcast_nodes = 0
+    model.state_bytes = 0
     return _agreement(first, model.transform(test))
 
 

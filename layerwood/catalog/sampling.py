@@ -168,8 +168,8 @@ def sampling_rate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds for drawing half of each customer's orders."""
     sizes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n"))
     n, s, half = F.col("n"), F.col("n") / 2.0, F.lit(0.5)
-    out = {"poisson_lower": R.poisson_lower(s), "poisson_upper": R.poisson_upper(s),
-           "binomial_lower": R.binomial_lower(n, half), "binomial_upper": R.binomial_upper(n, half),
-           "rate_with": R.fraction_for_sample_size(s, n, True),
-           "rate_without": R.fraction_for_sample_size(s, n, False)}
+    out = {"poisson_lower": R.poisson_mean(s, False), "poisson_upper": R.poisson_mean(s, True),
+           "binomial_lower": R.binomial_rate(n, half, False), "binomial_upper": R.binomial_rate(n, half, True),
+           "rate_with": R.keep_rate(s, n, True),
+           "rate_without": R.keep_rate(s, n, False)}
     return sizes.select("o_custkey", *[F.round(c, 9).alias(name) for name, c in out.items()])

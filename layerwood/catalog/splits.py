@@ -415,11 +415,11 @@ p0 AS MATERIALIZED (SELECT * FROM (SELECT tree, 1::BIGINT AS node, label, b0, b1
 
 
 def grown(spark: SparkSession, sf_dir: str, depth: int, trees: int, is_random: bool,
-          broadcast_nodes: int | None = None) -> DataFrame:
+          state_bytes: int | None = None) -> DataFrame:
     config = ForestConfig(num_classes=3, trees=trees, max_depth=depth, max_bins=64, seed=TREE_SEED)
     rows = ready_rows(line_rows(spark, sf_dir), TREE_SEED, "instance")
     plan = plan_trees([[0]], {0} if is_random else set(), 4, config, 1)
-    extra = {} if broadcast_nodes is None else {"broadcast_nodes": broadcast_nodes}
+    extra = {} if state_bytes is None else {"state_bytes": state_bytes}
     layer = fit_layer(rows, plan, fit_binning(rows, [0], 4, config), config, **extra)
     return layer.nodes.select("tree", "node", "is_leaf", "feature", F.round("threshold", 9).alias("threshold"),
                               *[F.get("counts", F.lit(k)).alias(f"c{k}") for k in range(3)])
@@ -443,10 +443,10 @@ def bootstrap_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown(spark, sf_dir, 3, 4, False)
 
 
-@query("bootstrap_forest_by_joins", growth_sql(3, 4, 2, False, True))
-def bootstrap_forest_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("bootstrap_forest_in_groups", growth_sql(3, 4, 2, False, True))
+def bootstrap_forest_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same trees on the path without broadcasts, used for node tables of any size."""
-    return grown(spark, sf_dir, 3, 4, False, broadcast_nodes=0)
+    return grown(spark, sf_dir, 3, 4, False, state_bytes=0)
 
 
 CUT_HASHES = [key_hash_value(TREE_SEED, 1, t) for t in range(8)]

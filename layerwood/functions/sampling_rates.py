@@ -1,4 +1,13 @@
-"""Sampling rates that reach a wanted sample size in 99.99 % of the runs."""
+"""Keep-probabilities under which one pass over a stream draws enough rows.
+
+A pass keeps every row independently.  Two tail bounds tell how far the number of
+kept rows strays from its mean, except with probability ``MISS``:
+
+* rows drawn with replacement follow a Poisson law; the table ``SPREADS`` gives
+  the half-width in standard deviations, by mean;
+* rows drawn without replacement follow a binomial law; Bernstein's inequality,
+  solved for the rate, gives the half-width.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +16,43 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MIN_SAMPLING_RATE = 1e-10
-FAILURE_RATE = 1e-4
-
-
-def _num_std(s: Column) -> Column:
-    return F.when(s < 6.0, F.lit(12.0)).when(s < 16.0, F.lit(9.0)).otherwise(F.lit(6.0))
+# Half-widths below a mean, the width beyond, floors, and the chance of a miss.
+SPREADS = ((6.0, 12.0), (16.0, 9.0))
+WIDE_SPREAD = 6.0
+LEAST_RATE = 1e-10
+LEAST_MEAN = 1e-15
+MISS = 1e-4
 
 
-def poisson_lower(s: Column) -> Column:
-    return F.greatest(s - _num_std(s) * F.sqrt(s), F.lit(1e-15))
+def poisson_half_width(mean: Column) -> Column:
+    spread = F.lit(WIDE_SPREAD)
+    for below, deviations in reversed(SPREADS):
+        spread = F.when(mean < below, F.lit(deviations)).otherwise(spread)
+    return spread * F.sqrt(mean)
 
 
-def poisson_upper(s: Column) -> Column:
-    return F.greatest(s + _num_std(s) * F.sqrt(s), F.lit(MIN_SAMPLING_RATE))
+def bernstein_half_width(rate: Column, n: Column, order: float, scale: float, miss: float) -> tuple[Column, Column]:
+    """Shift and width of the rate interval: roots of (x - rate)^2 = 2 u (x - rate) + order u rate, u per row."""
+    u = F.lit(scale * math.log(1 / miss)) / n
+    return u, F.sqrt(u * u + order * u * rate)
 
 
-def binomial_lower(n: Column, fraction: Column, delta: float = FAILURE_RATE) -> Column:
-    gamma = F.lit(-math.log(delta)) / n * F.lit(2.0 / 3.0)
-    return fraction + gamma - F.sqrt(gamma * gamma + F.lit(3.0) * gamma * fraction)
+def poisson_mean(size: Column, upper: bool) -> Column:
+    """The largest or smallest mean that the wanted size is likely to come from."""
+    width = poisson_half_width(size)
+    return F.greatest(size + width, F.lit(LEAST_RATE)) if upper else F.greatest(size - width, F.lit(LEAST_MEAN))
 
 
-def binomial_upper(n: Column, fraction: Column, delta: float = FAILURE_RATE) -> Column:
-    gamma = F.lit(-math.log(delta)) / n
-    rate = fraction + gamma + F.sqrt(gamma * gamma + F.lit(2.0) * gamma * fraction)
-    return F.least(F.lit(1.0), F.greatest(F.lit(MIN_SAMPLING_RATE), rate))
+def binomial_rate(n: Column, rate: Column, upper: bool, miss: float = MISS) -> Column:
+    """The largest or smallest rate at which ``rate`` of n rows are likely to be kept."""
+    if not upper:
+        shift, width = bernstein_half_width(rate, n, 3.0, 2.0 / 3.0, miss)
+        return rate + shift - width
+    shift, width = bernstein_half_width(rate, n, 2.0, 1.0, miss)
+    return F.least(F.greatest(rate + shift + width, F.lit(LEAST_RATE)), F.lit(1.0))
 
 
-def fraction_for_sample_size(size: Column, n: Column, with_replacement: bool) -> Column:
+def keep_rate(size: Column, n: Column, with_replacement: bool) -> Column:
+    """Rate that keeps at least ``size`` of n rows."""
     size, n = size.cast("double"), n.cast("double")
-    if with_replacement:
-        return poisson_upper(size) / n
-    return binomial_upper(n, size / n)
+    return poisson_mean(size, True) / n if with_replacement else binomial_rate(n, size / n, True)

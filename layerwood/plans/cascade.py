@@ -20,7 +20,8 @@ from ..operators.sampling import assign_blocks, k_folds
 from ..operators.vectors import multi_grain_scan
 from ..session import materialize, require_columns
 from .forest import fit_layer, ready_rows
-from .grower import BROADCAST_NODES, Binning, fit_binning, plan_trees
+from .checks import checked_features, checked_rows
+from .grower import STATE_BYTES, Binning, fit_binning, plan_trees
 from .scoring import Layer, with_class_vectors
 
 MEAN, CONCAT = "mean", "concat"
@@ -41,7 +42,8 @@ class CascadeModel:
     num_features: int
     feed: str = MEAN
     history: list[dict] = dataclasses.field(default_factory=list)
-    broadcast_nodes: int = BROADCAST_NODES
+    state_bytes: int = STATE_BYTES
+    arity: dict[int, int] = dataclasses.field(default_factory=dict)
 
     @property
     def best_layer(self) -> int:
@@ -52,11 +54,12 @@ class CascadeModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` and ``prediction``; all layers run in one narrow pass."""
         require_columns(df, "instance", "features")
-        rows = df.withColumn("_raw", F.col("features"))
+        rows = df.withColumn("features", checked_features(F.col("features"), self.num_features, self.arity))
+        rows = rows.withColumn("_raw", F.col("features"))
         if "block" not in df.columns:
             rows = rows.withColumn("block", F.lit(0).cast("long"))
         for i, layer in enumerate(self.layers):
-            scored = with_class_vectors(rows, layer, "_vector", broadcast_nodes=self.broadcast_nodes)
+            scored = with_class_vectors(rows, layer, "_vector", state_bytes=self.state_bytes)
             if i + 1 < len(self.layers):
                 passed_on = F.expr(fed_forward(layer, self.feed, "_vector"))
                 rows = scored.withColumn("features", F.concat("_raw", passed_on)).drop("_vector")
@@ -93,11 +96,11 @@ def with_previous(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat("raw", "previous"))
 
 
-def score_layer(rows: DataFrame, layer: Layer, feed: str, name: str, broadcast_nodes: int) -> DataFrame:
+def score_layer(rows: DataFrame, layer: Layer, feed: str, name: str, state_bytes: int) -> DataFrame:
     """Class vectors of all rows, written as the next layer's input."""
     keep = [c for c in rows.columns if c not in ("features", "previous", "vector")]
     scored = with_class_vectors(with_previous(rows), layer, "vector", fold=F.col("fold"),
-                                broadcast_nodes=broadcast_nodes)
+                                state_bytes=state_bytes)
     return materialize(scored.select(*keep, "vector", F.expr(fed_forward(layer, feed)).alias("previous")), name)
 
 
@@ -110,7 +113,7 @@ def layer_report(rows: DataFrame, layer: Layer, layer_id: int) -> list[dict]:
 
 def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestConfig,
                       arity: dict[int, int] | None = None,
-                      broadcast_nodes: int = BROADCAST_NODES) -> CascadeModel:
+                      state_bytes: int = STATE_BYTES) -> CascadeModel:
     """The block cascade.
 
     ``train`` has instance, block, label, features: the chosen blocks.  In every
@@ -120,21 +123,22 @@ def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestCo
     """
     require_columns(train, "instance", "block", "label", "features")
     train = multi_grain_scan(train, config.data_style)
+    num_features = feature_count(train)
     columns = ["instance", "block", "label", "features"]
     rows = train.select(*columns, F.lit("train").alias("split"))
     if test is not None:
         held_out = test.withColumn("block", F.lit(0).cast("long")).select(*columns, F.lit("test").alias("split"))
         rows = rows.unionByName(held_out)
+    rows = checked_rows(rows, config.num_classes, num_features, arity)
     rows = ready_rows(rows, config.seed, "block", "instance").withColumnRenamed("features", "raw")
     rows = materialize(rows.withColumn("previous", F.array().cast("array<double>")), "layer-input")
     seen = rows.filter("split = 'train'").select("block").distinct().collect()  # one row per block
     blocks = sorted(int(r["block"]) for r in seen)
-    num_features = feature_count(rows.filter("split = 'train'"), "raw")
     bins = _Bins(rows.filter("split = 'train'").withColumn("features", F.col("raw")), blocks, num_features,
                  config, arity)
     randoms = set(range(config.rf_num, config.models_per_layer))
     stop_on = "test" if test is not None and config.early_stop_by_test else "train"
-    model = CascadeModel([], config, num_features, MEAN, [], broadcast_nodes)
+    model = CascadeModel([], config, num_features, MEAN, [], state_bytes, dict(arity or {}))
     accuracies: list[float] = []
     while True:
         layer_id = len(model.layers) + 1
@@ -144,9 +148,9 @@ def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestCo
         training = rows.filter((F.col("split") == "train") & F.col("block").isin(used))
         trees = plan_trees(assignment, randoms, num_features + extra, config, layer_id)
         layer = fit_layer(with_previous(training), trees, bins.at(rows.filter("split = 'train'"), extra),
-                          config, broadcast_nodes)
+                          config, state_bytes)
         model.layers.append(layer)
-        rows = score_layer(rows, layer, MEAN, f"layer-{layer_id}", broadcast_nodes)
+        rows = score_layer(rows, layer, MEAN, f"layer-{layer_id}", state_bytes)
         model.history += layer_report(rows, layer, layer_id)
         accuracies.append(next(h["accuracy"] for h in model.history
                                if h["layer"] == layer_id and h["split"] == stop_on))
@@ -164,7 +168,7 @@ def pooled_layer_accuracy(rows: DataFrame, layer: Layer) -> tuple[int, int]:
 
 
 def fit_cascade(train: DataFrame, config: ForestConfig, arity: dict[int, int] | None = None,
-                broadcast_nodes: int = BROADCAST_NODES) -> CascadeModel:
+                state_bytes: int = STATE_BYTES) -> CascadeModel:
     """The k-fold cascade: each row's vector comes from trees that left its fold out.
 
     All folds of all forests, and the forests on all rows used for prediction,
@@ -172,22 +176,23 @@ def fit_cascade(train: DataFrame, config: ForestConfig, arity: dict[int, int] |
     """
     require_columns(train, "instance", "label", "features")
     train = multi_grain_scan(train, config.data_style)
-    rows = k_folds(train.drop("block", "fold"), config.num_folds, config.seed, "instance")
+    num_features = feature_count(train)
+    rows = checked_rows(train, config.num_classes, num_features, arity)
+    rows = k_folds(rows.drop("block", "fold"), config.num_folds, config.seed, "instance")
     rows = ready_rows(rows, config.seed, "instance").withColumnRenamed("features", "raw")
     rows = materialize(rows.withColumn("previous", F.array().cast("array<double>")), "layer-input")
-    num_features = feature_count(rows, "raw")
     bins = _Bins(rows.withColumn("features", F.col("raw")), [0], num_features, config, arity)
     randoms = set(range(config.rf_num, config.models_per_layer))
-    model = CascadeModel([], config, num_features, CONCAT, [], broadcast_nodes)
+    model = CascadeModel([], config, num_features, CONCAT, [], state_bytes, dict(arity or {}))
     accuracies: list[float] = []
     while True:
         layer_id = len(model.layers) + 1
         extra = config.models_per_layer * config.num_classes if layer_id > 1 else 0
         trees = plan_trees([[0]] * config.models_per_layer, randoms, num_features + extra, config, layer_id,
                            folds_out=(-1, *range(config.num_folds)))
-        layer = fit_layer(with_previous(rows), trees, bins.at(rows, extra), config, broadcast_nodes)
+        layer = fit_layer(with_previous(rows), trees, bins.at(rows, extra), config, state_bytes)
         model.layers.append(layer)
-        rows = score_layer(rows, layer, CONCAT, f"layer-{layer_id}", broadcast_nodes)
+        rows = score_layer(rows, layer, CONCAT, f"layer-{layer_id}", state_bytes)
         right, total = pooled_layer_accuracy(rows, layer)
         accuracies.append(right / max(total, 1))
         model.history.append({"layer": layer_id, "split": "train", "n_right": right, "n_total": total,
@@ -197,14 +202,15 @@ def fit_cascade(train: DataFrame, config: ForestConfig, arity: dict[int, int] |
 
 
 def out_of_fold_vectors(train: DataFrame, config: ForestConfig, is_random: bool,
-                        broadcast_nodes: int = BROADCAST_NODES) -> tuple[DataFrame, Layer]:
+                        state_bytes: int = STATE_BYTES) -> tuple[DataFrame, Layer]:
     """One forest's out-of-fold vectors for every row, and the forest itself."""
+    num_features = feature_count(train)
+    train = checked_rows(train, config.num_classes, num_features)
     rows = ready_rows(k_folds(train.drop("block", "fold"), config.num_folds, config.seed, "instance"),
                       config.seed, "instance")
     rows = materialize(rows, "fold-input")
-    num_features = feature_count(rows)
     trees = plan_trees([[0]], {0} if is_random else set(), num_features, config, 1,
                        folds_out=(-1, *range(config.num_folds)))
-    layer = fit_layer(rows, trees, fit_binning(rows, [0], num_features, config), config, broadcast_nodes)
-    scored = with_class_vectors(rows, layer, "probability", fold=F.col("fold"), broadcast_nodes=broadcast_nodes)
+    layer = fit_layer(rows, trees, fit_binning(rows, [0], num_features, config), config, state_bytes)
+    scored = with_class_vectors(rows, layer, "probability", fold=F.col("fold"), state_bytes=state_bytes)
     return scored.select("instance", "fold", "label", "probability"), layer

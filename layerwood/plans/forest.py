@@ -15,7 +15,8 @@ from ..config import ForestConfig
 from ..functions.arrays import argmax
 from ..operators.vectors import to_double_label
 from ..session import materialize, spread
-from .grower import BROADCAST_NODES, Binning, Tree, bin_points, fit_binning, grow, plan_trees, with_row_hash
+from .checks import checked_features, checked_rows
+from .grower import STATE_BYTES, Binning, Tree, bin_points, fit_binning, grow, plan_trees, with_row_hash
 from .scoring import Layer, with_class_vectors
 
 
@@ -31,11 +32,11 @@ def ready_rows(df: DataFrame, seed: int, *keys: str) -> DataFrame:
 
 
 def fit_layer(rows: DataFrame, trees: list[Tree], binning: Binning, config: ForestConfig,
-              broadcast_nodes: int = BROADCAST_NODES) -> Layer:
+              state_bytes: int = STATE_BYTES) -> Layer:
     """Train all trees of a layer on (block, fold, row_hash, label, features) rows."""
     points = bin_points(rows, binning).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Layer(trees, grow(points, trees, binning, config, broadcast_nodes), config.num_classes)
+        return Layer(trees, grow(points, trees, binning, config, state_bytes), config.num_classes)
     finally:
         points.unpersist()
 
@@ -46,12 +47,14 @@ class ForestModel:
 
     layer: Layer
     num_features: int
-    broadcast_nodes: int = BROADCAST_NODES
+    state_bytes: int = STATE_BYTES
+    arity: dict[int, int] = dataclasses.field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` and ``prediction``."""
         rows = df if "block" in df.columns else df.withColumn("block", F.lit(0).cast("long"))
-        out = with_class_vectors(rows, self.layer, "probability", broadcast_nodes=self.broadcast_nodes)
+        rows = rows.withColumn("features", checked_features(F.col("features"), self.num_features, self.arity))
+        out = with_class_vectors(rows, self.layer, "probability", state_bytes=self.state_bytes)
         out = out.withColumn("prediction", argmax("probability").cast("double"))
         return out.select(*df.columns, "probability", "prediction")
 
@@ -69,22 +72,23 @@ class ForestModel:
 
 def fit_block_forest(df: DataFrame, config: ForestConfig, is_random: bool, num_features: int,
                      blocks: list[int] | None = None, arity: dict[int, int] | None = None,
-                     broadcast_nodes: int = BROADCAST_NODES) -> ForestModel:
+                     state_bytes: int = STATE_BYTES) -> ForestModel:
     """One model with one forest per block; the j-th forest sees the j-th block only."""
     blocks = [0] if blocks is None else blocks
     if "block" in df.columns:
         df = df.filter(F.col("block").isin([int(b) for b in blocks]))
+    df = checked_rows(df, config.num_classes, num_features, arity)
     rows = ready_rows(df, config.seed).select("block", "fold", "row_hash", "label", "features")
     rows = materialize(rows, "forest-input")
     trees = plan_trees([blocks], {0} if is_random else set(), num_features, config, layer=1)
     binning = fit_binning(rows, blocks, num_features, config, arity)
-    return ForestModel(fit_layer(rows, trees, binning, config, broadcast_nodes), num_features, broadcast_nodes)
+    return ForestModel(fit_layer(rows, trees, binning, config, state_bytes), num_features, state_bytes, dict(arity or {}))
 
 
 def fit_forest(df: DataFrame, config: ForestConfig, is_random: bool, num_features: int,
-               arity: dict[int, int] | None = None, broadcast_nodes: int = BROADCAST_NODES) -> ForestModel:
+               arity: dict[int, int] | None = None, state_bytes: int = STATE_BYTES) -> ForestModel:
     """One forest on all rows (``block`` is ignored)."""
-    return fit_block_forest(df.drop("block"), config, is_random, num_features, None, arity, broadcast_nodes)
+    return fit_block_forest(df.drop("block"), config, is_random, num_features, None, arity, state_bytes)
 
 
 def library_forest_vectors(train: DataFrame, test: DataFrame, config: ForestConfig) -> DataFrame:

@@ -6,9 +6,10 @@ the cuts, and one row per open node comes back to the driver.  The binned rows
 never change, so a lost executor only recomputes its own rows and no lineage
 builds up.
 
-The trees known so far travel as a broadcast.  Its size is checked before every
-level; beyond ``broadcast_nodes`` the open nodes are handed to plain DataFrame
-joins on (tree, node), which make the same trees.
+The trees known so far travel as a broadcast.  Its size in bytes is checked before
+every level; a group of trees beyond ``state_bytes`` is halved, and the halves
+grow on one after the other, each reading only the blocks of its own trees.  One
+tree is the smallest group.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ..operators.sampling import poisson_cdf
 from ..session import materialize, require_columns
 from . import tasks
 
-BROADCAST_NODES = 2_000_000
+STATE_BYTES = 256 << 20
 PREFILTER_FACTOR = 4
 NODE_SCHEMA = ("tree int, node long, is_leaf boolean, feature int, kind int, cut int, mask long, "
                "threshold double, gain double, counts array<double>")
@@ -214,6 +215,32 @@ class NodeArrays:
     def __len__(self):
         return len(self.columns["tree"])
 
+    def roots(self) -> dict[int, int]:
+        at = np.flatnonzero(self.columns["node"] == 1)
+        return dict(zip(self.columns["tree"][at].tolist(), at.tolist()))
+
+    def state_bytes(self, trees: list[Tree]) -> int:
+        """Size of what a level sends to the tasks: nodes, and candidates of the open ones."""
+        width = max(t.subset for t in trees) + 1
+        return 48 * len(self) + (16 + 12 * width) * len(self.open)
+
+    def part(self, members: list[int]) -> NodeArrays:
+        """The nodes of some trees."""
+        keep = np.isin(self.columns["tree"], members)
+        place = np.cumsum(keep) - 1
+        out = object.__new__(NodeArrays)
+        out.columns = {n: v[keep] for n, v in self.columns.items()}
+        child = out.columns["child"]
+        out.columns["child"] = np.where(child >= 0, place[np.maximum(child, 0)], -1)
+        out.open = place[self.open[keep[self.open]]]
+        return out
+
+    def halves(self) -> list[list[int]]:
+        """The trees in two runs with about equally many nodes."""
+        names, sizes = np.unique(self.columns["tree"], return_counts=True)
+        cut = min(max(int(np.searchsorted(np.cumsum(sizes), len(self) / 2)) + 1, 1), len(names) - 1)
+        return [names[:cut].tolist(), names[cut:].tolist()]
+
     def apply(self, found: dict, num_classes: int) -> None:
         """Store the decisions of one level and open the children that may split."""
         c, front = self.columns, self.open
@@ -302,11 +329,11 @@ def candidate_arrays(trees: list[Tree], binning: Binning, tree: np.ndarray, node
     return [np.concatenate(parts) for parts in zip(*out)]
 
 
-def task_trees(trees: list[Tree]) -> dict[int, list[dict]]:
+def task_trees(trees: list[Tree], roots: dict[int, int]) -> dict[int, list[dict]]:
     by_block: dict[int, list[dict]] = {}
-    for position, t in enumerate(trees):
+    for t in (t for t in trees if t.tree in roots):
         by_block.setdefault(t.block, []).append({
-            "tree": t.tree, "root": position, "tree_hash": t.tree_hash, "bootstrap": t.bootstrap,
+            "tree": t.tree, "root": roots[t.tree], "tree_hash": t.tree_hash, "bootstrap": t.bootstrap,
             "rate": t.rate, "fold_out": t.fold_out,
             "poisson": np.array([int(p * MIX_RANGE) for p in poisson_cdf(t.rate)], np.int64)})
     return by_block
@@ -317,7 +344,7 @@ def level_state(nodes: NodeArrays, trees: list[Tree], binning: Binning, config:
     feature, kind, cut = candidate_arrays(trees, binning, c["tree"][front], c["node"][front], level == 0)
     slot = np.full(len(nodes), -1, np.int64)
     slot[front] = np.arange(len(front))
-    return {"trees": task_trees(trees), "num_classes": config.num_classes, "num_bins": config.max_bins + 1,
+    return {"trees": task_trees(trees, nodes.roots()), "num_classes": config.num_classes, "num_bins": config.max_bins + 1,
             "slot_tree": c["tree"][front], "slot_node": c["node"][front],
             "cand_feature": feature, "cand_kind": kind, "cand_cut": cut,
             "nodes": {**{k: c[k] for k in ("child", "feature", "kind", "cut", "mask")}, "slot": slot,
@@ -345,83 +372,33 @@ def choose_level(histogram: DataFrame, config: ForestConfig, kinds, level: int)
 
 
 def grow(points: DataFrame, trees: list[Tree], binning: Binning, config: ForestConfig,
-         broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+         state_bytes: int = STATE_BYTES) -> DataFrame:
     """Node table of all trees, from binned points."""
     spark = points.sparkSession
     fields = "tree int, node long, feature int, kind int, cut int, bin int, " + ", ".join(
         f"{c} double" for c in S.count_columns(config.num_classes))
-    nodes = NodeArrays(trees, config.num_classes)
-    for level in range(config.max_depth):
-        if not len(nodes.open):
-            break
-        if len(nodes) + 2 * len(nodes.open) > broadcast_nodes:
-            return grow_by_joins(points, nodes, trees, binning, config, level)
-        shared = spark.sparkContext.broadcast(level_state(nodes, trees, binning, config, level))
-        partial = points.mapInArrow(lambda it, s=shared: tasks.histogram_batches(it, s.value), fields)
-        # partial counts are merged inside each task, so one shuffle by node serves the
-        # merge, the prefix sums and the choice of the cut
-        merged = S.merge_histogram(partial.repartition("tree", "node"), config.num_classes)
-        nodes.apply(read_level(choose_level(merged, config, binning.kinds, level).toArrow()), config.num_classes)
-        shared.unpersist()
-    return nodes.frame(spark, trees, binning)
-
-
-# ---------------------------------------------------------------- beyond the broadcast bound
-
-def threshold_frame(spark: SparkSession, trees: list[Tree], binning: Binning) -> DataFrame:
-    rows = [(t.tree, f, i, float(x)) for t in trees
-            for f, values in enumerate(binning.thresholds[t.block]) if values is not None
-            for i, x in enumerate(values)]
-    return spark.createDataFrame(rows or [(-1, -1, -1, 0.0)], "tree int, feature int, cut int, threshold double")
-
-
-def tree_frame(spark: SparkSession, trees: list[Tree], binning: Binning) -> DataFrame:
-    rows = [(t.tree, t.tree_hash, t.is_random, t.subset, [int(n) for n in binning.num_splits(t.block)],
-             binning.kinds) for t in trees]
-    return spark.createDataFrame(rows, "tree int, tree_hash long, is_random boolean, subset int, "
-                                       "num_splits array<int>, kinds array<int>")
-
-
-def grow_by_joins(points: DataFrame, nodes: NodeArrays, trees: list[Tree], binning: Binning,
-                  config: ForestConfig, level: int) -> DataFrame:
-    """The remaining levels as equi-joins on (tree, node); nothing grows on the driver."""
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast(level_state(nodes, trees, binning, config, level))
-    rows = materialize(points.mapInArrow(lambda it: tasks.point_batches(it, shared.value),
-                                         "tree int, node long, label int, w int, bins array<int>"), "tree-points")
-    tree_rows = F.broadcast(tree_frame(spark, trees, binning))  # one row per tree of the layer
-    closed = np.setdiff1d(nodes.known(), nodes.open)
-    parts = [nodes.frame(spark, trees, binning, closed).drop("threshold")]
-
-    def opened(kids: DataFrame) -> DataFrame:
-        return materialize(S.candidate_cuts(kids.join(tree_rows, "tree")).select(
-            "tree", "node", "counts", "candidates"), "frontier")
-
-    frontier = opened(nodes.frame(spark, trees, binning, nodes.open).select("tree", "node", "counts"))
-    names = [f.name for f in parts[0].schema.fields]
-    for depth in range(level, config.max_depth):
-        histogram = S.node_histogram(rows, frontier, config.num_classes, with_totals=depth == 0)
-        decided = materialize(choose_level(histogram, config, binning.kinds, depth), "level")
-        kids = S.children(decided)
-        stuck = frontier.join(decided.select(*S.NODE), S.NODE, "left_anti").select("tree", "node", "counts")
-        leaves = kids.filter("is_leaf").select("tree", "node", "counts").unionByName(stuck)
-        empty = {"feature": "int", "kind": "int", "cut": "int", "mask": "long", "gain": "double"}
-        leaves = leaves.select("*", F.lit(True).alias("is_leaf"),
-                               *[F.lit(0).cast(t).alias(n) for n, t in empty.items()])
-        failed = decided.filter("is_leaf").select("tree", "node", "counts", F.lit(True).alias("is_leaf"),
-                                                  *[F.lit(0).cast(t).alias(n) for n, t in empty.items()])
-        parts += [decided.filter("not is_leaf").select(*names), leaves.select(*names), failed.select(*names)]
-        frontier = opened(kids.filter("not is_leaf"))
-        if frontier.isEmpty():
-            break
-        rows = materialize(S.route_points(rows, decided), "tree-points")
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    # thresholds: trees x features x max_bins rows, fixed by the configuration
-    looked_up = F.when(~F.col("is_leaf") & (F.col("kind") == S.CONTINUOUS), F.col("threshold"))
-    out = union.join(F.broadcast(threshold_frame(spark, trees, binning)), ["tree", "feature", "cut"], "left")
-    out = out.withColumn("threshold", F.coalesce(looked_up, F.lit(0.0)))
-    # a tree that saw no row has no usable root
-    out = out.filter((F.col("node") != 1) | (F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) > 0))
-    return materialize(out.select([f.strip().split(" ")[0] for f in NODE_SCHEMA.split(",")]), "nodes")
+    todo, done = [(NodeArrays(trees, config.num_classes), 0)], []
+    while todo:
+        nodes, level = todo.pop()
+        while level < config.max_depth and len(nodes.open):
+            if nodes.state_bytes(trees) > state_bytes and len(nodes.roots()) > 1:
+                todo += [(nodes.part(half), level) for half in reversed(nodes.halves())]
+                break
+            blocks = sorted({t.block for t in trees if t.tree in nodes.roots()})
+            shared = spark.sparkContext.broadcast(level_state(nodes, trees, binning, config, level))
+            own = points.filter(F.col("block").isin(blocks))
+            partial = own.mapInArrow(lambda it, s=shared: tasks.histogram_batches(it, s.value), fields)
+            # partial counts are merged inside each task, so one shuffle by node serves the
+            # merge, the prefix sums and the choice of the cut
+            merged = S.merge_histogram(partial.repartition("tree", "node"), config.num_classes)
+            nodes.apply(read_level(choose_level(merged, config, binning.kinds, level).toArrow()), config.num_classes)
+            shared.unpersist()
+            level += 1
+        else:
+            done.append(nodes.frame(spark, trees, binning))
+            if todo or len(done) > 1:
+                done[-1] = materialize(done[-1], "nodes")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -48,7 +48,7 @@ def save_cascade(model: CascadeModel, path: str) -> None:
     _write_layers(spark, model.layers, path, {
         "type": "cascade", "num_classes": model.config.num_classes, "num_features": model.num_features,
         "feed": model.feed, "config": model.config.to_dict(), "history": model.history,
-        "broadcast_nodes": model.broadcast_nodes})
+        "state_bytes": model.state_bytes, "arity": sorted(model.arity.items())})
 
 
 def load_cascade(spark: SparkSession, path: str) -> CascadeModel:
@@ -56,18 +56,18 @@ def load_cascade(spark: SparkSession, path: str) -> CascadeModel:
     if meta["type"] != "cascade":
         raise ValueError(f"{path} holds a {meta['type']}")
     return CascadeModel(_read_layers(spark, path, meta), ForestConfig(**meta["config"]), meta["num_features"],
-                        meta["feed"], meta["history"], meta["broadcast_nodes"])
+                        meta["feed"], meta["history"], meta["state_bytes"], {f: n for f, n in meta["arity"]})
 
 
 def save_forest(model: ForestModel, path: str) -> None:
     layer = model.layer
     _write_layers(layer.nodes.sparkSession, [layer], path, {
         "type": "forest", "num_classes": layer.num_classes, "num_features": model.num_features,
-        "num_trees": len(layer.trees), "broadcast_nodes": model.broadcast_nodes})
+        "num_trees": len(layer.trees), "state_bytes": model.state_bytes, "arity": sorted(model.arity.items())})
 
 
 def load_forest(spark: SparkSession, path: str) -> ForestModel:
     meta = read_metadata(spark, path)
     if meta["type"] != "forest":
         raise ValueError(f"{path} holds a {meta['type']}")
-    return ForestModel(_read_layers(spark, path, meta)[0], meta["num_features"], meta["broadcast_nodes"])
+    return ForestModel(_read_layers(spark, path, meta)[0], meta["num_features"], meta["state_bytes"], {f: n for f, n in meta["arity"]})

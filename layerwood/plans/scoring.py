@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import normalize
-from ..operators import splits as S
 from ..session import materialize
 from . import tasks
-from .grower import BROADCAST_NODES, Tree, list_column
-
-LEVELS_PER_TABLE = 4
+from .grower import STATE_BYTES, Tree, list_column
 
 
 @dataclasses.dataclass
@@ -25,22 +22,39 @@ class Layer:
     trees: list[Tree]
     nodes: DataFrame
     num_classes: int
-    node_count: int | None = None
 
     @property
     def num_models(self) -> int:
         return max(t.model for t in self.trees) + 1
 
     def size(self) -> int:
-        if self.node_count is None:
-            self.node_count = self.nodes.count()
-        return self.node_count
-
-
-def layer_state(layer: Layer) -> dict:
-    """Node arrays for the tasks; called only below the broadcast bound."""
-    table = layer.nodes.select("tree", "node", "is_leaf", "feature", "kind", "mask", "threshold",
-                               "counts").toArrow()
+        return self.nodes.count()
+
+    def forests(self) -> dict[tuple[int, int, int], int]:
+        """A place for the votes of each (model, left-out fold, forest)."""
+        return {key: i for i, key in enumerate(sorted({(t.model, t.fold_out, t.forest) for t in self.trees}))}
+
+    def groups(self, state_bytes: int) -> list[list[Tree]]:
+        """Trees in runs whose node arrays stay below the bound; one tree at least.
+
+        One row per tree reaches the driver.
+        """
+        sizes = {r["tree"]: r["count"] for r in self.nodes.groupBy("tree").count().collect()}
+        per_node, out, held = 48 + 8 * self.num_classes, [[]], 0
+        for t in self.trees:
+            size = per_node * sizes.get(t.tree, 0)
+            if out[-1] and held + size > state_bytes:
+                out.append([])
+                held = 0
+            out[-1].append(t)
+            held += size
+        return out
+
+
+def layer_state(layer: Layer, trees: list[Tree]) -> dict:
+    """Node arrays of some trees for the tasks."""
+    own = layer.nodes if len(trees) == len(layer.trees) else layer.nodes.filter(F.col("tree").isin([t.tree for t in trees]))
+    table = own.select("tree", "node", "is_leaf", "feature", "kind", "mask", "threshold", "counts").toArrow()
     tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
     key = tree.astype(np.int64) << 32 | node
     order = np.argsort(key)
@@ -54,68 +68,47 @@ def layer_state(layer: Layer) -> dict:
     counts = list_column(table, "counts")[order]
     shares = counts / np.maximum(counts.sum(1, keepdims=True), 1e-300)
     roots = dict(zip(tree[node == 1].tolist(), np.flatnonzero(node == 1).tolist()))
-    forests: dict[tuple[int, int], dict[int, list[int]]] = {}
-    for t in layer.trees:
-        group = forests.setdefault((t.model, t.fold_out), {}).setdefault(t.forest, [])
-        if t.tree in roots:
-            group.append(roots[t.tree])
-    return {"num_classes": layer.num_classes, "num_models": layer.num_models,
-            "forests": {k: list(v.values()) for k, v in forests.items()},
+    places = layer.forests()
+    return {"num_classes": layer.num_classes, "num_forests": len(places),
+            "roots": [(t.fold_out, places[t.model, t.fold_out, t.forest], roots[t.tree]) for t in trees if t.tree in roots],
             "nodes": {"child": child, "shares": shares, **column,
                       "has_categories": bool((column["kind"] != 0).any())}}
 
 
-def class_vector_column(layer: Layer, features: Column, fold: Column) -> Column:
-    """Narrow scoring: broadcast node arrays, one vector of models x classes per row.
-
-    ``fold`` picks the trees that left this fold out; -1 picks those trained on all.
-    """
+def votes_column(layer: Layer, trees: list[Tree], features: Column, fold: Column, votes: Column) -> Column:
+    """The votes so far with those of some trees added; a narrow pass with broadcast node arrays."""
     spark = layer.nodes.sparkSession
-    shared = spark.sparkContext.broadcast(layer_state(layer))
-    width = layer.num_models * layer.num_classes
+    shared = spark.sparkContext.broadcast(layer_state(layer, trees))
+    width = len(layer.forests()) * layer.num_classes
 
     @F.arrow_udf("array<double>")
-    def score(vectors: pa.Array, folds: pa.Array) -> pa.Array:
-        out = tasks.class_vectors(tasks.matrix(vectors), np.asarray(folds), shared.value)
+    def add(vectors: pa.Array, folds: pa.Array, before: pa.Array) -> pa.Array:
+        held = tasks.matrix(before, width) if before.null_count == 0 else np.zeros((len(before), width))
+        out = held + tasks.forest_votes(tasks.matrix(vectors), np.asarray(folds), shared.value)
         offsets = np.arange(len(out) + 1, dtype=np.int32) * width
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
-    return score(features, fold)
+    return add(features, fold, votes)
 
 
-def tree_votes_by_joins(df: DataFrame, layer: Layer, keys, fold: Column) -> DataFrame:
-    """(keys, model, forest, counts): the leaf counts of every (row, tree).
+def class_vector_column(layer: Layer, votes: Column, fold: Column) -> Column:
+    """Votes to one vector of models x classes: a forest's votes, then a model's, are scaled to 1."""
+    places, classes, models = layer.forests(), layer.num_classes, layer.num_models
+    members = {}
+    for (model, fold_out, _), at in places.items():
+        members.setdefault(fold_out, []).append((model, at))
 
-    For node tables beyond the broadcast bound: rows move down by one equi-join
-    on (tree, node) with the nodes of each depth, so neither side has to fit in
-    one place.  A row that has reached its leaf no longer matches and waits.
-    """
-    plan = df.sparkSession.createDataFrame(
-        [(t.tree, t.model, t.forest, t.fold_out) for t in layer.trees],
-        "tree int, model int, forest int, _fold int")
-    nodes = layer.nodes.select("tree", "node", "is_leaf", "feature", "kind", "mask", "threshold",
-                               F.col("counts").alias("_counts"))
-    # one row per tree of the layer: the size is fixed by the configuration
-    rows = (df.select(*keys, fold.alias("_fold"), "features").join(F.broadcast(plan), "_fold").drop("_fold")
-            .withColumn("node", F.lit(1).cast("long")).withColumn("counts", F.lit(None).cast("array<double>")))
-    depth = int(layer.nodes.agg(F.max("node")).first()[0] or 1).bit_length()
-    x = F.get("features", F.col("feature"))
-    in_mask = F.call_function("shiftright", F.col("mask"), x.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    left = F.when(F.col("kind") == S.CONTINUOUS, x <= F.col("threshold")).otherwise(in_mask)
-    child = F.col("node") * 2 + F.when(left, 0).otherwise(1)
-    for level in range(depth):
-        here = nodes.filter((F.col("node") >= 1 << level) & (F.col("node") < 2 << level))
-        rows = rows.join(here, S.NODE, "left").select(
-            *keys, "features", "tree", "model", "forest",
-            F.when(F.col("is_leaf") == F.lit(False), child).otherwise(F.col("node")).alias("node"),
-            F.coalesce("counts", F.when(F.col("is_leaf"), F.col("_counts"))).alias("counts"))
-        if level % LEVELS_PER_TABLE == LEVELS_PER_TABLE - 1:
-            rows = materialize(rows, "routed")
-    return rows.filter(F.col("counts").isNotNull()).select(*keys, "model", "forest", "counts")
+    @F.arrow_udf("array<double>")
+    def vectors(summed: pa.Array, folds: pa.Array) -> pa.Array:
+        out = tasks.class_vectors(tasks.matrix(summed, len(places) * classes), np.asarray(folds), members, models, classes)
+        offsets = np.arange(len(out) + 1, dtype=np.int32) * (models * classes)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+    return vectors(votes, fold)
 
 
 def forest_votes(votes: DataFrame, num_classes: int, keys) -> DataFrame:
-    """Sum over trees of leaf shares, scaled to 1 per forest; empty leaves do not vote."""
+    """Sum over trees (keys, model, forest, counts) of leaf shares, scaled to 1 per forest; empty leaves do not vote."""
     share = normalize("counts")
     sums = votes.withColumn("_s", share).groupBy(*keys, "model", "forest").agg(
         *[F.sum(F.get("_s", F.lit(k))).alias(f"v{k}") for k in range(num_classes)])
@@ -123,27 +116,20 @@ def forest_votes(votes: DataFrame, num_classes: int, keys) -> DataFrame:
     return sums.select(*keys, "model", "forest", normalize(vector).alias("probability"))
 
 
-def model_votes(forests: DataFrame, num_classes: int, keys) -> DataFrame:
-    sums = forests.groupBy(*keys, "model").agg(
-        *[F.sum(F.get("probability", F.lit(k))).alias(f"v{k}") for k in range(num_classes)])
-    vector = F.array(*[F.col(f"v{k}") for k in range(num_classes)])
-    return sums.select(*keys, "model", normalize(vector).alias("probability"))
-
-
-def with_class_vectors(df: DataFrame, layer: Layer, output: str = "vector", keys=("instance", "block"),
-                       fold: Column | None = None, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+def with_class_vectors(df: DataFrame, layer: Layer, output: str = "vector", fold: Column | None = None,
+                       state_bytes: int = STATE_BYTES) -> DataFrame:
     """Add the models' concatenated class vectors to rows with ``features``.
 
-    ``fold`` is the fold a row belongs to; without it the trees that left no
-    fold out are used.  Beyond the broadcast bound the vectors are joined back
-    by ``keys``, which must then be unique.
+    ``fold`` is the fold a row belongs to: trees that left it out vote; without it
+    the trees that left no fold out do.  Trees vote in groups below the byte bound,
+    one narrow pass each; with more than one group the rows are written after each
+    pass, so that a task holds one group at a time.  Rows are never joined, so ids
+    may be null or repeat.  A row whose trees saw no row at all gets zeros.
     """
-    fold = F.lit(-1) if fold is None else fold
-    if layer.size() <= broadcast_nodes:
-        return df.withColumn(output, class_vector_column(layer, F.col("features"), fold))
-    models = model_votes(forest_votes(tree_votes_by_joins(df, layer, keys, fold), layer.num_classes, keys),
-                         layer.num_classes, keys)
-    ordered = F.array_sort(F.collect_list(F.struct("model", "probability")))
-    vectors = models.groupBy(*keys).agg(
-        F.flatten(F.transform(ordered, lambda r: r["probability"])).alias(output))
-    return df.join(vectors, list(keys))
+    rows = df.withColumns({"_fold": F.lit(-1) if fold is None else fold, "_votes": F.lit(None).cast("array<double>")})
+    groups = layer.groups(state_bytes)
+    for trees in groups:
+        rows = rows.withColumn("_votes", votes_column(layer, trees, F.col("features"), F.col("_fold"), F.col("_votes")))
+        if len(groups) > 1:
+            rows = materialize(rows, "votes")
+    return rows.withColumn(output, class_vector_column(layer, F.col("_votes"), F.col("_fold"))).drop("_votes", "_fold")

@@ -14,10 +14,17 @@ from ..functions.hashing import MIX_RANGE, mix_array
 FLUSH_CODES = 4_000_000
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a 2-d array."""
-    flat = np.asarray(column.flatten())
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """A list column of equal lengths as a 2-d array; another length is an error."""
+    if not len(column):
+        return np.zeros((0, width or 1))
+    if column.null_count:
+        raise ValueError("a vector is null")
+    sizes = np.diff(np.asarray(column.offsets))
+    width = int(sizes[0]) if width is None else width
+    if (sizes != width).any():
+        raise ValueError(f"vectors of {sizes.min()} to {sizes.max()} numbers where {width} are expected")
+    return np.asarray(column.flatten()).reshape(len(column), width)
 
 
 def byte_matrix(column: pa.Array) -> np.ndarray:
@@ -163,20 +170,6 @@ def histogram_batches(batches, state: dict):
         yield emit()
 
 
-def point_batches(batches, state: dict):
-    """The rows in open nodes as tree points, one per (row, tree)."""
-    for batch in batches:
-        for tree, _, slots, weight, labels, bins in active_points(batch, state):
-            n, width = bins.shape
-            values = pa.array(bins.astype(np.int32).ravel())
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, tree["tree"], np.int32)), pa.array(state["slot_node"][slots]),
-                 pa.array(labels.astype(np.int32)), pa.array(weight.astype(np.int32)),
-                 pa.ListArray.from_arrays(offsets, values)],
-                names=["tree", "node", "label", "w", "bins"])
-
-
 def binned_batches(batches, edges: dict):
     """(block, fold, row_hash, label, bins) from (…, features) with per-block edges."""
     for batch in batches:
@@ -218,25 +211,27 @@ def lowest_above(batches, edges: dict):
                     names=["block", "feature", "bin", "low"])
 
 
-def class_vectors(values: np.ndarray, folds: np.ndarray, state: dict) -> np.ndarray:
-    """Concatenated class vectors of all models, one row per input row.
-
-    A tree votes with its leaf's class shares; a forest's and then a model's
-    summed votes are scaled to 1.
-    """
-    classes, models = state["num_classes"], state["num_models"]
-    nodes, shares = state["nodes"], state["nodes"]["shares"]
-    out = np.zeros((len(values), models, classes))
+def forest_votes(values: np.ndarray, folds: np.ndarray, state: dict) -> np.ndarray:
+    """Summed leaf shares of the trees in the state, by the place of their forest."""
+    classes, nodes, shares = state["num_classes"], state["nodes"], state["nodes"]["shares"]
+    out = np.zeros((len(values), state["num_forests"], classes))
     for fold in np.unique(folds):
         rows = np.flatnonzero(folds == fold)
         part = values[rows]
-        for (model, fold_out), forests in state["forests"].items():
-            if fold_out != fold:
-                continue
-            for roots in forests:
-                votes = np.zeros((len(rows), classes))
-                for root in roots:
-                    votes += shares[descend(part, root, nodes, "threshold")]
-                out[rows, model] += votes / np.maximum(votes.sum(1, keepdims=True), 1e-300)
+        for fold_out, place, root in state["roots"]:
+            if fold_out == fold:
+                out[rows, place] += shares[descend(part, root, nodes, "threshold")]
+    return out.reshape(len(values), -1)
+
+
+def class_vectors(votes: np.ndarray, folds: np.ndarray, members: dict, models: int, classes: int) -> np.ndarray:
+    """Concatenated class vectors of all models from the votes of their forests."""
+    votes = votes.reshape(len(votes), -1, classes)
+    out = np.zeros((len(votes), models, classes))
+    for fold in np.unique(folds):
+        rows = np.flatnonzero(folds == fold)
+        for model, place in members.get(int(fold), ()):
+            part = votes[rows, place]
+            out[rows, model] += part / np.maximum(part.sum(1, keepdims=True), 1e-300)
     out /= np.maximum(out.sum(2, keepdims=True), 1e-300)
-    return out.reshape(len(values), models * classes)
+    return out.reshape(len(votes), models * classes)

@@ -92,7 +92,7 @@ def test_split_gain(spark):
 def test_sampling_rates(spark):
     near = lambda c, x: abs(one(spark, c) - x) < 1e-6
     k, n = F.lit(10), F.lit(1000)
-    assert near(R.fraction_for_sample_size(k, n, True), 0.038460)
-    assert near(R.fraction_for_sample_size(k, n, False), 0.035613)
-    assert one(spark, R.poisson_lower(F.lit(10.0))) == 1e-15
-    assert near(R.binomial_lower(F.lit(1000.0), F.lit(0.01)), 0.0012436)
+    assert near(R.keep_rate(k, n, True), 0.038460)
+    assert near(R.keep_rate(k, n, False), 0.035613)
+    assert one(spark, R.poisson_mean(F.lit(10.0), False)) == 1e-15
+    assert near(R.binomial_rate(F.lit(1000.0), F.lit(0.01), False), 0.0012436)

@@ -60,13 +60,13 @@ def node_rows(model):
 
 @pytest.mark.parametrize("is_random", [False, True])
 @pytest.mark.parametrize("classes", [2, 3])
-def test_both_ways_to_grow_and_score_agree(spark, is_random, classes):
+def test_one_group_and_many_grow_and_score_alike(spark, is_random, classes):
     config = ForestConfig(num_classes=classes, trees=3, max_depth=4, feature_subset="all", crf_feature_subset="all")
     arity = {2: 4, 3: 11}
     df = table(spark, classes=classes)
     fast = fit_forest(df, config, is_random, 4, arity)
-    slow = fit_forest(df, config, is_random, 4, arity, broadcast_nodes=0)
-    switched = fit_forest(df, config, is_random, 4, arity, broadcast_nodes=12)
+    slow = fit_forest(df, config, is_random, 4, arity, state_bytes=0)
+    switched = fit_forest(df, config, is_random, 4, arity, state_bytes=3000)
     a, b, c = node_rows(fast), node_rows(slow), node_rows(switched)
     for other in (b, c):
         assert [(r["tree"], r["node"], r["is_leaf"], r["feature"], r["mask"], r["counts"]) for r in a] == \
@@ -95,7 +95,7 @@ def test_growth_may_find_no_cut_at_all(spark):
     df = table(spark, 12)
     for bound in (2_000_000, 0):
         model = fit_forest(df, ForestConfig(num_classes=3, trees=3, max_depth=4, min_instances=7), True, 4,
-                           broadcast_nodes=bound)
+                           state_bytes=bound)
         assert [r["is_leaf"] for r in node_rows(model)] == [True] * 3
         assert model.transform(df).count() == 12
     deep = fit_forest(df, ForestConfig(num_classes=3, trees=6, max_depth=30), True, 4)
@@ -176,3 +176,35 @@ def test_forest_reload_and_importance(spark, tmp_path):
 def test_config_is_checked(change):
     with pytest.raises(ValueError):
         ForestConfig(**change)
+
+
+def bad_rows():
+    return {"label": ["label = 3.0", "label = -1.0", "label = 0.5", "label = NULL"],
+            "features": ["features = NULL", "features = array(1D)", "features = array(1D, 2D, 3D, 4D, 5D)",
+                         "features = array(1D, 2D, 3D, NULL)", "features = array(1D, 2D, 4D, 3D)", "features = array(1D, 2D, -1D, 3D)"]}
+
+
+@pytest.mark.parametrize("change", [c for cs in bad_rows().values() for c in cs])
+def test_bad_rows_are_errors(spark, change):
+    df = table(spark, 40, classes=3)
+    name, value = change.split(" = ", 1)
+    kind = dict(df.dtypes)[name]
+    bad = df.withColumn(name, F.expr(f"CASE WHEN instance = 7 THEN CAST({value} AS {kind}) ELSE {name} END"))
+    config = ForestConfig(num_classes=3, trees=1, max_depth=2, rf_num=1, crf_num=0, max_layers=1, sub_rf_num=1, num_folds=2)
+    arity = {2: 4, 3: 11}
+    with pytest.raises(Exception, match="label outside|features need"):
+        fit_forest(bad, config, False, 4, arity)
+    if name == "features":
+        model = fit_forest(df, config, False, 4, arity)
+        with pytest.raises(Exception, match="features need"):
+            model.transform(bad).collect()
+
+
+def test_scoring_keeps_rows_with_null_and_repeated_ids(spark):
+    df = table(spark, 400)
+    model = fit_forest(df, ForestConfig(num_classes=3, trees=4, max_depth=3), False, 4)
+    odd = df.withColumn("instance", F.expr("CASE WHEN instance < 10 THEN NULL ELSE instance % 50 END"))
+    rows = sorted((str(r["features"]), str(np.round(r["probability"], 9))) for r in model.transform(odd).collect())
+    model.state_bytes = 0
+    assert len(rows) == 400
+    assert rows == sorted((str(r["features"]), str(np.round(r["probability"], 9))) for r in model.transform(odd).collect())

@@ -5,15 +5,12 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tools.check_oracle import compare
 
-# these need unique row keys, which order lines have from the next size on
-UNIQUE_KEYS = {"scoring_by_joins", "forest_save_load", "block_cascade_save_load"}
-
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - UNIQUE_KEYS))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     assert compare(queries()[name](spark, sf_dir), duck, oracle_sql()[name]) == ""
 
