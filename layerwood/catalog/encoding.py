@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators.sampling import choose_blocks, random_blocks
 from ..session import new_path
-from ..sources.delimited import keep_data_lines, parse_delimited, parse_layer_lines, with_row_ids
-from ..sources.specs import DATASETS, FeatureSpec, numbers
+from ..sources.delimited import has_right_fields, keep_data_lines, parse_delimited, parse_layer_lines, with_row_ids
+from ..sources.specs import DATASETS, FeatureSpec, encoded_width, numbers, read_feature_specs
 from ..sources.tables import layer_lines, read_blocks, write_blocks
 from .registry import LINE_KEYS, long_form, query, sql_hash, table
 
@@ -106,15 +106,17 @@ def load_layer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(parse_delimited(lines, DATASETS["susy"], numbers(20)), "instance", "label")
 
 
-@query("arity_check", f"""
-SELECT cast(6 AS INTEGER) AS n_fields, true AS is_valid, count(*) AS n_lines FROM lineitem GROUP BY ALL""")
+@query("arity_check", """
+SELECT cast(CASE WHEN l_linenumber % 2 = 0 THEN 5 ELSE 6 END AS INTEGER) AS n_fields, l_linenumber % 2 = 1 AS is_valid,
+       count(*) AS n_lines FROM lineitem GROUP BY ALL""")
 def arity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split(F.concat_ws(",", "l_quantity", "l_linenumber", "l_extendedprice", "l_discount", "l_tax",
-                                "l_suppkey"), ",", -1)
-    spec = DATASETS["watch_acc"]
-    return (table(spark, sf_dir, "lineitem").select(F.size(parts).alias("n_fields"))
-            .groupBy("n_fields", F.col("n_fields").isin(spec.fields, spec.layer_fields).alias("is_valid"))
-            .agg(F.count(F.lit(1)).alias("n_lines")))
+    """Lines with all six fields, and lines that lack one."""
+    five = F.concat_ws(",", "l_quantity", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    line = F.when(F.col("l_linenumber") % 2 == 0, five).otherwise(F.concat_ws(",", five, F.col("l_suppkey")))
+    parts = F.split(line, ",", -1)
+    return (table(spark, sf_dir, "lineitem")
+            .select(F.size(parts).alias("n_fields"), has_right_fields(parts, DATASETS["watch_acc"]).alias("is_valid"))
+            .groupBy("n_fields", "is_valid").agg(F.count(F.lit(1)).alias("n_lines")))
 
 
 def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,14 +188,15 @@ SELECT feature, width, cast(sum(width) OVER () AS BIGINT) AS total_width FROM di
 def feature_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded width of each feature (names plus the unknown slot) and of the whole row."""
     orders = table(spark, sf_dir, "orders")
-    wide = orders.agg(
-        (F.count_distinct(F.trim("o_orderstatus")) + 1).alias("o_orderstatus"),
-        (F.count_distinct(F.trim("o_orderpriority")) + 1).alias("o_orderpriority"),
-        (F.count(F.lit(1)) > 0).cast("long").alias("o_totalprice"))
-    total = F.col("o_orderstatus") + F.col("o_orderpriority") + F.col("o_totalprice")
-    return wide.withColumn("total_width", total).unpivot(
-        ["total_width"], ["o_orderstatus", "o_orderpriority", "o_totalprice"], "feature", "width").select(
-        "feature", "width", "total_width")
+    columns = ["o_orderstatus", "o_orderpriority"]
+    # a few names per column
+    names = [[r[0] for r in orders.select(F.trim(c)).distinct().orderBy(F.trim(c)).collect()] for c in columns]
+    path = new_path(spark, "specs")
+    lines = [", ".join(n) for n in names] + ["C"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    specs = read_feature_specs(spark, path)
+    return spark.createDataFrame([(c, s.width, encoded_width(specs)) for c, s in zip([*columns, "o_totalprice"], specs)],
+                                 "feature string, width long, total_width long")
 
 
 KNOWN = ["1-URGENT", "3-MEDIUM", "5-LOW"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.arrays import argmax
 from ..operators import metrics as M
@@ -128,6 +127,17 @@ def pooled_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.pooled_accuracy(parts).withColumn("accuracy", F.round("accuracy", 9))
 
 
+@query("pooled_report", CONFUSION_SQL + """
+SELECT round(p, 9) AS macro_precision, round(r, 9) AS macro_recall, round(2 * p * r / (p + r), 9) AS macro_f1,
+       round((p0 - pe) / (1 - pe), 9) AS kappa FROM macro""")
+def pooled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, F1 and kappa of all rows from the confusion tables of each line number's rows."""
+    parts = M.confusion(line_scores(spark, sf_dir), by=("l_linenumber",))
+    out = M.pooled_report(parts, 3)
+    return out.select(F.round("precision", 9).alias("macro_precision"), F.round("recall", 9).alias("macro_recall"),
+                      F.round("f1", 9).alias("macro_f1"), F.round("kappa", 9).alias("kappa"))
+
+
 LAYER_SQL = """
 layer_log AS (
   SELECT l_linenumber AS layer,
@@ -147,9 +157,9 @@ def layer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LAYER_SQL}
 SELECT layer, accuracy FROM layer_log ORDER BY accuracy DESC, layer LIMIT 1""")
 def best_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = layer_log(spark, sf_dir)
-    best = log.agg(F.max_by(F.struct("layer", "accuracy"), F.struct("accuracy", -F.col("layer"))).alias("b"))
-    return best.select("b.layer", "b.accuracy")
+    log = layer_log(spark, sf_dir).orderBy("layer").collect()  # one row per layer
+    best = log[M.best_layer([r["accuracy"] for r in log]) - 1]
+    return spark.createDataFrame([best], "layer int, accuracy double")
 
 
 @query("early_stop", f"""
@@ -161,7 +171,8 @@ seen AS (
 SELECT layer, accuracy, best AS best_so_far, layer - best >= 2 OR layer = 7 AS stop FROM seen""")
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop when the best layer is two layers back or the last layer is reached."""
-    upto = Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, 0)  # one row per layer
-    best = F.max_by("layer", F.struct("accuracy", -F.col("layer"))).over(upto)
-    log = layer_log(spark, sf_dir).withColumn("best_so_far", best)
-    return log.withColumn("stop", (F.col("layer") - F.col("best_so_far") >= 2) | (F.col("layer") == 7))
+    log = layer_log(spark, sf_dir).orderBy("layer").collect()  # one row per layer
+    seen = [r["accuracy"] for r in log]
+    rows = [(r["layer"], r["accuracy"], log[M.best_layer(seen[:n]) - 1]["layer"], M.should_stop(seen[:n], 2, 7))
+            for n, r in enumerate(log, 1)]
+    return spark.createDataFrame(rows, "layer int, accuracy double, best_so_far int, stop boolean")

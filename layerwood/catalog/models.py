@@ -31,7 +31,9 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / n,
         F.size(F.array_distinct(words)) / n_words,
         F.length(F.regexp_replace(text, "[^0-9]", "")) / n)
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("instance"), "label", features.alias("features"))
+    # six numbers go into the join, not the text
+    return docs.select("doc_id", features.alias("features")).join(labels, "doc_id").select(
+        F.col("doc_id").alias("instance"), "label", "features")
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

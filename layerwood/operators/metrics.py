@@ -82,6 +82,11 @@ def pooled_accuracy(parts: DataFrame, by=()) -> DataFrame:
         "accuracy", F.col("n_right") / F.greatest(F.col("n_total"), F.lit(1)))
 
 
+def pooled_report(parts: DataFrame, num_classes: int, by=()) -> DataFrame:
+    """All metrics from the added confusion tables of folds or forests, not from means of their metrics."""
+    return report(parts.groupBy(*by, "label", "predicted").agg(F.sum("n").alias("n")), num_classes, by)
+
+
 def best_layer(accuracies: list[float]) -> int:
     """1-based index of the first best layer."""
     return accuracies.index(max(accuracies)) + 1

@@ -18,6 +18,11 @@ def checked(value: Column, ok: Column, message: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(message))
 
 
+def has_right_fields(parts: Column, spec: DatasetSpec) -> Column:
+    """Whether a split line has as many fields as a raw or a layer line of the dataset."""
+    return F.size(parts).isin(spec.fields, spec.layer_fields)
+
+
 def parse_delimited(lines: DataFrame, spec: DatasetSpec, features: list[FeatureSpec],
                     column: str = "value") -> DataFrame:
     """Parse raw or layer lines of a dataset; other columns are kept.
@@ -29,7 +34,7 @@ def parse_delimited(lines: DataFrame, spec: DatasetSpec, features: list[FeatureS
     keep = [c for c in lines.columns if c != column]
     split = keep_data_lines(lines, column).select(*keep, parts.alias("_parts"))
     split = split.select(*keep, checked(
-        F.col("_parts"), F.size("_parts").isin(spec.fields, spec.layer_fields),
+        F.col("_parts"), has_right_fields(F.col("_parts"), spec),
         F.format_string(f"{spec.name}: %d fields, expected {spec.fields} or {spec.layer_fields}",
                         F.size("_parts"))).alias("_parts"))
     p = F.col("_parts")
