@@ -189,6 +189,8 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
     def home(tree: int, leaf: np.ndarray) -> np.ndarray:
         return (leaf * 31 + tree * 17) % buckets
 
+    id_type = dict(rows.dtypes)["id"]
+
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1))
@@ -197,8 +199,8 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
             for t, tree in enumerate(forest.value):
                 leaf = leaves_of(tree, high)
                 place = leaf.astype(np.int64) * len(forest.value) + t
-                yield pa.RecordBatch.from_arrays([pa.array(home(t, leaf), pa.int32()), pa.array(place), batch.column(0), held],
-                                                 ["bucket", "place", "uid", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(home(t, leaf), pa.int32()), pa.array(place), batch.column(0), batch.column(2), held],
+                                                 ["bucket", "place", "uid", "first", "vector"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +216,8 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
                     ["bucket", "places", "uid", "vector"])
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())], ["query", "uid", "score"])
+        none = pa.table([pa.array([], pa.int64())] * 2 + [left.column("first").slice(0, 0), pa.array([], pa.float64())],
+                        ["query", "uid", "first", "score"])
         if not left.num_rows or not right.num_rows:
             return none
         place, uid = left.column("place").to_numpy(), left.column("uid").to_numpy()
@@ -254,15 +257,19 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
         # ties with the last place stay, ids decide later
         last = np.minimum(begin + k, np.searchsorted(pairs[0], pairs[0], "right") - 1)
         best = score >= score[last]
-        return pa.table([right.column("uid").to_numpy()[pairs[0][best]], uid[pairs[1][best]], score[best]], ["query", "uid", "score"])
+        return pa.table([right.column("uid").to_numpy()[pairs[0][best]], uid[pairs[1][best]],
+                         left.column("first").take(pa.array(pairs[1][best])), score[best]], ["query", "uid", "first", "score"])
 
-    index = points.select("uid", "vector").mapInArrow(indexed, "bucket int, place long, uid long, vector binary")
+    index = points.select("uid", "vector", F.col("ids")[0].alias("first")).mapInArrow(
+        indexed, f"bucket int, place long, uid long, first {id_type}, vector binary")
     visits = asking.select("uid", "vector").repartition(buckets, "uid").mapInArrow(
         visited, "bucket int, places array<long>, uid long, vector binary")
-    found = index.groupBy("bucket").cogroup(visits.groupBy("bucket")).applyInArrow(ranked, "query long, uid long, score double")
-    found = found.distinct().join(points.select("uid", "ids"), "uid")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
-    found = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
+    found = index.groupBy("bucket").cogroup(visits.groupBy("bucket")).applyInArrow(
+        ranked, f"query long, uid long, first {id_type}, score double")
+    # a point may come from several buckets; ranks are limited before the ids are looked up
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "first", "uid")
+    found = found.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
+    found = found.select("query", "uid", "score").join(points.select("uid", "ids"), "uid")
     each = found.select("query", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     each = each.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
