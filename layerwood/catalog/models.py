@@ -10,8 +10,10 @@ from ..operators import metrics as M
 from ..operators import sampling as P
 from ..plans.cascade import CascadeModel, fit_block_cascade, fit_cascade, out_of_fold_vectors
 from ..plans.forest import fit_block_forest, fit_forest, library_forest_vectors
+from ..plans.job import run_job
 from ..plans.persist import load_cascade, load_forest, save_cascade, save_forest
 from ..session import new_path
+from ..sources.delimited import load_delimited
 from .registry import query, sql_hash, table
 
 SPLIT_SEED, BLOCK_SEED, BLOCKS, TAKEN = 7, 5, 12, 6
@@ -234,6 +236,39 @@ def document_cascade_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(h[n] for n in names) for h in model.history], METRIC_SCHEMA)
 
 
+JOB_CONFIG = ForestConfig(num_classes=18, rf_num=1, crf_num=1, sub_rf_num=2, trees=2, max_depth=4, max_layers=2, seed=ROWS_SEED)
+JOB_BLOCKS, JOB_TAKEN = 12, 6
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The order lines as a delimited file in the layout of watch_acc, and its feature spec."""
+    data, spec = new_path(spark, "lines"), new_path(spark, "spec")
+    line = F.concat_ws(",", "l_quantity", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_suppkey")
+    table(spark, sf_dir, "lineitem").select(line.alias("value")).write.text(data)
+    spark.createDataFrame([("C",)] * 5, "value string").coalesce(1).write.text(spec)
+    return data, spec
+
+
+@query("delimited_job")
+def delimited_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a delimited file over blocks on storage to the cascade's report."""
+    data, spec = written_lines(spark, sf_dir)
+    model = run_job(spark, "watch_acc", data, spec, JOB_CONFIG, JOB_BLOCKS, JOB_TAKEN)
+    names = [f.strip().split(" ")[0] for f in METRIC_SCHEMA.split(",")]
+    return spark.createDataFrame([tuple(h[n] for n in names) for h in model.history], METRIC_SCHEMA)
+
+
+@query("delimited_load", """
+SELECT cast(l_linenumber - 1 AS DOUBLE) AS label, l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3,
+       cast(l_suppkey AS DOUBLE) AS f4, true AS id_is_own FROM lineitem""")
+def delimited_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file read back by the loader; ids run from 0 without gaps."""
+    rows = load_delimited(spark, "watch_acc", *written_lines(spark, sf_dir))
+    seen = rows.groupBy("instance").count().agg(F.count("*").alias("ids"), F.sum("count").alias("n"), F.max("instance").alias("top"))
+    fine = seen.select(((F.col("ids") == F.col("n")) & (F.col("top") == F.col("n") - 1)).alias("ok")).first()["ok"]
+    return rows.select("label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(5)], F.lit(fine).alias("id_is_own"))
+
+
 @query("document_cascade_metrics")
 def document_cascade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_cascade_report(spark, sf_dir)

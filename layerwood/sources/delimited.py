@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import materialize
 from .specs import DatasetSpec, FeatureSpec, dataset_spec, encoded_width, read_feature_specs
 
 
@@ -64,8 +66,11 @@ def parse_delimited(lines: DataFrame, spec: DatasetSpec, features: list[FeatureS
 
 
 def with_row_ids(df: DataFrame, column: str = "instance") -> DataFrame:
-    """Contiguous ids in partition order: per-partition counts give the offsets."""
-    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    """Contiguous ids in partition order: per-partition counts give the offsets.
+
+    The rows are written once, so that both passes see the same partitions.
+    """
+    marked = materialize(df.withColumn("_m", F.monotonically_increasing_id()), "marked-rows")
     pid = F.shiftright("_m", 33)
     counts = marked.groupBy(pid.alias("_p")).count().collect()
     offset, offsets = 0, []
@@ -78,18 +83,36 @@ def with_row_ids(df: DataFrame, column: str = "instance") -> DataFrame:
             .withColumn(column, in_partition + F.col("_o")).drop("_m", "_p", "_o"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(instance, value): the data lines of all files, numbered from 0 in the order of file names and lines.
+
+    The numbers do not depend on how files are split or packed into tasks: lines
+    are counted by split, and splits are put in order, one row each.  The lines
+    are written once, so that counting and numbering see the same splits.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_start"))
+    lines = keep_data_lines(lines).withColumn("_m", F.monotonically_increasing_id())
+    lines = materialize(lines, "lines")
+    splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
+    # lines of a split stand in a row, but dropped ones are not numbered: marks are given after the filter
+    return lines.join(splits, ["_file", "_start"]).select(
+        (F.col("_m") - F.col("_first") + F.col("_offset")).alias("instance"), "value")
+
+
 def load_delimited(spark: SparkSession, dataset: str, path: str, features_path: str,
                    partitions: int = 0, phases: dict[str, str] | None = None) -> DataFrame:
-    """Read one of the registered datasets; ids are unique over all files.
+    """Read one of the registered datasets; ids count the data lines of all files.
 
     ``phases`` may give paths to the names "train" and "test"; any other
     ``path`` is read as it is.
     """
-    lines = keep_data_lines(spark.read.text((phases or {}).get(path, path)))
+    lines = numbered_lines(spark, (phases or {}).get(path, path))
     if partitions > 0:
         lines = lines.repartition(partitions)
-    parsed = parse_delimited(lines, dataset_spec(dataset), read_feature_specs(spark, features_path))
-    return parsed.select(F.monotonically_increasing_id().alias("instance"), "label", "features")
+    return parse_delimited(lines, dataset_spec(dataset), read_feature_specs(spark, features_path))
 
 
 def parse_layer_lines(lines: DataFrame, with_block: bool, column: str = "value") -> DataFrame:

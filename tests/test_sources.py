@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from layerwood.sources.delimited import keep_data_lines, load_delimited, parse_delimited, parse_layer_lines, with_row_ids
+from layerwood import ForestConfig
+from layerwood.plans.job import run_job
+from layerwood.sources.delimited import keep_data_lines, load_delimited, numbered_lines, parse_delimited, parse_layer_lines, with_row_ids
 from layerwood.sources.specs import DATASETS, FeatureSpec, dataset_spec, numbers, read_feature_specs
 from layerwood.sources.tables import read_blocks, write_blocks, write_layer_text
 
@@ -37,6 +39,31 @@ def test_bad_lines_fail(spark):
         dataset_spec("iris")
 
 
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    for name, low in (("b", 300), ("a", 0), ("c", 900)):
+        (tmp_path / name).write_text("|junk\n\n" + "".join(f"{i},x\n" for i in range(low, low + 300)))
+    got, kept = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("100", "1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got.append({r["value"]: r["instance"] for r in numbered_lines(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got[0] == got[1] == got[2] and sorted(got[0].values()) == list(range(900))
+    assert got[0]["0,x"] == 0 and got[0]["300,x"] == 300 and got[0]["1199,x"] == 899
+
+
+def test_job_reads_chosen_blocks_only(spark, tmp_path):
+    (tmp_path / "spec").write_text("C\n" * 5)
+    (tmp_path / "data").write_text("".join(f"{i % 50},{i % 2 + 1},{i % 7},2,3,{i % 2}\n" for i in range(600)))
+    config = ForestConfig(num_classes=18, rf_num=1, crf_num=1, sub_rf_num=1, trees=1, max_depth=3, max_layers=1)
+    path = str(tmp_path / "blocks")
+    model = run_job(spark, "watch_acc", str(tmp_path / "data"), str(tmp_path / "spec"), config, 6, 3, blocks_path=path)
+    assert {h["split"] for h in model.history} == {"train", "test"} and all(h["accuracy"] > 0.9 for h in model.history)
+    plan = read_blocks(spark, path, [1, 2])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [block" in plan
+
+
 def test_load_from_files(spark, tmp_path):
     (tmp_path / "spec").write_text("C\nC\nC\nC\nC\n")
     (tmp_path / "data").write_text("|junk\n" + "".join(f"{i},{i % 18 + 1},1,2,3,4\n" for i in range(500)))
