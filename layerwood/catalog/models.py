@@ -61,6 +61,12 @@ def blocked_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
             rows.filter(~F.col("is_train")).drop("is_train"))
 
 
+def split_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All training rows, and all held-out rows."""
+    rows = P.train_test_split(line_rows(spark, sf_dir), 0.7, SPLIT_SEED, "instance")
+    return rows.filter("is_train").drop("is_train"), rows.filter("not is_train").drop("is_train")
+
+
 def block_cascade_model(spark: SparkSession, sf_dir: str, config: ForestConfig = SMALL) -> CascadeModel:
     train, test = blocked_lines(spark, sf_dir)
     return fit_block_cascade(train, test, config)
@@ -84,23 +90,23 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One completely random model: the j-th forest grows on the j-th block."""
     train, test = blocked_lines(spark, sf_dir)
-    blocks = P.choose_blocks(BLOCKS, TAKEN, BLOCK_SEED)[:3]
+    blocks = P.choose_blocks(BLOCKS, TAKEN, BLOCK_SEED)
     model = fit_block_forest(train, SMALL, True, 4, blocks)
     return _probabilities(model.transform(test.drop("block")), "instance", "label")
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = blocked_lines(spark, sf_dir)
+    train, _ = split_lines(spark, sf_dir)
     return fit_forest(train, SMALL, False, 4).feature_importances()
 
 
 @query("in_sample_class_vectors")
 def in_sample_class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest's vectors on its own training rows."""
-    train, _ = blocked_lines(spark, sf_dir)
+    train, _ = split_lines(spark, sf_dir)
     model = fit_forest(train, SMALL, False, 4)
-    return _probabilities(model.transform(train.drop("block")), "instance", "label")
+    return _probabilities(model.transform(train), "instance", "label")
 
 
 @query("oof_class_vectors")
@@ -202,7 +208,7 @@ def _agreement(first: DataFrame, second: DataFrame) -> DataFrame:
 @query("forest_save_load", AGREE_SQL)
 def forest_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reloaded forest gives the same probabilities."""
-    train, test = blocked_lines(spark, sf_dir)
+    train, test = split_lines(spark, sf_dir)
     model, path = fit_forest(train, SMALL, True, 4), new_path(spark, "forest")
     save_forest(model, path)
     return _agreement(model.transform(test), load_forest(spark, path).transform(test))
@@ -220,7 +226,7 @@ def block_cascade_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scoring_in_groups", AGREE_SQL)
 def scoring_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring in groups of one tree agrees with scoring by all trees at once."""
-    train, test = blocked_lines(spark, sf_dir)
+    train, test = split_lines(spark, sf_dir)
     model = fit_forest(train, SMALL, False, 4)
     first = model.transform(test)
     model.state_bytes = 0

@@ -46,26 +46,27 @@ def sql_mix(a: str, b: str) -> str:
 # ---------------------------------------------------------------- shared inputs
 
 VECTOR_WIDTH = 10
-FORESTS = 6
+FORESTS = 7
 
-# six class vectors of ten classes per embedding: shares of the absolute values of ten neighbours
+# seven class vectors of ten classes per embedding: shares of the absolute values of ten neighbours;
+# the last one starts again at the first numbers, so all 64 are used
 VECTORS_SQL = """
 vec AS (
   SELECT vec_id AS instance, label, f.forest AS forest, c.class AS class,
-         abs(cast(embedding[f.forest * 10 + c.class + 1] AS DOUBLE)) AS a
-  FROM embeddings, (SELECT unnest(range(6)) AS forest) f, (SELECT unnest(range(10)) AS class) c),
+         abs(cast(embedding[(f.forest * 10 + c.class) % 64 + 1] AS DOUBLE)) AS a
+  FROM embeddings, (SELECT unnest(range(7)) AS forest) f, (SELECT unnest(range(10)) AS class) c),
 vectors AS (
   SELECT instance, label, forest, class, a / sum(a) OVER (PARTITION BY instance, forest) AS p FROM vec)
 """
 
 
 def class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instance, block, label, forest, features): six class vectors per embedding."""
+    """(instance, block, label, forest, features): seven class vectors per embedding."""
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("instance"), F.col("label").cast("double").alias("label"),
         F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"))
     cut = (emb.withColumn("forest", F.explode(F.sequence(F.lit(0), F.lit(FORESTS - 1))))
-           .withColumn("v", F.slice("e", F.col("forest") * VECTOR_WIDTH + 1, F.lit(VECTOR_WIDTH))))
+           .withColumn("v", F.slice(F.concat("e", "e"), F.col("forest") * VECTOR_WIDTH + 1, F.lit(VECTOR_WIDTH))))
     total = F.aggregate("v", F.lit(0.0).cast("double"), lambda acc, x: acc + x)
     return cut.select("instance", F.lit(0).cast("long").alias("block"), "label", "forest",
                       F.transform("v", lambda x: x / total).alias("features"))

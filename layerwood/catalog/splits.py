@@ -13,7 +13,7 @@ from ..operators import sampling as P
 from ..operators import splits as S
 from ..plans.forest import fit_layer, ready_rows
 from ..plans.grower import bin_points, fit_binning, plan_trees
-from ..plans.scoring import forest_votes
+from ..plans.scoring import Layer, forest_votes, with_class_vectors
 from .registry import query, sql_hash, sql_mix, table
 
 FLAG_SQL = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -414,13 +414,34 @@ p0 AS MATERIALIZED (SELECT * FROM (SELECT tree, 1::BIGINT AS node, label, b0, b1
             + " UNION ALL ".join(out) + ")")
 
 
-def grown(spark: SparkSession, sf_dir: str, depth: int, trees: int, is_random: bool,
-          state_bytes: int | None = None) -> DataFrame:
+def votes_sql(depth: int, trees: int, subset: int, is_random: bool, bootstrap: bool) -> str:
+    """A forest's class vector of every row: rows walk down the trees of ``growth_sql``."""
+    value = "CASE n.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END"
+    steps = ["w0 AS (SELECT inst, f0, f1, f2, f3, tree, 1::BIGINT AS node FROM r, (SELECT DISTINCT tree FROM nodes))"]
+    for d in range(depth):
+        steps.append(
+            f"w{d + 1} AS (SELECT inst, f0, f1, f2, f3, w.tree, CASE WHEN n.is_leaf THEN w.node "
+            f"WHEN {value} <= n.threshold THEN 2 * w.node ELSE 2 * w.node + 1 END AS node FROM w{d} w JOIN nodes n USING (tree, node))")
+    votes = ", ".join(f"sum(c{k} / (c0 + c1 + c2)) AS v{k}" for k in range(3))
+    return (f"WITH nodes AS MATERIALIZED ({growth_sql(depth, trees, subset, is_random, bootstrap)}), "
+            f"r AS (SELECT DISTINCT {LINE_ID_SQL} AS inst, l_quantity AS f0, l_discount AS f1, l_tax AS f2, "
+            f"cast(l_linenumber AS DOUBLE) AS f3 FROM lineitem), {', '.join(steps)}, "
+            f"v AS (SELECT inst, f0, f1, f2, f3, {votes} FROM w{depth} JOIN nodes USING (tree, node) GROUP BY inst, f0, f1, f2, f3) "
+            f"SELECT inst AS instance, {', '.join(f'round(v{k} / (v0 + v1 + v2), 6) AS p{k}' for k in range(3))} FROM v")
+
+
+def grown_layer(spark: SparkSession, sf_dir: str, depth: int, trees: int, is_random: bool,
+                state_bytes: int | None = None) -> Layer:
     config = ForestConfig(num_classes=3, trees=trees, max_depth=depth, max_bins=64, seed=TREE_SEED)
     rows = ready_rows(line_rows(spark, sf_dir), TREE_SEED, "instance")
     plan = plan_trees([[0]], {0} if is_random else set(), 4, config, 1)
     extra = {} if state_bytes is None else {"state_bytes": state_bytes}
-    layer = fit_layer(rows, plan, fit_binning(rows, [0], 4, config), config, **extra)
+    return fit_layer(rows, plan, fit_binning(rows, [0], 4, config), config, **extra)
+
+
+def grown(spark: SparkSession, sf_dir: str, depth: int, trees: int, is_random: bool,
+          state_bytes: int | None = None) -> DataFrame:
+    layer = grown_layer(spark, sf_dir, depth, trees, is_random, state_bytes)
     return layer.nodes.select("tree", "node", "is_leaf", "feature", F.round("threshold", 9).alias("threshold"),
                               *[F.get("counts", F.lit(k)).alias(f"c{k}") for k in range(3)])
 
@@ -449,6 +470,26 @@ def bootstrap_forest_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown(spark, sf_dir, 3, 4, False, state_bytes=0)
 
 
+def grown_vectors(spark: SparkSession, sf_dir: str, is_random: bool, state_bytes: int) -> DataFrame:
+    """Class vectors of all rows; rows with equal ids and features are one."""
+    layer = grown_layer(spark, sf_dir, 3, 4, is_random)
+    rows = with_class_vectors(line_rows(spark, sf_dir), layer, "vector", state_bytes=state_bytes)
+    rows = rows.select("instance", "features", *[F.round(F.get("vector", F.lit(k)), 6).alias(f"p{k}") for k in range(3)])
+    return rows.distinct().drop("features")
+
+
+@query("forest_vectors", votes_sql(3, 4, 2, False, True))
+def forest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class vectors of an ordinary forest."""
+    return grown_vectors(spark, sf_dir, False, 1 << 30)
+
+
+@query("random_forest_vectors_in_groups", votes_sql(3, 4, 2, True, False))
+def random_forest_vectors_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class vectors of a completely random forest, one tree at a time."""
+    return grown_vectors(spark, sf_dir, True, 0)
+
+
 CUT_HASHES = [key_hash_value(TREE_SEED, 1, t) for t in range(8)]
 
 
