@@ -36,7 +36,7 @@ from .text import mixed
 
 ORDERS = (3, 4, 5)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 BITS = 20
 
 
