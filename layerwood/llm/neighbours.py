@@ -11,7 +11,8 @@ leaf of every tree.  A query keeps one priority queue for all trees: it goes dow
 the branch it belongs to and leaves the other one in the queue with the distance
 to the split, until ``search_leaves`` leaves are collected.  The points of these
 leaves are ranked by the exact inner product of the given vectors, in doubles.
-Leaves meet queries in buckets, as many as shuffle partitions.
+Leaves meet queries in buckets of about ``BUCKET_POINTS`` points; each bucket hands on
+a query's k + 1 best, so a query has at most as many lists as buckets or leaves.
 
 Recall rises with ``search_leaves`` and must be measured; on points without
 structure it needs a share of the leaves, so raise it with the table, and
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+#: Points of leaves that meet their queries in one bucket.
+BUCKET_POINTS = 50_000
 #: Pairs that a bucket holds before it keeps each query's best.
 PAIRS = 400_000
 
@@ -181,7 +184,7 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     longest = float(points.agg(F.sqrt(F.max(square))).first()[0])
     forest = spark.sparkContext.broadcast(fit_forest(points, longest, trees, leaf_rows, sample_rows, seed))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = -(-points.count() * trees // BUCKET_POINTS)
     asked = materialize(rows.filter("asks").select(F.col("id").alias("query_id"), "vector").distinct()
                         .join(points.select("vector", "uid"), "vector").select("query_id", "uid"), "asked")
     asking = points.join(asked.select("uid").distinct(), "uid", "left_semi")
@@ -262,7 +265,7 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
 
     index = points.select("uid", "vector", F.col("ids")[0].alias("first")).mapInArrow(
         indexed, f"bucket int, place long, uid long, first {id_type}, vector binary")
-    visits = asking.select("uid", "vector").repartition(buckets, "uid").mapInArrow(
+    visits = asking.select("uid", "vector").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid").mapInArrow(
         visited, "bucket int, places array<long>, uid long, vector binary")
     found = index.groupBy("bucket").cogroup(visits.groupBy("bucket")).applyInArrow(
         ranked, f"query long, uid long, first {id_type}, score double")
