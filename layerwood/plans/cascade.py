@@ -18,7 +18,7 @@ from ..functions.arrays import argmax, models_mean
 from ..operators import metrics as M
 from ..operators.sampling import assign_blocks, k_folds
 from ..operators.vectors import multi_grain_scan
-from ..session import materialize, require_columns
+from ..session import discard, materialize, require_columns
 from .forest import fit_layer, ready_rows
 from .checks import checked_features, checked_rows
 from .grower import STATE_BYTES, Binning, fit_binning, plan_trees
@@ -150,11 +150,13 @@ def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestCo
         layer = fit_layer(with_previous(training), trees, bins.at(rows.filter("split = 'train'"), extra),
                           config, state_bytes)
         model.layers.append(layer)
-        rows = score_layer(rows, layer, MEAN, f"layer-{layer_id}", state_bytes)
+        seen, rows = rows, score_layer(rows, layer, MEAN, f"layer-{layer_id}", state_bytes)
+        discard(seen)
         model.history += layer_report(rows, layer, layer_id)
         accuracies.append(next(h["accuracy"] for h in model.history
                                if h["layer"] == layer_id and h["split"] == stop_on))
         if M.should_stop(accuracies, config.early_stopping_rounds, config.max_layers):
+            discard(rows)
             return model
 
 
@@ -192,12 +194,14 @@ def fit_cascade(train: DataFrame, config: ForestConfig, arity: dict[int, int] |
                            folds_out=(-1, *range(config.num_folds)))
         layer = fit_layer(with_previous(rows), trees, bins.at(rows, extra), config, state_bytes)
         model.layers.append(layer)
-        rows = score_layer(rows, layer, CONCAT, f"layer-{layer_id}", state_bytes)
+        seen, rows = rows, score_layer(rows, layer, CONCAT, f"layer-{layer_id}", state_bytes)
+        discard(seen)
         right, total = pooled_layer_accuracy(rows, layer)
         accuracies.append(right / max(total, 1))
         model.history.append({"layer": layer_id, "split": "train", "n_right": right, "n_total": total,
                               "accuracy": accuracies[-1]})
         if M.should_stop(accuracies, config.early_stopping_rounds, config.max_layers):
+            discard(rows)
             return model
 
 

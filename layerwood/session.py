@@ -28,6 +28,17 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``materialize``; nothing may read it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        base = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        # only folders right below the shared one are ours
+        if path.getParent().toUri().getPath() == base.toUri().getPath():
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bytes_read(df: DataFrame) -> int:
     """Size of the sources under a frame, from their statistics; runs nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -1,5 +1,8 @@
 """The physical plans are the ones we want: few shuffles, pruned scans, no hidden cross joins."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from layerwood import ForestConfig
@@ -7,8 +10,10 @@ from layerwood.catalog.splits import line_rows, tree_points
 from layerwood.operators import metrics as M
 from layerwood.operators import sampling as P
 from layerwood.operators import splits as S
+from layerwood.plans.cascade import fit_block_cascade, fit_cascade
 from layerwood.plans.forest import fit_forest
 from layerwood.plans.grower import choose_level
+from layerwood.session import shared_dir
 
 
 def plan(df):
@@ -76,3 +81,16 @@ def test_each_model_draws_distinct_blocks():
 def test_small_sample_returns_all(spark):
     rows = P.sample_k_and_count(spark.range(5), 10, 1, "id").collect()
     assert len(rows) == 5 and {r["total"] for r in rows} == {5}
+
+
+def test_layer_tables_are_deleted(spark):
+    folder = Path(urlparse(shared_dir(spark)).path)
+    tables = lambda: {p.name for p in folder.glob("layer-*")}
+    before = tables()
+    rows = spark.range(200).select(F.col("id").alias("instance"), (F.col("id") % 2).cast("double").alias("label"),
+                                   (F.col("id") % 3).alias("block"), F.array((F.col("id") % 2).cast("double")).alias("features"))
+    config = ForestConfig(rf_num=1, crf_num=1, sub_rf_num=1, trees=1, max_depth=2, max_layers=3)
+    model = fit_block_cascade(rows, rows, config)
+    assert fit_cascade(rows.drop("block"), config.replace(num_folds=2)).history
+    assert model.transform(rows).count() == 200
+    assert tables() == before
