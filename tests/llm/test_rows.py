@@ -26,6 +26,13 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert compare(QUERIES[name](spark, sf_dir), duck, ORACLES[name]) == ""
 
 
+@pytest.mark.parametrize("name", sorted(set(corpus_pipeline.QUERIES) - set(ORACLES) - {"op1_language", "op7_neighbours"}))
+def test_query_has_rows(spark, sf_dir, name):
+    rows = corpus_pipeline.QUERIES[name](spark, sf_dir).count()
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert 0 < rows <= documents if name == "pipeline" else rows == documents
+
+
 def test_guard_names_both_parts():
     import __spark_entry__
 
