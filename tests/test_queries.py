@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from layerwood.catalog import ORACLES, QUERIES
 from tools.check_oracle import compare
 
 
@@ -10,14 +11,14 @@ def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
-    assert compare(queries()[name](spark, sf_dir), duck, oracle_sql()[name]) == ""
+    assert compare(QUERIES[name](spark, sf_dir), duck, ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_has_rows(spark, sf_dir, name):
-    assert queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
