@@ -14,9 +14,12 @@ leaves are ranked by the exact inner product of the given vectors, in doubles.
 Leaves meet queries in buckets of about ``BUCKET_POINTS`` points; each bucket hands on
 a query's k + 1 best, so a query has at most as many lists as buckets or leaves.
 
-Recall rises with ``search_leaves`` and must be measured; on points without
-structure it needs a share of the leaves, so raise it with the table, and
-``sample_rows`` with it.
+How many leaves a query needs depends on the data: on points without structure
+it is a share of all leaves.  So it is measured (``leaves_needed``): ``PROBES``
+asking points are compared with all points, and the leaves collected are raised
+from ``search_leaves`` until ``recall`` of their true neighbours are among them, up
+to all leaves.  ``sample_rows`` bounds the number of leaves, not what is read: on
+larger tables leaves hold more points.
 
 Defined cases: vectors that are null, zero, of another than the most frequent
 width (the larger at ties) or hold a null or non-finite number take no part, nor
@@ -42,6 +45,8 @@ from ..session import materialize
 BUCKET_POINTS = 50_000
 #: Pairs that a bucket holds before it keeps each query's best.
 PAIRS = 400_000
+#: Asking points whose true neighbours are looked up to choose the number of leaves.
+PROBES = 128
 
 
 @dataclass(frozen=True)
@@ -92,10 +97,9 @@ def leaves_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     return -node - 1
 
 
-def visit(forest: list[Tree], point: np.ndarray, search_leaves: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared priority queue."""
+def visit(forest: list[Tree], branches: list[list], point: np.ndarray, search_leaves: int) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order of the shared priority queue; ``branches`` are the trees' children as lists."""
     sides = [((t.normals @ point) - t.cuts).tolist() for t in forest]
-    branches = [t.children.tolist() for t in forest]
     queue = [(0.0, t, 0 if len(tree.cuts) else -1) for t, tree in enumerate(forest)]
     found = []
     while queue and len(found) < search_leaves:
@@ -110,6 +114,21 @@ def visit(forest: list[Tree], point: np.ndarray, search_leaves: int) -> list[tup
     return found
 
 
+def distances(tree: Tree, point: np.ndarray) -> np.ndarray:
+    """Of each leaf the distance at which the queue hands it on."""
+    found = np.zeros(len(tree.cuts) + 1)
+    side = tree.normals @ point - tree.cuts
+    nodes, held = np.zeros(min(len(side), 1), int), np.zeros(min(len(side), 1))
+    while nodes.size:
+        right = side[nodes] >= 0
+        below = tree.children[nodes]
+        far = np.maximum(held, np.abs(side[nodes]))
+        nodes, held = below.T.ravel(), np.concatenate([np.where(right, far, held), np.where(right, held, far)])
+        found[-nodes[nodes < 0] - 1] = held[nodes < 0]
+        nodes, held = nodes[nodes >= 0], held[nodes >= 0]
+    return found
+
+
 def usable(vector: Column) -> Column:
     """Finite numbers only, not all zero; null where the vector is."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -169,9 +188,65 @@ def fit_forest(points: DataFrame, longest: float, trees: int, leaf_rows: int, sa
                  np.frombuffer(r["children"], np.int32).reshape(-1, 2)) for r in sorted(rows, key=lambda r: r["tree"])]
 
 
+def true_neighbours(points: DataFrame, probes: np.ndarray, most: int) -> list:
+    """Of each probe the ``most`` best points of the whole table, compared block by block; every task hands on its best."""
+    sent = points.sparkSession.sparkContext.broadcast(probes)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        best = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, q.shape[1]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1))
+            scores = q @ x.T
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+            new = (np.take_along_axis(scores, top, 1), batch.column(0).to_numpy()[top], batch.column(2).to_numpy()[top], x[top])
+            best = tuple(np.concatenate(pair, axis=1) for pair in zip(best, new))
+            top = np.argsort(-best[0], axis=1, kind="stable")[:, :most]
+            best = tuple(np.take_along_axis(b, top if b.ndim == 2 else top[:, :, None], 1) for b in best)
+        for i in range(len(q)):
+            score, uid, copies, x = (b[i] for b in best)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(uid), pa.int32()), pa.array(uid), pa.array(copies, pa.int32()), pa.array(score),
+                                              pa.array([v.tobytes() for v in x], pa.binary())], ["probe", "uid", "copies", "score", "vector"])
+
+    found = points.select("uid", "vector", F.size("ids").alias("copies")).mapInArrow(
+        compared, "probe int, uid long, copies int, score double, vector binary")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "uid")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).orderBy("probe", "nth").collect()
+
+
+def leaves_needed(points: DataFrame, asking: DataFrame, forest: list[Tree], longest: float, k: int, recall: float) -> int:
+    """The least number of leaves that finds ``recall`` of the true neighbours of ``PROBES`` asking points."""
+    # drawn by another hash than the points that the trees are fitted on
+    chosen = asking.select("uid", "vector").orderBy(F.xxhash64("vector", F.lit("probe")), "uid").limit(PROBES).toArrow()
+    if not chosen.num_rows:
+        return 0
+    x, uid = matrix(chosen.column("vector").combine_chunks()), chosen.column("uid").to_numpy()
+    rows = true_neighbours(points, x, k + 1)
+    high = raised(x, longest, query=True)
+    others = raised(np.stack([np.frombuffer(r["vector"], np.float64) for r in rows]), longest)
+    at = np.stack([leaves_of(tree, others) for tree in forest])
+    probe = np.array([r["probe"] for r in rows])
+    places, weights = [], []
+    for i in range(len(x)):
+        each = [distances(tree, high[i]) for tree in forest]
+        mine = np.flatnonzero(probe == i)
+        nearest_leaf = np.min([d[leaf[mine]] for d, leaf in zip(each, at)], axis=0)
+        places.append(np.searchsorted(np.sort(np.concatenate(each)), nearest_leaf, "right"))
+        # equal vectors are one point and several answers, the asking id is none
+        copies = np.array([rows[j]["copies"] - (rows[j]["uid"] == uid[i]) for j in mine])
+        weights.append(np.minimum(copies, np.maximum(k - (np.cumsum(copies) - copies), 0)))
+    place, weight = np.concatenate(places), np.concatenate(weights)
+    order = np.argsort(place)
+    found = np.cumsum(weight[order])
+    return int(place[order][np.searchsorted(found, recall * found[-1])]) if found[-1] else 0
+
+
 def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 12,
-            leaf_rows: int = 64, search_leaves: int = 900, sample_rows: int = 65_536, seed: int = 7) -> DataFrame:
-    """query_id, rank, id and score; ``queries`` says which rows of the table ask."""
+            leaf_rows: int = 64, search_leaves: int = 900, sample_rows: int = 65_536, seed: int = 7,
+            recall: float = 0.95) -> DataFrame:
+    """query_id, rank, id and score; ``queries`` says which rows of the table ask, ``search_leaves`` is the least number of leaves."""
     spark = table.sparkSession
     rows = table.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(
         F.col(key).alias("id"), F.col(vector).alias("vector"), queries.alias("asks"))
@@ -183,11 +258,14 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
         return spark.createDataFrame([], schema)
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     longest = float(points.agg(F.sqrt(F.max(square))).first()[0])
-    forest = spark.sparkContext.broadcast(fit_forest(points, longest, trees, leaf_rows, sample_rows, seed))
+    fitted = fit_forest(points, longest, trees, leaf_rows, sample_rows, seed)
+    forest = spark.sparkContext.broadcast(fitted)
     buckets = -(-points.count() * trees // BUCKET_POINTS)
     asked = materialize(rows.filter("asks").select(F.col("id").alias("query_id"), "vector").distinct()
                         .join(points.select("vector", "uid"), "vector").select("query_id", "uid"), "asked")
     asking = points.join(asked.select("uid").distinct(), "uid", "left_semi")
+    if search_leaves < sum(len(tree.cuts) + 1 for tree in fitted):
+        search_leaves = max(search_leaves, leaves_needed(points, asking, fitted, longest, k, recall))
 
     def home(tree: int, leaf: np.ndarray) -> np.ndarray:
         return (leaf * 31 + tree * 17) % buckets
@@ -206,11 +284,12 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
                                                  ["bucket", "place", "uid", "first", "vector"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branches = [tree.children.tolist() for tree in forest.value]
         for batch in batches:
             x = matrix(batch.column(1))
             high = raised(x, longest, query=True)
             for i, uid in enumerate(batch.column(0).to_pylist()):
-                found = np.array(visit(forest.value, high[i], search_leaves), np.int64).reshape(-1, 2)
+                found = np.array(visit(forest.value, branches, high[i], search_leaves), np.int64).reshape(-1, 2)
                 where, place = home(found[:, 0], found[:, 1]), found[:, 1] * len(forest.value) + found[:, 0]
                 names = np.unique(where)
                 yield pa.RecordBatch.from_arrays(

@@ -180,6 +180,19 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits / total >= 0.9
 
 
+def test_neighbours_leaves_are_measured(spark):
+    # points without structure: a fixed number of leaves finds few of the true neighbours
+    x = np.random.default_rng(1).normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nearest(table, F.col("vec_id") % 100 == 0, leaf_rows=16, search_leaves=20).toPandas()
+    hits = 0
+    for i, rows in got.groupby("query_id"):
+        s = np.where(np.arange(len(x)) == i, -np.inf, x.astype(float) @ x[i].astype(float))
+        hits += len(set(np.argsort(-s)[:20]) & set(rows["id"]))
+    assert hits / (60 * 20) >= 0.9
+
+
 def test_chat_parts(spark):
     rows = [(1, 2, "assistant", "a <|end|> \\s \\l <b"), (1, 1, "user", "hi"), (1, 1, "user", "hi"), (None, None, None, None), (2, 0, "ass<istant", "")]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", text_part(F.col("text")).alias("parts"))
