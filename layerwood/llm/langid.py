@@ -7,8 +7,10 @@ bits, over the sum of that over all languages.  Texts whose two smallest sizes
 are nearly equal are rejected.
 
 The dictionaries are fitted on a bounded sample: of each language the
-``docs_per_language`` texts whose checksums are smallest, up to ``excerpt``
-characters of each, and ``dictionary_bytes`` in all.  At most ``max_languages``
+``docs_per_language`` different texts whose checksums are smallest.  They are cut
+whole into pieces of ``excerpt`` characters; a
+dictionary holds different pieces up to ``dictionary_bytes``, one of every text
+first, chosen by hash, then a second one of every text, and so on.  At most ``max_languages``
 languages are allowed, so what is sent to the tasks has a bound.  Texts to be
 identified are compressed whole.
 
@@ -48,7 +50,7 @@ def letters_of(text: str) -> bytes:
 
 
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                  docs_per_language: int = 200, excerpt: int = 1024, dictionary_bytes: int = 64 << 10,
+                  docs_per_language: int = 200, excerpt: int = 512, dictionary_bytes: int = 64 << 10,
                   max_languages: int = 256, level: int = 7, min_margin: float = 0.01) -> LanguageModel:
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"),
                        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("draw"))
@@ -56,13 +58,25 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    # the rank limit is applied in every task before the shuffle
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    sample = (rows.withColumn("text", F.substring("text", 1, excerpt)).distinct()
-              .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language).collect())
+    # texts are told apart by hash, so only narrow rows are shuffled; the rank limit is applied in every task before
+    rows = rows.withColumn("content", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("draw", "content")
+    chosen = (rows.groupBy("lang", "content").agg(F.min("draw").alias("draw"))
+              .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language).drop("nth"))
+    texts = rows.join(F.broadcast(chosen), ["lang", "content", "draw"]).dropDuplicates(["lang", "content"])
+    number = F.ceil(F.char_length("text") / excerpt).cast("int")
+    places = F.transform(F.sequence(F.lit(1), F.greatest(number, F.lit(1))), lambda i: F.struct(F.xxhash64("draw", "content", i).alias("by"), i.alias("i")))
+    # no text can give more than a whole dictionary
+    places = F.slice(F.array_sort(places), 1, dictionary_bytes // excerpt + 1)
+    pieces = texts.select("lang", "draw", "content", "text", F.posexplode(places).alias("turn", "place"))
+    pieces = pieces.select("lang", "draw", "content", "turn", F.substring("text", (F.col("place.i") - 1) * excerpt + 1, F.lit(excerpt)).alias("piece"))
+    pieces = pieces.groupBy("lang", "piece").agg(F.min(F.struct("turn", "draw", "content")).alias("at"))
+    # twice the bytes, as runs of other characters than letters become blanks
+    before = F.sum(F.octet_length("piece")).over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    sample = pieces.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * dictionary_bytes).collect()
     bags: dict[str, list] = {}
-    for row in sorted(sample, key=lambda r: r["nth"]):
-        bags.setdefault(row["lang"], []).append(letters_of(row["text"]))
+    for row in sorted(sample, key=lambda r: r["before"]):
+        bags.setdefault(row["lang"], []).append(letters_of(row["piece"]))
     return LanguageModel(tuple((r["lang"], b"".join(bags[r["lang"]])[:dictionary_bytes]) for r in counts), level, min_margin)
 
 

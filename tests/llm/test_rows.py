@@ -60,6 +60,14 @@ def test_languages(spark, sf_dir):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
+def test_languages_with_a_common_opening(spark, sf_dir):
+    # nothing but the opening stands in the first 1,024 characters
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 200").select(
+        "doc_id", "lang", F.concat(F.lit("licence terms apply to every page of this work " * 30), "text").alias("text"))
+    rows = identify_languages(real, fit_languages(real.filter("doc_id % 4 > 0"))).filter("doc_id % 4 = 0").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.9
+
+
 def test_toxicity(spark):
     rows = [(i, ("you idiot " if i % 3 == 0 else "kind ") + f"word{i} of text number {i * 7}", "en", "a") for i in range(200)]
     docs = docs_of(spark, rows + [(None, None, None, None), (900, "", "en", "a")])
