@@ -7,16 +7,18 @@ how many texts of either class each n-gram stands; its log-count ratio is
     r = log((p1 + 1) / (n1 + 2)) - log((p0 + 1) / (n0 + 2)).
 
 The n-grams that differ most surely between the classes (``max_features`` of
-them, at least ``least_z`` standard errors) carry the value r where present, and
+them, at least ``least_z`` standard errors; of those that stand in the same texts
+``same_texts`` come first, the others after all the rest) carry the value r where present, and
 a logistic regression with a quadratic penalty is fitted on them.
 
-The model is fitted on a bounded sample: the ``fit_rows`` labelled documents
-with the smallest checksums.  Texts to be scored are read whole.
+The model is fitted on a bounded sample: the ``fit_rows`` different labelled texts
+with the smallest checksums; copies of a text count once.  Texts to be scored are read whole.
 
 Defined cases: null texts count as empty; empty texts get the score of a text
 without features; null labels and labels of unknown documents are left out; a
 document with several labels is toxic if one of them says so; documents that
-share an id share its label; without labels of both classes every score is the
+share an id share its label; a text is toxic if at least half of its labelled
+documents are; without labels of both classes every score is the
 share of toxic ones (0 without any label); further columns stay as they are.
 """
 
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -111,24 +113,25 @@ def distinct_grams(text: str | None) -> np.ndarray:
 
 
 def count_grams(sample: DataFrame) -> DataFrame:
-    """Per n-gram of the sample (text, label): in how many texts of class 0 and 1 it stands.
+    """Per n-gram of the sample (text, label, mark): in how many texts of class 0 and 1 it stands, and the sum of their marks.
 
     Summed within the tasks before the shuffle.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            labels, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for low, high in slices(texts := batch.column(0).to_pylist()):
                 each = [distinct_grams(t) for t in texts[low:high]]
                 names, at = np.unique(np.concatenate(each), return_inverse=True)
-                weight = np.repeat(labels[low:high], [len(g) for g in each])
-                ones = np.bincount(at, weight, len(names)).astype(np.int64)
+                sizes = [len(g) for g in each]
+                # sums of whole numbers below 2**53 are exact
+                ones, marked = (np.bincount(at, np.repeat(x[low:high], sizes), len(names)).astype(np.int64) for x in (labels, marks))
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(at, minlength=len(names)) - ones),
-                                                  pa.array(ones)], ["gram", "n0", "n1"])
+                                                  pa.array(ones), pa.array(marked)], ["gram", "n0", "n1", "mark"])
 
-    parts = sample.select("text", "label").mapInArrow(counted, "gram long, n0 long, n1 long")
-    return parts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    parts = sample.select("text", "label", "mark").mapInArrow(counted, "gram long, n0 long, n1 long, mark long")
+    return parts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "mark")))
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -151,13 +154,17 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
                  fit_rows: int = 12_000, max_features: int = 2_048, least_z: float = 4.5,
-                 penalty: float = 1e-4) -> ToxicityModel:
-    """Fit on the sample; only ids of the sample are broadcast, ``fit_rows`` at most."""
+                 penalty: float = 1e-4, same_texts: int = 32) -> ToxicityModel:
+    """Fit on the sample; only ids and hashes of the sample are broadcast, ``fit_rows`` at most."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(
         F.max((F.col(label) > 0).cast("int")).alias("label"))
-    chosen = chosen.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(fit_rows)
-    sample = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "text", "label")
+    rows = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("content", F.md5(F.col("text").cast("binary")))
+    # texts are told apart by checksum, so only narrow rows are shuffled
+    chosen = rows.select("_doc", "content").join(chosen, F.col("_doc") == F.col("_id")).groupBy("content").agg(
+        (F.avg("label") >= 0.5).cast("int").alias("label"), F.min("_id").alias("_id"))
+    chosen = chosen.orderBy("content").limit(fit_rows)
+    sample = rows.join(F.broadcast(chosen.withColumnRenamed("content", "_content")), (F.col("_doc") == F.col("_id")) & (F.col("content") == F.col("_content")))
+    sample = sample.dropDuplicates(["content"]).select("_doc", "text", "label", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("mark"))
     sample = materialize(sample, "toxicity-sample")
     totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
@@ -167,8 +174,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     p0, p1 = (F.col("n0") + 1) / (n0 + 2), (F.col("n1") + 1) / (n1 + 2)
     pooled = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    counted = count_grams(sample).select("gram", F.log(p1 / p0).alias("r"), F.abs((p1 - p0) / error).alias("z"))
-    best = counted.filter(F.col("z") >= least_z).orderBy(F.desc("z"), "gram").limit(max_features).collect()
+    counted = count_grams(sample).select("gram", "n0", "n1", "mark", F.log(p1 / p0).alias("r"), F.abs((p1 - p0) / error).alias("z"))
+    # n-grams of the same texts tell the same, so a text or its near copies cannot fill the list; what is beyond
+    # max_features in its own group cannot be among the first, so this limit (applied in every task) drops nothing
+    alike = Window.partitionBy("mark", "n0", "n1").orderBy(F.desc("z"), "gram")
+    ranked = counted.filter(F.col("z") >= least_z).withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= max_features)
+    best = ranked.orderBy(F.col("nth") > same_texts, F.desc("z"), "gram").limit(max_features).collect()
     if not best:
         return ToxicityModel(none.grams, none.weights, float(np.log(n1 / n0)))
     grams = np.array([r["gram"] for r in best], np.int64).view(np.uint64)

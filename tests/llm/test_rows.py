@@ -83,6 +83,19 @@ def test_toxicity(spark):
     assert score_texts(["x", None], fit_toxicity(docs, labels.filter("toxic = 1"))).min() > 0.999
 
 
+def test_toxicity_with_copies_of_one_text(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghmnoprstu"), 5)) for _ in range(n))
+    rows = [(i, ("you idiot " if i % 4 == 0 else "kind ") + words(8), "en", "a") for i in range(240)]
+    copied = words(900)
+    docs = docs_of(spark, rows + [(1000 + i, copied, "en", "a") for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)] + [(1000 + i, 1) for i in range(300)], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    got = score_texts([r[1] for r in rows[160:]], model) >= 0.3
+    assert (got == (np.arange(160, 240) % 4 == 0)).all()
+    assert score_texts([copied], model)[0] >= 0.3
+
+
 def filled(sizes):
     """Targets by pouring: repeat until no source is above its limit."""
     order = sorted(sizes, key=lambda s: (s is None, s))
