@@ -12,7 +12,7 @@ whole into pieces of ``excerpt`` characters; a
 dictionary holds different pieces up to ``dictionary_bytes``, one of every text
 first, chosen by hash, then a second one of every text, and so on.  At most ``max_languages``
 languages are allowed, so what is sent to the tasks has a bound.  Texts to be
-identified are compressed whole.
+identified are compressed whole, in pieces of ``PIECE`` bytes whose sizes are added.
 
 Defined cases: null texts and texts without a letter get ``und``, score 0; equal
 sizes go to the language with more training rows, then by code point; null and
@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Bytes of a text that meet the dictionaries at once; more would learn from one another rather than from them.
+PIECE = 10 << 10
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 GUESS = "lang string, score double, margin double"
 
@@ -100,7 +102,8 @@ def identify(text: str | None, model: LanguageModel) -> tuple[str, float, float]
     data = letters_of(text)
     if not any(map(str.isalpha, data.decode("utf-8", "replace"))):
         return UNKNOWN, 0.0, 0.0
-    sizes = [len(c.compress(data)) for _, c in held]
+    pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
+    sizes = [sum(len(c.compress(p)) for p in pieces) for _, c in held]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = [s for i, s in enumerate(sizes) if i != best]
     odds = sum(2.0 ** max(-1000, 8 * (sizes[best] - s)) for s in rest)

@@ -10,7 +10,7 @@ import corpus_pipeline
 from layerwood.llm.catalog import ORACLES, QUERIES
 from layerwood.llm.chat import format_chat, read_chat, text_part
 from layerwood.llm.contamination import decontaminate, item_windows, keyed, postings, proximity_matches, rarest_terms, term_counts
-from layerwood.llm.langid import fit_languages, identify_languages
+from layerwood.llm.langid import LanguageModel, fit_languages, identify, identify_languages
 from layerwood.llm.mixing import fair_queue_mix
 from layerwood.llm.neighbours import nearest
 from layerwood.llm.toxicity import fit_toxicity, score_texts, toxicity_score
@@ -68,6 +68,16 @@ def test_languages_with_a_common_opening(spark, sf_dir):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.9
 
 
+def test_long_texts_are_not_rejected():
+    rng = np.random.default_rng(2)
+    words = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(1500)] for lang, letters in (("a", "abcdefghik"), ("b", "efghiklmno"))}
+    texts = {lang: " ".join(rng.choice(w, 220_000)) for lang, w in words.items()}
+    model = LanguageModel(tuple((lang, " ".join(rng.choice(w, 9_000)).encode()) for lang, w in words.items()))
+    for lang, text in texts.items():
+        found, _, margin = identify(text, model)
+        assert found == lang and margin >= model.min_margin
+
+
 def test_toxicity(spark):
     rows = [(i, ("you idiot " if i % 3 == 0 else "kind ") + f"word{i} of text number {i * 7}", "en", "a") for i in range(200)]
     docs = docs_of(spark, rows + [(None, None, None, None), (900, "", "en", "a")])
