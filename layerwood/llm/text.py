@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the mixing and scoring contracts.
@@ -20,6 +20,11 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds
 
 
+def in_bytes(df: DataFrame, rows: int, row_bytes: int, most: int) -> DataFrame:
+    """Hint to send a counted table to all tasks if its rows, of ``row_bytes`` at most each, hold at most ``most`` bytes."""
+    return F.broadcast(df) if rows * row_bytes <= most else df
+
+
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column in one array, and the n + 1 places where texts begin; null is empty."""
     if isinstance(column, pa.ChunkedArray):
