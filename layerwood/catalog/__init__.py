@@ -1,4 +1,4 @@
-from . import encoding, metrics, models, sampling, splits, vectors  # noqa: F401  (they register)
+from . import cascades, encoding, metrics, models, sampling, splits, vectors  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -200,14 +200,19 @@ def candidate_splits(histogram: DataFrame, num_classes: int, kinds=(CONTINUOUS,)
 
 def best_split(candidates: DataFrame, num_classes: int, impurity: str = "gini",
                min_instances: int = 1, min_info_gain: float = 1e-6) -> DataFrame:
-    """Per node the cut of largest gain; ties go to the first feature, then the first cut."""
+    """Per node the cut of largest gain; ties go to the first feature, then the first cut.
+
+    In two steps: the best cut of each feature where its histogram lies, then the
+    best of a node over one row per feature.
+    """
     left, whole = [f"l{k}" for k in range(num_classes)], [f"t{k}" for k in range(num_classes)]
     gain = split_gain(whole, left, impurity, min_instances, min_info_gain)
     scored = candidates.selectExpr("*", f"if(feature = {TOTALS}, {INVALID_GAIN}, {gain}) AS gain")
     payload = (f"struct(feature, kind, cut, mask, gain, array({', '.join(left)}) AS left, "
                f"array({', '.join(whole)}) AS counts)")
-    return (scored.groupBy(*NODE)
-            .agg(F.expr(f"max_by({payload}, struct(gain, -feature, -cut)) AS s")).select(*NODE, "s.*"))
+    best = "max_by({0}, struct({1}gain, -{1}feature, -{1}cut)) AS s"
+    of_features = scored.groupBy(*NODE, "feature").agg(F.expr(best.format(payload, ""))).drop("feature")
+    return of_features.groupBy(*NODE).agg(F.expr(best.format("s", "s."))).select(*NODE, "s.*")
 
 
 # ---------------------------------------------------------------- growing and routing

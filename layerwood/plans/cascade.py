@@ -9,8 +9,9 @@ back to the rows and the lineage is cut once per layer.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ForestConfig
@@ -23,6 +24,7 @@ from .forest import fit_layer, ready_rows
 from .checks import checked_features, checked_rows
 from .grower import STATE_BYTES, Binning, fit_binning, plan_trees
 from .scoring import Layer, with_class_vectors
+from .store import FitProgress
 
 MEAN, CONCAT = "mean", "concat"
 
@@ -96,12 +98,12 @@ def with_previous(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat("raw", "previous"))
 
 
-def score_layer(rows: DataFrame, layer: Layer, feed: str, name: str, state_bytes: int) -> DataFrame:
+def score_layer(rows: DataFrame, layer: Layer, feed: str, name: str, state_bytes: int, path: str | None = None) -> DataFrame:
     """Class vectors of all rows, written as the next layer's input."""
     keep = [c for c in rows.columns if c not in ("features", "previous", "vector")]
     scored = with_class_vectors(with_previous(rows), layer, "vector", fold=F.col("fold"),
                                 state_bytes=state_bytes)
-    return materialize(scored.select(*keep, "vector", F.expr(fed_forward(layer, feed)).alias("previous")), name)
+    return materialize(scored.select(*keep, "vector", F.expr(fed_forward(layer, feed)).alias("previous")), name, path)
 
 
 def layer_report(rows: DataFrame, layer: Layer, layer_id: int) -> list[dict]:
@@ -111,53 +113,91 @@ def layer_report(rows: DataFrame, layer: Layer, layer_id: int) -> list[dict]:
     return [{"layer": layer_id, **r.asDict()} for r in table.collect()]
 
 
+def block_cascade_rows(train: DataFrame, test: DataFrame | None, config: ForestConfig, num_features: int,
+                       arity: dict[int, int] | None, cv: int) -> DataFrame:
+    """Training and test rows in one written table: instance, block, fold, label, split, row_hash, raw, previous."""
+    columns = ["instance", "block", "fold", "label", "features"]
+    no_fold = F.lit(-1).alias("fold")
+    train = k_folds(train, cv, config.seed, "instance") if cv else train.withColumn("fold", no_fold)
+    rows = train.select(*columns, F.lit("train").alias("split"))
+    if test is not None:
+        held_out = test.withColumns({"block": F.lit(0).cast("long"), "fold": no_fold})
+        rows = rows.unionByName(held_out.select(*columns, F.lit("test").alias("split")))
+    rows = checked_rows(rows, config.num_classes, num_features, arity)
+    rows = ready_rows(rows, config.seed, "block", "instance").withColumnRenamed("features", "raw")
+    return materialize(rows.withColumn("previous", F.array().cast("array<double>")), "layer-input")
+
+
 def fit_block_cascade(train: DataFrame, test: DataFrame | None, config: ForestConfig,
-                      arity: dict[int, int] | None = None,
-                      state_bytes: int = STATE_BYTES) -> CascadeModel:
+                      arity: dict[int, int] | None = None, state_bytes: int = STATE_BYTES, cv: int = 0,
+                      progress_path: str | None = None, after_layer: Callable[[int], None] | None = None) -> CascadeModel:
     """The block cascade.
 
     ``train`` has instance, block, label, features: the chosen blocks.  In every
     layer each model draws ``sub_rf_num`` of them, grows one forest per block
     and scores all rows; the mean vector goes on.  ``test`` rows take part in
     scoring only.  Without them early stopping looks at the training rows.
+
+    With ``cv`` folds every forest of a block also grows once without each fold, in
+    the same jobs, and a training row is scored by the trees that left its fold
+    out, in its own block and in all others.  So no class vector that a layer
+    learns from, and no training metric, comes from a tree that saw the row (or
+    another row of its instance).  Test rows are scored by the trees on all folds.
+
+    With ``progress_path`` each layer is published there when it is complete, and a
+    fit that finds complete layers goes on behind them; ``after_layer`` is called
+    with the number of each layer once that is done.
     """
     require_columns(train, "instance", "block", "label", "features")
+    if cv < 0 or cv == 1:
+        raise ValueError("cv is 0 (none) or at least 2")
+    spark = train.sparkSession
     train = multi_grain_scan(train, config.data_style)
     num_features = feature_count(train)
-    columns = ["instance", "block", "label", "features"]
-    rows = train.select(*columns, F.lit("train").alias("split"))
-    if test is not None:
-        held_out = test.withColumn("block", F.lit(0).cast("long")).select(*columns, F.lit("test").alias("split"))
-        rows = rows.unionByName(held_out)
-    rows = checked_rows(rows, config.num_classes, num_features, arity)
-    rows = ready_rows(rows, config.seed, "block", "instance").withColumnRenamed("features", "raw")
-    rows = materialize(rows.withColumn("previous", F.array().cast("array<double>")), "layer-input")
+    progress = None if progress_path is None else FitProgress(spark, progress_path, {
+        "config": config.to_dict(), "num_features": num_features, "arity": sorted((arity or {}).items()), "cv": cv, "test": test is not None})
+    layers, history, rows = progress.last() if progress else ([], [], None)
+    if rows is None:
+        rows = block_cascade_rows(train, test, config, num_features, arity, cv)
     seen = rows.filter("split = 'train'").select("block").distinct().collect()  # one row per block
     blocks = sorted(int(r["block"]) for r in seen)
-    bins = _Bins(rows.filter("split = 'train'").withColumn("features", F.col("raw")), blocks, num_features,
-                 config, arity)
     randoms = set(range(config.rf_num, config.models_per_layer))
     stop_on = "test" if test is not None and config.early_stop_by_test else "train"
-    model = CascadeModel([], config, num_features, MEAN, [], state_bytes, dict(arity or {}))
-    accuracies: list[float] = []
-    while True:
+    model = CascadeModel(layers, config, num_features, MEAN, history, state_bytes, dict(arity or {}))
+    accuracies = [h["accuracy"] for h in history if h["split"] == stop_on]
+    bins = None
+    while not (accuracies and M.should_stop(accuracies, config.early_stopping_rounds, config.max_layers)):
+        if bins is None:
+            bins = _Bins(rows.filter("split = 'train'").withColumn("features", F.col("raw")), blocks, num_features, config, arity)
         layer_id = len(model.layers) + 1
         extra = config.num_classes if layer_id > 1 else 0
         assignment = assign_blocks(blocks, config.models_per_layer, config.sub_rf_num, layer_id, config.seed)
         used = sorted({b for chosen in assignment for b in chosen})
         training = rows.filter((F.col("split") == "train") & F.col("block").isin(used))
-        trees = plan_trees(assignment, randoms, num_features + extra, config, layer_id)
+        trees = plan_trees(assignment, randoms, num_features + extra, config, layer_id, folds_out=(-1, *range(cv)))
         layer = fit_layer(with_previous(training), trees, bins.at(rows.filter("split = 'train'"), extra),
                           config, state_bytes)
         model.layers.append(layer)
-        seen, rows = rows, score_layer(rows, layer, MEAN, f"layer-{layer_id}", state_bytes)
+        seen, rows = rows, score_layer(rows, layer, MEAN, f"layer-{layer_id}", state_bytes,
+                                       progress.rows_path(layer_id) if progress else None)
         discard(seen)
-        model.history += layer_report(rows, layer, layer_id)
-        accuracies.append(next(h["accuracy"] for h in model.history
-                               if h["layer"] == layer_id and h["split"] == stop_on))
-        if M.should_stop(accuracies, config.early_stopping_rounds, config.max_layers):
-            discard(rows)
-            return model
+        report = layer_report(rows, layer, layer_id)
+        model.history += report
+        accuracies.append(next(h["accuracy"] for h in report if h["split"] == stop_on))
+        if progress:
+            progress.publish(layer_id, layer, report)
+        if after_layer:
+            after_layer(layer_id)
+    discard(rows)
+    return model
+
+
+def scored_rows(spark: SparkSession, progress_path: str) -> DataFrame:
+    """Rows behind the last published layer: ``vector`` of its models, ``previous`` (what it hands on), fold and split."""
+    rows = FitProgress(spark, progress_path, {}).rows()
+    if rows is None:
+        raise ValueError(f"{progress_path} holds no complete layer")
+    return rows
 
 
 def pooled_layer_accuracy(rows: DataFrame, layer: Layer) -> tuple[int, int]:

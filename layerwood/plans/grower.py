@@ -21,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import ForestConfig, subset_size
-from ..functions.hashing import HASH_RANGE, MIX_RANGE, key_hash, key_hash_value, mix_array
+from ..functions.hashing import MIX_RANGE, key_hash, key_hash_value, mix_array
 from ..operators import splits as S
 from ..operators.sampling import poisson_cdf
 from ..session import materialize, require_columns
 from . import tasks
 
 STATE_BYTES = 256 << 20
-PREFILTER_FACTOR = 4
 NODE_SCHEMA = ("tree int, node long, is_leaf boolean, feature int, kind int, cut int, mask long, "
                "threshold double, gain double, counts array<double>")
 
@@ -125,37 +125,28 @@ def feature_kinds(num_features: int, arity: dict[int, int], config: ForestConfig
     return kinds
 
 
-def sample_edges(df: DataFrame, max_splits: int, seed: int, skip=(), factor: int = PREFILTER_FACTOR):
+def sample_edges(df: DataFrame, max_splits: int, seed: int, skip=()) -> dict[tuple[int, int], np.ndarray]:
     """Uniform sample of at most ``max_splits`` distinct values per (block, feature),
     never the largest one: {(block, feature): sorted values}.
 
-    A hash threshold from the approximate distinct count lets through about
-    ``factor`` times the wanted number, so only those are shuffled.  A group
-    that comes out short is detected and sampled again from all its values.
+    One scan: every task hands on a sketch of its smallest hashes, one value more
+    than wanted in case the largest is among them.  The values of a group's smallest
+    hashes are in the sketches of all tasks that saw them, so the merged sketch is
+    exact without any count before it.
     """
-    cells = S.explode_features(df, "block")
-    if skip:
-        cells = cells.filter(~F.col("feature").isin(list(skip)))
-    stats = cells.groupBy("block", "feature").agg(
-        F.approx_count_distinct("value", 0.05).alias("ndv"), F.max("value").alias("top"))
-    limit = F.least(F.lit(1.0), F.lit(float(factor * (max_splits + 1))) / F.col("ndv")) * F.lit(float(HASH_RANGE))
-    stats = stats.withColumn("lim", limit)
-    # one row per (block, feature): the size is fixed by the configuration
-    known = stats.collect()
-    small = df.sparkSession.createDataFrame(known, stats.schema) if known else stats
-    passed = (cells.join(F.broadcast(small), ["block", "feature"])
-              .filter((F.col("value") < F.col("top"))
-                      & (key_hash(seed, "block", "feature", "value") < F.col("lim")))
-              .select("block", "feature", "value").distinct())
-    out = {(r["block"], r["feature"]): [] for r in known}
-    for r in S.sample_per_group(passed, max_splits, seed, ["block", "feature"],
-                                "block", "feature", "value").collect():
-        out[r["block"], r["feature"]].append(r["value"])
-    short = [(r["block"], r["feature"]) for r in known
-             if r["lim"] < HASH_RANGE and len(out[r["block"], r["feature"]]) < max_splits]
-    if short and factor < 1 << 40:
-        again = sample_edges(df, max_splits, seed, skip, max(factor, 1) << 20)
-        out.update({key: again[key] for key in short})
+    keep = max_splits + 1
+    sketches = df.select("block", "features").mapInArrow(
+        lambda it: tasks.smallest_hashes(it, keep, seed, skip), "block long, feature int, hash long, value double, top double")
+    merged = sketches.groupBy("block", "feature", "hash", "value").agg(F.max("top").alias("top"))
+    order = Window.partitionBy("block", "feature").orderBy("hash", "value")
+    # without an order the window takes in the whole group
+    merged = merged.withColumns({"r": F.row_number().over(order), "top": F.max("top").over(Window.partitionBy("block", "feature"))})
+    # one row per (block, feature, kept value): the size is fixed by the configuration
+    out: dict[tuple[int, int], list] = {}
+    for r in merged.filter((F.col("r") <= keep)).orderBy("block", "feature", "r").collect():
+        held = out.setdefault((r["block"], r["feature"]), [])
+        if r["value"] is not None and (r["value"] < r["top"] or math.isnan(r["top"])) and len(held) < max_splits:
+            held.append(r["value"])
     return {key: np.array(sorted(v), np.float64) for key, v in out.items()}
 
 
@@ -388,9 +379,10 @@ def grow(points: DataFrame, trees: list[Tree], binning: Binning, config: ForestC
             shared = spark.sparkContext.broadcast(level_state(nodes, trees, binning, config, level))
             own = points.filter(F.col("block").isin(blocks))
             partial = own.mapInArrow(lambda it, s=shared: tasks.histogram_batches(it, s.value), fields)
-            # partial counts are merged inside each task, so one shuffle by node serves the
-            # merge, the prefix sums and the choice of the cut
-            merged = S.merge_histogram(partial.repartition("tree", "node"), config.num_classes)
+            # partial counts are merged inside each task; one shuffle by node and feature serves
+            # the merge, the prefix sums and the feature's best cut, so even a root is merged by
+            # as many tasks as it has candidates; then one row per feature goes to its node
+            merged = S.merge_histogram(partial.repartition("tree", "node", "feature"), config.num_classes)
             nodes.apply(read_level(choose_level(merged, config, binning.kinds, level).toArrow()), config.num_classes)
             shared.unpersist()
             level += 1

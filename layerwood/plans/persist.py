@@ -1,73 +1,56 @@
-"""Save and load models: one JSON line, a tree table and a node table by layer."""
+"""Save and load models: versions of a tree table, a node table by layer and one JSON line."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from ..config import ForestConfig
-from ..operators.vectors import union_all
 from .cascade import CascadeModel
 from .forest import ForestModel
-from .grower import Tree
 from .scoring import Layer
+from .store import current_version, drop_versions, facts_of, next_version, publish, read_layers, write_layers
 
-TREE_SCHEMA = ("tree int, model int, forest int, block long, is_random boolean, bootstrap boolean, "
-               "rate double, tree_hash long, subset int, fold_out int")
-
-
-def _write_layers(spark: SparkSession, layers: list[Layer], path: str, meta: dict) -> None:
-    tagged = [layer.nodes.withColumn("layer", F.lit(i)) for i, layer in enumerate(layers)]
-    union_all(tagged).write.mode("overwrite").partitionBy("layer").parquet(f"{path}/nodes")
-    fields = [f.strip().split(" ")[0] for f in TREE_SCHEMA.split(",")]
-    trees = [(*[getattr(t, f) for f in fields], i) for i, layer in enumerate(layers) for t in layer.trees]
-    spark.createDataFrame(trees, TREE_SCHEMA + ", layer int").write.mode("overwrite").parquet(f"{path}/trees")
-    # written last: a folder with metadata is a complete model
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/metadata")
+#: Complete versions kept by a save.
+KEPT = 2
 
 
-def _read_layers(spark: SparkSession, path: str, meta: dict) -> list[Layer]:
-    trees: dict[int, list[Tree]] = {}
-    for r in spark.read.parquet(f"{path}/trees").orderBy("layer", "tree").collect():
-        fields = r.asDict()
-        trees.setdefault(fields.pop("layer"), []).append(Tree(**fields))
-    nodes: DataFrame = spark.read.parquet(f"{path}/nodes")
-    return [Layer(trees[i], nodes.filter(F.col("layer") == i).drop("layer"), meta["num_classes"])
-            for i in sorted(trees)]
+def _save(spark: SparkSession, layers: list[Layer], path: str, meta: dict) -> None:
+    """A version of its own; it becomes the current one when its last line is written."""
+    folder = next_version(spark, path)
+    write_layers(spark, layers, folder)
+    publish(spark, folder, meta)
+    drop_versions(spark, path, KEPT)
 
 
-def read_metadata(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+def _load(spark: SparkSession, path: str, kind: str) -> tuple[dict, list[Layer]]:
+    folder = current_version(spark, path)
+    meta = facts_of(spark, folder)
+    if meta["type"] != kind:
+        raise ValueError(f"{path} holds a {meta['type']}")
+    return meta, read_layers(spark, folder, meta["num_classes"])
 
 
 def save_cascade(model: CascadeModel, path: str) -> None:
     spark = model.layers[0].nodes.sparkSession
-    _write_layers(spark, model.layers, path, {
+    _save(spark, model.layers, path, {
         "type": "cascade", "num_classes": model.config.num_classes, "num_features": model.num_features,
         "feed": model.feed, "config": model.config.to_dict(), "history": model.history,
         "state_bytes": model.state_bytes, "arity": sorted(model.arity.items())})
 
 
 def load_cascade(spark: SparkSession, path: str) -> CascadeModel:
-    meta = read_metadata(spark, path)
-    if meta["type"] != "cascade":
-        raise ValueError(f"{path} holds a {meta['type']}")
-    return CascadeModel(_read_layers(spark, path, meta), ForestConfig(**meta["config"]), meta["num_features"],
+    meta, layers = _load(spark, path, "cascade")
+    return CascadeModel(layers, ForestConfig(**meta["config"]), meta["num_features"],
                         meta["feed"], meta["history"], meta["state_bytes"], {f: n for f, n in meta["arity"]})
 
 
 def save_forest(model: ForestModel, path: str) -> None:
     layer = model.layer
-    _write_layers(layer.nodes.sparkSession, [layer], path, {
+    _save(layer.nodes.sparkSession, [layer], path, {
         "type": "forest", "num_classes": layer.num_classes, "num_features": model.num_features,
         "num_trees": len(layer.trees), "state_bytes": model.state_bytes, "arity": sorted(model.arity.items())})
 
 
 def load_forest(spark: SparkSession, path: str) -> ForestModel:
-    meta = read_metadata(spark, path)
-    if meta["type"] != "forest":
-        raise ValueError(f"{path} holds a {meta['type']}")
-    return ForestModel(_read_layers(spark, path, meta)[0], meta["num_features"], meta["state_bytes"], {f: n for f, n in meta["arity"]})
+    meta, layers = _load(spark, path, "forest")
+    return ForestModel(layers[0], meta["num_features"], meta["state_bytes"], {f: n for f, n in meta["arity"]})

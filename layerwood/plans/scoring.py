@@ -6,6 +6,7 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +23,35 @@ class Layer:
     trees: list[Tree]
     nodes: DataFrame
     num_classes: int
+    _sizes: dict[int, int] | None = dataclasses.field(default=None, repr=False, compare=False)
+    _shared: Broadcast | None = dataclasses.field(default=None, repr=False, compare=False)
 
     @property
     def num_models(self) -> int:
         return max(t.model for t in self.trees) + 1
 
+    def sizes(self) -> dict[int, int]:
+        """Nodes by tree, counted once; one row per tree reaches the driver."""
+        if self._sizes is None:
+            self._sizes = {r["tree"]: r["count"] for r in self.nodes.groupBy("tree").count().collect()}
+        return self._sizes
+
     def size(self) -> int:
-        return self.nodes.count()
+        return sum(self.sizes().values())
+
+    def shared_state(self) -> Broadcast:
+        """The node arrays of all trees, sent once however often the layer scores."""
+        if self._shared is None:
+            self._shared = self.nodes.sparkSession.sparkContext.broadcast(layer_state(self, self.trees))
+        return self._shared
 
     def forests(self) -> dict[tuple[int, int, int], int]:
         """A place for the votes of each (model, left-out fold, forest)."""
         return {key: i for i, key in enumerate(sorted({(t.model, t.fold_out, t.forest) for t in self.trees}))}
 
     def groups(self, state_bytes: int) -> list[list[Tree]]:
-        """Trees in runs whose node arrays stay below the bound; one tree at least.
-
-        One row per tree reaches the driver.
-        """
-        sizes = {r["tree"]: r["count"] for r in self.nodes.groupBy("tree").count().collect()}
+        """Trees in runs whose node arrays stay below the bound; one tree at least."""
+        sizes = self.sizes()
         per_node, out, held = 48 + 8 * self.num_classes, [[]], 0
         for t in self.trees:
             size = per_node * sizes.get(t.tree, 0)
@@ -75,36 +87,56 @@ def layer_state(layer: Layer, trees: list[Tree]) -> dict:
                       "has_categories": bool((column["kind"] != 0).any())}}
 
 
+def list_array(values: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def members_of(layer: Layer) -> dict[int, list[tuple[int, int]]]:
+    """By left-out fold the (model, place) of its forests."""
+    members: dict[int, list[tuple[int, int]]] = {}
+    for (model, fold_out, _), at in layer.forests().items():
+        members.setdefault(fold_out, []).append((model, at))
+    return members
+
+
+# Spark may evaluate a deterministic function again wherever its result is filtered or
+# exploded; these are expensive, so they are marked as not to be repeated.
+
+def whole_column(layer: Layer, features: Column, fold: Column) -> Column:
+    """Features to class vectors in one step, by the node arrays of all trees."""
+    shared, members, models, classes = layer.shared_state(), members_of(layer), layer.num_models, layer.num_classes
+
+    @F.arrow_udf("array<double>")
+    def vectors(values: pa.Array, folds: pa.Array) -> pa.Array:
+        folds = np.asarray(folds)
+        return list_array(tasks.class_vectors(tasks.forest_votes(tasks.matrix(values), folds, shared.value), folds, members, models, classes))
+
+    return vectors.asNondeterministic()(features, fold)
+
+
 def votes_column(layer: Layer, trees: list[Tree], features: Column, fold: Column, votes: Column) -> Column:
     """The votes so far with those of some trees added; a narrow pass with broadcast node arrays."""
-    spark = layer.nodes.sparkSession
-    shared = spark.sparkContext.broadcast(layer_state(layer, trees))
+    shared = layer.nodes.sparkSession.sparkContext.broadcast(layer_state(layer, trees))
     width = len(layer.forests()) * layer.num_classes
 
     @F.arrow_udf("array<double>")
     def add(vectors: pa.Array, folds: pa.Array, before: pa.Array) -> pa.Array:
         held = tasks.matrix(before, width) if before.null_count == 0 else np.zeros((len(before), width))
-        out = held + tasks.forest_votes(tasks.matrix(vectors), np.asarray(folds), shared.value)
-        offsets = np.arange(len(out) + 1, dtype=np.int32) * width
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+        return list_array(held + tasks.forest_votes(tasks.matrix(vectors), np.asarray(folds), shared.value))
 
-    return add(features, fold, votes)
+    return add.asNondeterministic()(features, fold, votes)
 
 
 def class_vector_column(layer: Layer, votes: Column, fold: Column) -> Column:
     """Votes to one vector of models x classes: a forest's votes, then a model's, are scaled to 1."""
-    places, classes, models = layer.forests(), layer.num_classes, layer.num_models
-    members = {}
-    for (model, fold_out, _), at in places.items():
-        members.setdefault(fold_out, []).append((model, at))
+    members, places, classes, models = members_of(layer), len(layer.forests()), layer.num_classes, layer.num_models
 
     @F.arrow_udf("array<double>")
     def vectors(summed: pa.Array, folds: pa.Array) -> pa.Array:
-        out = tasks.class_vectors(tasks.matrix(summed, len(places) * classes), np.asarray(folds), members, models, classes)
-        offsets = np.arange(len(out) + 1, dtype=np.int32) * (models * classes)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+        return list_array(tasks.class_vectors(tasks.matrix(summed, places * classes), np.asarray(folds), members, models, classes))
 
-    return vectors(votes, fold)
+    return vectors.asNondeterministic()(votes, fold)
 
 
 def forest_votes(votes: DataFrame, num_classes: int, keys) -> DataFrame:
@@ -121,15 +153,18 @@ def with_class_vectors(df: DataFrame, layer: Layer, output: str = "vector", fold
     """Add the models' concatenated class vectors to rows with ``features``.
 
     ``fold`` is the fold a row belongs to: trees that left it out vote; without it
-    the trees that left no fold out do.  Trees vote in groups below the byte bound,
-    one narrow pass each; with more than one group the rows are written after each
-    pass, so that a task holds one group at a time.  Rows are never joined, so ids
-    may be null or repeat.  A row whose trees saw no row at all gets zeros.
+    the trees that left no fold out do.  While all node arrays stay below the byte
+    bound that is one call per row; beyond it trees vote in groups, one narrow pass
+    each, and the rows are written after each pass, so that a task holds one group
+    at a time.  Rows are never joined, so ids may be null or repeat.  A row whose
+    trees saw no row at all gets zeros.
     """
-    rows = df.withColumns({"_fold": F.lit(-1) if fold is None else fold, "_votes": F.lit(None).cast("array<double>")})
+    rows = df.withColumn("_fold", F.lit(-1) if fold is None else fold)
     groups = layer.groups(state_bytes)
+    if len(groups) == 1:
+        return rows.withColumn(output, whole_column(layer, F.col("features"), F.col("_fold"))).drop("_fold")
+    rows = rows.withColumn("_votes", F.lit(None).cast("array<double>"))
     for trees in groups:
         rows = rows.withColumn("_votes", votes_column(layer, trees, F.col("features"), F.col("_fold"), F.col("_votes")))
-        if len(groups) > 1:
-            rows = materialize(rows, "votes")
+        rows = materialize(rows, "votes")
     return rows.withColumn(output, class_vector_column(layer, F.col("_votes"), F.col("_fold"))).drop("_votes", "_fold")

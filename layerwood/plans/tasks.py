@@ -6,6 +6,8 @@ these functions only walk the rows of one batch down the trees known so far.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -187,6 +189,46 @@ def binned_batches(batches, edges: dict):
             names=["block", "fold", "row_hash", "label", "bins"])
 
 
+def value_hashes(seed: int, block: int, feature: int, values: np.ndarray) -> np.ndarray:
+    """First 32 bits of md5(seed:block:feature:value), the value in its shortest form."""
+    head = hashlib.md5(f"{seed}:{block}:{feature}:".encode())
+    out = np.empty(len(values), np.int64)
+    for i, value in enumerate(values.tolist()):
+        each = head.copy()
+        each.update(repr(value).encode())
+        out[i] = int.from_bytes(each.digest()[:4], "big")
+    return out
+
+
+def smallest_hashes(batches, keep: int, seed: int, skip=()):
+    """Per block and feature the ``keep`` distinct values of smallest hash, and the largest value.
+
+    The sketch of a task never holds more; sketches are merged by taking the
+    smallest of their hashes again.  A NaN counts as the largest value.
+    """
+    sketches: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        values = matrix(batch.column("features")) + 0.0  # one zero only
+        for block, rows in by_block(np.asarray(batch.column("block"))):
+            for f in range(values.shape[1]):
+                if f in skip:
+                    continue
+                found = np.unique(values[rows, f])
+                held = sketches.setdefault((block, f), [np.zeros(0, np.int64), np.zeros(0), -np.inf])
+                held[2] = np.maximum(held[2], found[-1])  # NaN stays
+                found = found[~np.isnan(found)]
+                found = found[~np.isin(found, held[1])]
+                hashes = np.concatenate([held[0], value_hashes(seed, block, f, found)])
+                found = np.concatenate([held[1], found])
+                best = np.lexsort((found, hashes))[:keep]
+                held[0], held[1] = hashes[best], found[best]
+    for (block, f), (hashes, found, top) in sketches.items():
+        n = max(len(found), 1)  # a feature of NaNs only still has a row
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, f, np.int32)), pa.array(hashes) if len(found) else pa.nulls(1, pa.int64()),
+             pa.array(found) if len(found) else pa.nulls(1, pa.float64()), pa.array(np.full(n, top))], names=["block", "feature", "hash", "value", "top"])
+
+
 def lowest_above(batches, edges: dict):
     """Per block, feature and bin the smallest value this task has seen."""
     lows: dict[int, list] = {}

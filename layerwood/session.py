@@ -28,6 +28,28 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str):
+    """A path and its file system, in whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there, store = _stored(spark, path)
+    return store.exists(there)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    there, store = _stored(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(there)) if store.exists(there) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there, store = _stored(spark, path)
+    store.delete(there, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by ``materialize``; nothing may read it any more."""
     spark = df.sparkSession
@@ -36,7 +58,7 @@ def discard(df: DataFrame) -> None:
         base = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
         # only folders right below the shared one are ours
         if path.getParent().toUri().getPath() == base.toUri().getPath():
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            remove(spark, folder)
 
 
 def bytes_read(df: DataFrame) -> int:
