@@ -15,7 +15,7 @@ number of runs follows from the recall wanted for pairs just at the threshold.
 
 Links: candidates only say which sets may belong together.  Within each group
 of connected candidates all pairs are compared exactly, on the whole sets, in
-blocks of bounded size; numbers of links are summed and a spanning forest of the
+blocks bounded by sets and by shingles; numbers of links are summed and a spanning forest of the
 links leaves each block, never the pairs.  Groups of links are the classes.
 
 Defined cases: null and blank texts have no shingles, no links, and are classes
@@ -40,6 +40,8 @@ from .text import LOWER, cut_words, hash_words, joined, mixed, per_text
 
 COORDINATES = 64
 SMALL, DEPTH, BLOCK_SETS, BLOCK_SHINGLES = 128, 4, 1024, 600_000
+#: Rows of a table of sets by sets that are looked at together.
+STRIP = 512
 PIECE = 4 << 20
 _draw = np.random.default_rng(31)
 FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -286,16 +288,20 @@ def compare_blocks(threshold: float) -> Callable:
             held = np.zeros((len(uid), 2048), np.float32)
             held[owner[part], word[part] - low] = 1
             common += held @ held.T
-        union = sizes[:, None] + sizes[None] - common
-        near = common >= threshold * union - 1e-3
-        np.fill_diagonal(near, False)
-        if table.column("i")[0] != table.column("j")[0]:
-            near &= side[:, None] != side[None]
-        links = near @ copies
+        near, links = np.zeros(common.shape, bool), np.zeros(len(uid), np.int64)
+        apart = table.column("i")[0] != table.column("j")[0]
+        for low in range(0, len(uid), STRIP):
+            part = slice(low, low + STRIP)
+            union = (sizes[part, None] + sizes[None]).astype(np.float32) - common[part]
+            near[part] = common[part] >= threshold * union - 1e-3
+            if apart:
+                near[part] &= side[part, None] != side[None]
+            near[part][np.arange(len(union)), np.arange(low, low + len(union))] = False
+            links[part] = np.where(near[part], copies, 0).sum(axis=1)
         first = groups_of(near)
         other = np.flatnonzero(first != np.arange(len(uid)))
         n, m = len(uid), len(other)
-        return pa.table([pa.array(np.concatenate([uid, uid[other]])), pa.array(np.concatenate([links.astype(np.int64), np.zeros(m, np.int64)])),
+        return pa.table([pa.array(np.concatenate([uid, uid[other]])), pa.array(np.concatenate([links, np.zeros(m, np.int64)])),
                          pa.array([None] * n + uid[first[other]].tolist(), pa.int64())], ["uid", "links", "peer"])
 
     return compared
@@ -303,7 +309,7 @@ def compare_blocks(threshold: float) -> Callable:
 
 def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
     """uid, links (copies linked to), peer (an edge, or null) from all pairs in each group of sets (uid, root, n, copies, shingles)."""
-    blocks = sets.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    blocks = sets.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).alias("blocks"))
     rows = sets.join(blocks, "root")
     own = F.pmod(F.xxhash64("uid"), F.col("blocks"))
     rows = rows.select("uid", "root", "copies", "shingles", own.alias("side"),

@@ -13,6 +13,8 @@ to the split, until ``search_leaves`` leaves are collected.  The points of these
 leaves are ranked by the exact inner product of the given vectors, in doubles.
 Leaves meet queries in buckets of about ``BUCKET_POINTS`` points; each bucket hands on
 a query's k + 1 best, so a query has at most as many lists as buckets or leaves.
+At every cut scores are exact and ties go to the smaller id; scores of a leaf are
+made for some visitors at a time.
 
 How many leaves a query needs depends on the data: on points without structure
 it is a share of all leaves.  So it is measured (``leaves_needed``): ``PROBES``
@@ -35,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ from ..session import materialize
 BUCKET_POINTS = 50_000
 #: Pairs that a bucket holds before it keeps each query's best.
 PAIRS = 400_000
+#: Numbers in a block of scores.
+SCORES = 4_000_000
 #: Asking points whose true neighbours are looked up to choose the number of leaves.
 PROBES = 128
 
@@ -154,18 +159,41 @@ def raised(x: np.ndarray, longest: float, query: bool = False) -> np.ndarray:
     return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
 
 
-def best_pairs(kept: list[tuple], uid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (query, member, score) the ``most`` best of each query, each point once."""
+def best_pairs(kept: list[tuple], uid: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, member, exact score) the ``most`` best of each query, each point once; ties go to the smaller first id."""
     asker, member, score = (np.concatenate(x) for x in zip(*kept))
-    order = np.lexsort((uid[member], asker))
+    order = np.lexsort((uid[member], first[member], -score, asker))
     asker, member, score = asker[order], member[order], score[order]
     once = np.ones(len(asker), bool)
     once[1:] = (asker[1:] != asker[:-1]) | (uid[member[1:]] != uid[member[:-1]])
     asker, member, score = asker[once], member[once], score[once]
-    order = np.lexsort((-score, asker))
-    asker = asker[order]
     best = np.arange(len(asker)) - np.searchsorted(asker, asker) < most
-    return asker[best], member[order][best], score[order][best]
+    return asker[best], member[best], score[best]
+
+
+def best_of_leaf(q: np.ndarray, x: np.ndarray, who: np.ndarray, members: np.ndarray, uid: np.ndarray, first: np.ndarray, most: int):
+    """The ``most`` best members of a leaf for each of its visitors, some visitors at a time.
+
+    The product's last digits may depend on the block, so all members within a
+    margin of the last place are scored one by one before ids decide.
+    """
+    some, step = min(most, len(members)), max(1, SCORES // len(members))
+    longest = float(np.sqrt((x[members] ** 2).sum(axis=1).max()))
+    for low in range(0, len(who), step):
+        part = who[low:low + step]
+        scores = q[part] @ x[members].T
+        last = -np.partition(-scores, some - 1, axis=1)[:, some - 1]
+        margin = 1e-12 * longest * np.sqrt((q[part] ** 2).sum(axis=1)) * np.sqrt(x.shape[1])
+        row, column = np.nonzero(scores >= (last - margin)[:, None])
+        asker, member = part[row], members[column]
+        exact = exact_scores(q, x, asker, member)
+        yield best_pairs([(asker, member, exact)], uid, first, most)
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray, asker: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Inner products row by row, which do not depend on the other rows."""
+    step = max(1, SCORES // (8 * x.shape[1]))
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[asker[i:i + step]], x[member[i:i + step]]) for i in range(0, len(asker), step))])
 
 
 def fit_forest(points: DataFrame, longest: float, trees: int, leaf_rows: int, sample_rows: int, seed: int) -> list[Tree]:
@@ -313,34 +341,29 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
         wants = lists.flatten().to_numpy()
         back = np.argsort(wants, kind="stable")
         asks, wants = asks[back], wants[back]
-        # a few more than asked for: the product's last digit may depend on the block
-        most, kept, held = k + 9, [], 0
+        most, kept, held = k + 1, [], 0
+        ids = left.column("first").combine_chunks()
+        # places of ids in their order stand for them
+        order_of = np.empty(len(ids), np.int64)
+        order_of[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        values = ids.to_numpy(zero_copy_only=False)
+        if values.dtype.kind in "iuf":
+            order_of = np.unique(values, return_inverse=True)[1]
         for name, low, high in zip(names, first, ends):
             who = asks[np.searchsorted(wants, name):np.searchsorted(wants, name, "right")]
             if not len(who):
                 continue
-            members = order[low:high]
-            scores = q[who] @ x[members].T
-            some = min(most, len(members))
-            top = np.argpartition(-scores, some - 1, axis=1)[:, :some]
-            kept.append((np.repeat(who, some), members[top].ravel(), np.take_along_axis(scores, top, 1).ravel()))
-            held += top.size
-            if held > PAIRS:
-                kept = [best_pairs(kept, uid, most)]
-                held = len(kept[0][0])
+            for found in best_of_leaf(q, x, who, order[low:high], uid, order_of, most):
+                kept.append(found)
+                held += len(found[0])
+                if held > PAIRS:
+                    kept = [best_pairs(kept, uid, order_of, most)]
+                    held = len(kept[0][0])
         if not kept:
             return none
-        asker, member, _ = best_pairs(kept, uid, most)
-        score = np.concatenate([np.einsum("ij,ij->i", q[asker[i:i + PAIRS // 8]], x[member[i:i + PAIRS // 8]])
-                                for i in range(0, len(asker), PAIRS // 8)])
-        order = np.lexsort((uid[member], -score, asker))
-        pairs, score = np.stack([asker[order], member[order]]), score[order]
-        begin = np.searchsorted(pairs[0], pairs[0])
-        # ties with the last place stay, ids decide later
-        last = np.minimum(begin + k, np.searchsorted(pairs[0], pairs[0], "right") - 1)
-        best = score >= score[last]
-        return pa.table([right.column("uid").to_numpy()[pairs[0][best]], uid[pairs[1][best]],
-                         left.column("first").take(pa.array(pairs[1][best])), score[best]], ["query", "uid", "first", "score"])
+        asker, member, score = best_pairs(kept, uid, order_of, most)
+        return pa.table([right.column("uid").to_numpy()[asker], uid[member], left.column("first").take(pa.array(member)), score],
+                        ["query", "uid", "first", "score"])
 
     index = points.select("uid", "vector", F.col("ids")[0].alias("first")).mapInArrow(
         indexed, f"bucket int, place long, uid long, first {id_type}, vector binary")
