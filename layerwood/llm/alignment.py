@@ -110,7 +110,7 @@ def encoders(a_path: str, b_path: str) -> Encoders:
     ranks = {t: i for i, t in enumerate(a_bytes) if t and i not in special}
     fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     b_bytes = [b"" if b.IsControl(i) or b.IsUnknown(i) else piece_bytes(b.IdToPiece(i)) for i in range(b.GetPieceSize())]
-    marks = tuple(np.array([f"{i}{end}" for i in range(len(names))], object) for names in (a_bytes, b_bytes) for end in ((",", "|") if names is a_bytes else (",", ";")))
+    marks = tuple(np.array([f"{i}{end}" for end in ends for i in range(len(names))], object) for names, ends in ((a_bytes, ",|"), (b_bytes, ",;")))
     return Encoders(a, fast, b, tuple(a_bytes), tuple(b_bytes), *(np.array([len(t) for t in x], np.int64) for x in (a_bytes, b_bytes)), marks)
 
 
@@ -143,24 +143,28 @@ class Aligned:
 NOTHING = Aligned(*(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, bool) for _ in range(2)))
 
 
-def encode_a(raw: bytes, text: str, enc: Encoders) -> list[int]:
+def encode_a(raw: bytes, text: str, enc: Encoders) -> np.ndarray:
     """Ids of the blank and the text."""
     if np.frombuffer(raw, np.uint8).max() <= PLAIN:
-        return enc.fast.encode_ordinary(" " + text)
-    return enc.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        return enc.fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+    return np.array(enc.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
 
 
-def align(text: bytes, a: list[int], b: list[int], enc: Encoders) -> Aligned:
-    """Side by side, unless the tokens do not join to the blank and the text."""
+def align(text: bytes, a: np.ndarray, b: list[int], enc: Encoders) -> Aligned:
+    """Side by side, unless the tokens do not join to the blank and the text.
+
+    A cuts bytes and changes none, so the lengths of its tokens tell whether they are all there.
+    """
     whole = b" " + text
-    if b"".join([enc.a_bytes[i] for i in a]) != whole or b"".join([enc.b_bytes[i] for i in b]) != whole:
+    at_a = np.cumsum(enc.a_sizes[a])
+    if not len(at_a) or at_a[-1] != len(whole) or b"".join([enc.b_bytes[i] for i in b]) != whole:
         return NOTHING
-    x, y = np.array(a, np.int64), np.array(b, np.int64)
-    at_a, at_b = np.cumsum(enc.a_sizes[x]), np.cumsum(enc.b_sizes[y])
+    y = np.array(b, np.int64)
+    at_b = np.cumsum(enc.b_sizes[y])
     ends = np.zeros(len(whole) + 1, np.uint8)
     ends[at_a] = 1
     ends[at_b] += 1
-    return Aligned(x, y, ends[at_a] == 2, ends[at_b] == 2)
+    return Aligned(a, y, ends[at_a] == 2, ends[at_b] == 2)
 
 
 def aligned(texts: list[bytes | None], enc: Encoders) -> Iterator[Aligned]:
@@ -197,9 +201,9 @@ def groups_text(x: Aligned, enc: Encoders) -> str:
     group_a, group_b = np.cumsum(x.a_ends) - x.a_ends, np.cumsum(x.b_ends) - x.b_ends
     upto_a, upto_b = (np.concatenate([[0], np.flatnonzero(e) + 1]) for e in (x.a_ends, x.b_ends))
     out = np.empty(len(x.a) + len(x.b), object)
-    a_more, a_last, b_more, b_last = enc.marks
-    out[np.arange(len(x.a)) + upto_b[group_a]] = np.where(x.a_ends, a_last[x.a], a_more[x.a])
-    out[np.arange(len(x.b)) + upto_a[group_b + 1]] = np.where(x.b_ends, b_last[x.b], b_more[x.b])
+    # ids behind which a group goes on stand first in the lists, those that end their part behind them
+    out[np.arange(len(x.a)) + upto_b[group_a]] = enc.marks[0][x.a + len(enc.a_bytes) * x.a_ends]
+    out[np.arange(len(x.b)) + upto_a[group_b + 1]] = enc.marks[1][x.b + len(enc.b_bytes) * x.b_ends]
     return "".join(out.tolist())[:-1]
 
 
@@ -305,17 +309,23 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text
         enc, pairs = encoders(a_path, b_path), table.value
 
         def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-            out = {name: [] for name in RESULTS}
+            n_a, n_b, n_links, keys, groups = [], [], [], [NOTHING.pairs], []
             for x in aligned(part.column(part.num_columns - 1).to_pylist(), enc):
-                at = pairs.found.find(x.pairs)
-                if (at < 0).any():
-                    raise ValueError("a pair that was not hashed")
-                counts = pairs.counts[at]
-                values = (len(x.a), len(x.b), int(x.b_ends.sum()), len(at), int((counts == pairs.best[x.b[x.b_ends]]).sum()), int(counts.sum()), groups_text(x, enc))
-                for name, value in zip(out, values):
-                    out[name].append(value)
-            fresh = [pa.array(v, pa.string() if RESULTS[n] == "string" else pa.int64()) for n, v in out.items()]
-            return pa.RecordBatch.from_arrays([*part.columns[:-1], *fresh], names)
+                n_a.append(len(x.a))
+                n_b.append(len(x.b))
+                keys.append(x.pairs)
+                n_links.append(len(keys[-1]))
+                groups.append(groups_text(x, enc))
+            # links of all texts of the part are looked up together
+            key = np.concatenate(keys)
+            at = pairs.found.find(key)
+            if (at < 0).any():
+                raise ValueError("a pair that was not hashed")
+            counts = pairs.counts[at]
+            ends = np.concatenate([[0], np.cumsum(np.array(n_links, np.int64))])
+            best, total = (np.concatenate([[0], np.cumsum(v)])[ends] for v in (counts == pairs.best[key & 0xFFFFFFFF], counts))
+            numbers = [n_a, n_b, n_links, n_links, np.diff(best), np.diff(total)]
+            return pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v, pa.int64()) for v in numbers), pa.array(groups, pa.string())], names)
 
         for batch in batches:
             # few rows at a time where texts are long
