@@ -83,12 +83,13 @@ def tree_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) ->
     sides = ", ".join(f"sum(c{k}) {over} ORDER BY bin) AS l{k}, sum(c{k}) {over}) AS t{k}" for k in ks)
     for d in range(config.max_depth):
         own, last = f"{tag}_{d}", d + 1 == config.max_depth
+        open_ = f"SELECT tree, node FROM k{tag}_{d - 1} WHERE NOT closed" if d else f"SELECT DISTINCT tree, node FROM p{own}"
         totals = (f" UNION ALL SELECT tree, node, -1, -1, 0, {sums} FROM p{own} GROUP BY tree, node" if d == 0 else "")
         kids = ", ".join(f"CASE WHEN side = 0 THEN l{k} ELSE t{k} - l{k} END AS c{k}" for k in ks)
         pure = f"greatest({counts}) = {' + '.join(f'c{k}' for k in ks)}"
         out += [
             f"n{own} AS MATERIALIZED (SELECT tree, node, block, is_random, subset, {sql_mix('tree_hash', 'node')} AS k "
-            f"FROM (SELECT DISTINCT tree, node FROM p{own}) JOIN trees{tag} USING (tree))",
+            f"FROM ({open_}) JOIN trees{tag} USING (tree))",
             f"h{own} AS MATERIALIZED (SELECT tree, node, feature, n, is_random, subset, {sql_mix('k', 'feature')} AS h FROM n{own} JOIN cuts{tag} USING (block))",
             f"c{own} AS MATERIALIZED (SELECT tree, node, feature, CASE WHEN is_random THEN {sql_mix('h', str(S.CUT_SALT))} % n ELSE -1 END AS cut "
             f"FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY h, feature) AS r FROM h{own}) WHERE r <= subset AND n > 0)",
@@ -101,10 +102,10 @@ def tree_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) ->
             f"k{own} AS MATERIALIZED (SELECT *, {'true' if last else pure} AS closed FROM (SELECT tree, node * 2 + side AS node, {kids} "
             f"FROM s{own}, (SELECT unnest(range(2)) AS side) WHERE gain >= {config.min_info_gain!r}))"]
         if not last:
-            out.append(
-                f"p{tag}_{d + 1} AS MATERIALIZED (SELECT m.* FROM (SELECT p.rid, p.tree, p.node * 2 + (p.b[s.feature + 1] > s.cut)::INT AS node, p.label, p.b, p.w "
-                f"FROM p{own} p JOIN s{own} s ON p.tree = s.tree AND p.node = s.node WHERE s.gain >= {config.min_info_gain!r}) m "
-                f"JOIN k{own} k ON m.tree = k.tree AND m.node = k.node AND NOT k.closed)")
+            out += [
+                f"m{own} AS MATERIALIZED (SELECT p.rid, p.tree, p.node * 2 + (p.b[s.feature + 1] > s.cut)::INT AS node, p.label, p.b, p.w "
+                f"FROM p{own} p JOIN s{own} s ON p.tree = s.tree AND p.node = s.node WHERE s.gain >= {config.min_info_gain!r})",
+                f"p{tag}_{d + 1} AS MATERIALIZED (SELECT m.* FROM m{own} m JOIN k{own} k ON m.tree = k.tree AND m.node = k.node AND NOT k.closed)"]
     depths = range(config.max_depth)
     roots = f"SELECT tree, node, {', '.join(f't{k} AS c{k}' for k in ks)} FROM s{tag}_0"
     every = " UNION ALL ".join([roots, *(f"SELECT tree, node, {counts} FROM k{tag}_{d}" for d in depths)])
@@ -121,9 +122,9 @@ def vote_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) ->
     """models{tag}: rid, model and its class vector p0....  A row asks the trees that left its fold out."""
     ks = range(config.num_classes)
     n = " + ".join(f"c{k}" for k in ks)
-    out = [f"w{tag}_0 AS (SELECT r.rid, r.x, t.tree, 1::BIGINT AS node FROM {rows} r JOIN trees{tag} t ON t.fold_out = r.fold)"]
+    out = [f"w{tag}_0 AS MATERIALIZED (SELECT r.rid, r.x, t.tree, 1::BIGINT AS node FROM {rows} r JOIN trees{tag} t ON t.fold_out = r.fold)"]
     for d in range(config.max_depth):
-        out.append(f"w{tag}_{d + 1} AS (SELECT w.rid, w.x, w.tree, CASE WHEN n.is_leaf THEN w.node WHEN w.x[n.feature + 1] <= n.threshold THEN 2 * w.node "
+        out.append(f"w{tag}_{d + 1} AS MATERIALIZED (SELECT w.rid, w.x, w.tree, CASE WHEN n.is_leaf THEN w.node WHEN w.x[n.feature + 1] <= n.threshold THEN 2 * w.node "
                    f"ELSE 2 * w.node + 1 END AS node FROM w{tag}_{d} w JOIN nodes{tag} n ON w.tree = n.tree AND w.node = n.node)")
     shares = ", ".join(f"{added(f'c{k} / ({n})', 'w.tree')} AS v{k}" for k in ks)
     votes, whole = total([f"v{k}" for k in ks]), total([f"q{k}" for k in ks])

@@ -5,42 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sampling as P
 from ..plans.cascade import CascadeModel, fit_block_cascade, scored_rows
-from ..plans.grower import Tree, plan_trees
 from ..session import new_path
 from .cascade_sql import layers_sql, node_rows, probabilities
-from .models import BLOCK_SEED, BLOCKS, LINE_ID_SQL, SMALL, SPLIT_SEED, TAKEN, blocked_lines
-from .registry import query, sql_hash
+from .models import SMALL, block_plan, blocked_lines, blocked_rows_sql
+from .registry import query
 
-CHOSEN = P.choose_blocks(BLOCKS, TAKEN, BLOCK_SEED)
-FEATURES_SQL = "[l_extendedprice, l_discount, l_tax, l_quantity]"
-LABEL_SQL = "cast(l_extendedprice * (1 - l_discount) > 40000 AS INTEGER)"
 #: Two layers, small enough for SQL, with every kind of tree and two forests in a model.
 TWO_LAYERS = SMALL.replace(rf_num=1, crf_num=1, trees=2, max_depth=2)
 FOLDED = SMALL.replace(rf_num=1, crf_num=1, trees=2, max_depth=3, max_layers=1)
 
 
-def blocked_rows_sql(seed: int, cv: int = 0) -> str:
-    """The rows of ``blocked_lines``, training and test."""
-    fold = f"CASE WHEN is_train THEN {sql_hash(seed, 'inst')} % {cv} ELSE -1 END" if cv else "-1"
-    return f"""
-SELECT row_number() OVER () AS rid, inst, {sql_hash(seed, 'b', 'inst')} AS row_hash, label, b AS block, {fold} AS fold,
-       CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, x
-FROM (SELECT *, CASE WHEN is_train THEN {sql_hash(BLOCK_SEED, 'inst')} % {BLOCKS} ELSE 0 END AS b
-      FROM (SELECT {LINE_ID_SQL} AS inst, {sql_hash(SPLIT_SEED, LINE_ID_SQL)} < {int(0.7 * (1 << 32))} AS is_train,
-                   {LABEL_SQL} AS label, {FEATURES_SQL} AS x FROM lineitem))
-WHERE NOT is_train OR b IN ({", ".join(map(str, CHOSEN))})"""
-
-
-def block_plan(config, cv: int = 0):
-    """Trees of a block cascade's layer: decided by seeds, not by rows."""
-    def plan(layer: int, features: int) -> list[Tree]:
-        assignment = P.assign_blocks(CHOSEN, config.models_per_layer, config.sub_rf_num, layer, config.seed)
-        return plan_trees(assignment, set(range(config.rf_num, config.models_per_layer)), features, config, layer, folds_out=(-1, *range(cv)))
-    return plan
-
-
 TWO_LAYERS_SQL = layers_sql(blocked_rows_sql(TWO_LAYERS.seed), 4, TWO_LAYERS, block_plan(TWO_LAYERS), 2)
 
 
@@ -53,7 +28,7 @@ def block_cascade_two_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("instance", "label", F.posexplode("probability").alias("class", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("block_cascade_cv", f"""{layers_sql(blocked_rows_sql(FOLDED.seed, 3), 4, FOLDED, block_plan(FOLDED, 3), 1)}
+@query("block_cascade_cv", f"""{layers_sql(blocked_rows_sql(FOLDED.seed, 3), 4, FOLDED, block_plan(FOLDED, cv=3), 1)}
 SELECT inst AS instance, block::BIGINT AS block, cast(fold AS INTEGER) AS fold, split, round(p0, 6) AS p0, round(p1, 6) AS p1
 FROM mean_1 JOIN rows1 USING (rid)""")
 def block_cascade_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,12 @@ from ..operators import metrics as M
 from ..operators import sampling as P
 from ..plans.cascade import CascadeModel, fit_block_cascade, fit_cascade, out_of_fold_vectors
 from ..plans.forest import fit_block_forest, fit_forest, library_forest_vectors
+from ..plans.grower import Tree, plan_trees
 from ..plans.job import run_job
 from ..plans.persist import load_cascade, load_forest, save_cascade, save_forest
 from ..session import new_path
 from ..sources.delimited import load_delimited
+from .cascade_sql import layers_sql, metrics_sql, probabilities
 from .registry import query, sql_hash, table
 
 SPLIT_SEED, BLOCK_SEED, BLOCKS, TAKEN = 7, 5, 12, 6
@@ -72,6 +74,60 @@ def block_cascade_model(spark: SparkSession, sf_dir: str, config: ForestConfig =
     return fit_block_cascade(train, test, config)
 
 
+CHOSEN = P.choose_blocks(BLOCKS, TAKEN, BLOCK_SEED)
+IS_TRAIN_SQL = f"{sql_hash(SPLIT_SEED, LINE_ID_SQL)} < {int(0.7 * (1 << 32))}"
+FEATURES_SQL = "[l_extendedprice, l_discount, l_tax, l_quantity]"
+LABEL_SQL = "cast(l_extendedprice * (1 - l_discount) > 40000 AS INTEGER)"
+
+
+def lines_sql(row_hash: str, fold: str = "-1", where: str = "true") -> str:
+    """All rows, or those of ``split_lines``, as one block."""
+    return f"""
+SELECT row_number() OVER () AS rid, inst, {row_hash} AS row_hash, label, 0 AS block, {fold} AS fold, 'train' AS split, x
+FROM (SELECT {LINE_ID_SQL} AS inst, {IS_TRAIN_SQL} AS is_train, {LABEL_SQL} AS label, {FEATURES_SQL} AS x FROM lineitem) WHERE {where}"""
+
+
+def blocked_rows_sql(seed: int, cv: int = 0) -> str:
+    """The rows of ``blocked_lines``, training and test."""
+    fold = f"CASE WHEN is_train THEN {sql_hash(seed, 'inst')} % {cv} ELSE -1 END" if cv else "-1"
+    return f"""
+SELECT row_number() OVER () AS rid, inst, {sql_hash(seed, 'b', 'inst')} AS row_hash, label, b AS block, {fold} AS fold,
+       CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, x
+FROM (SELECT *, CASE WHEN is_train THEN {sql_hash(BLOCK_SEED, 'inst')} % {BLOCKS} ELSE 0 END AS b
+      FROM (SELECT {LINE_ID_SQL} AS inst, {IS_TRAIN_SQL} AS is_train, {LABEL_SQL} AS label, {FEATURES_SQL} AS x FROM lineitem))
+WHERE NOT is_train OR b IN ({", ".join(map(str, CHOSEN))})"""
+
+
+def block_plan(config: ForestConfig, blocks: list[int] = CHOSEN, cv: int = 0):
+    """Trees of a block cascade's layer: decided by seeds, not by rows."""
+    def plan(layer: int, features: int) -> list[Tree]:
+        assignment = P.assign_blocks(blocks, config.models_per_layer, config.sub_rf_num, layer, config.seed)
+        return plan_trees(assignment, set(range(config.rf_num, config.models_per_layer)), features, config, layer, folds_out=(-1, *range(cv)))
+    return plan
+
+
+def fold_plan(config: ForestConfig):
+    """Trees of a k-fold cascade's layer."""
+    def plan(layer: int, features: int) -> list[Tree]:
+        return plan_trees([[0]] * config.models_per_layer, set(range(config.rf_num, config.models_per_layer)), features, config, layer,
+                          folds_out=(-1, *range(config.num_folds)))
+    return plan
+
+
+def forest_plan(config: ForestConfig, is_random: bool, blocks: list[int], folds_out=(-1,)):
+    """Trees of one model with a forest per block."""
+    return lambda layer, features: plan_trees([blocks], {0} if is_random else set(), features, config, layer, folds_out=folds_out)
+
+
+IN_ONE_BLOCK = sql_hash(ROWS_SEED, "0", "inst")
+INST_SQL, FOLD_SQL = sql_hash(ROWS_SEED, "inst"), f"{sql_hash(ROWS_SEED, 'inst')} % 3"
+KEYS_SQL = "inst AS instance, label::DOUBLE AS label"
+CASCADE_SQL = layers_sql(blocked_rows_sql(ROWS_SEED), 4, SMALL, block_plan(SMALL), 2)
+FOREST_SQL = layers_sql(lines_sql(IN_ONE_BLOCK, where="is_train"), 4, SMALL, forest_plan(SMALL, False, [0]), 1)
+PAIR = SMALL.replace(rf_num=1, crf_num=1)
+TEN_CLASSES = SMALL.replace(num_classes=10, rf_num=1, crf_num=1, max_depth=3)
+
+
 def _probabilities(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("probability").alias("class", "value")).withColumn(
         "value", F.round("value", 6))
@@ -86,22 +142,25 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.report(M.confusion(out, vector="probability"), 2)
 
 
-@query("block_forest")
+@query("block_forest", f"""{layers_sql(blocked_rows_sql(ROWS_SEED), 4, SMALL, forest_plan(SMALL, True, CHOSEN), 1)}
+{probabilities(SMALL, 'mean_1', KEYS_SQL, where="split = 'test'")}""")
 def block_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One completely random model: the j-th forest grows on the j-th block."""
     train, test = blocked_lines(spark, sf_dir)
-    blocks = P.choose_blocks(BLOCKS, TAKEN, BLOCK_SEED)
-    model = fit_block_forest(train, SMALL, True, 4, blocks)
+    model = fit_block_forest(train, SMALL, True, 4, CHOSEN)
     return _probabilities(model.transform(test.drop("block")), "instance", "label")
 
 
-@query("feature_importance")
+@query("feature_importance", f"""{FOREST_SQL},
+per AS (SELECT tree, feature, sum(gain * (c0 + c1)) AS g FROM nodes_1 WHERE NOT is_leaf GROUP BY 1, 2),
+scaled AS (SELECT feature, sum(g / t) AS s FROM (SELECT *, sum(g) OVER (PARTITION BY tree) AS t FROM per) GROUP BY 1)
+SELECT cast(feature AS INTEGER) AS feature, round(s / sum(s) OVER (), 9) AS importance FROM scaled""")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = split_lines(spark, sf_dir)
-    return fit_forest(train, SMALL, False, 4).feature_importances()
+    return fit_forest(train, SMALL, False, 4).feature_importances().withColumn("importance", F.round("importance", 9))
 
 
-@query("in_sample_class_vectors")
+@query("in_sample_class_vectors", f"{FOREST_SQL} {probabilities(SMALL, 'mean_1', KEYS_SQL)}")
 def in_sample_class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest's vectors on its own training rows."""
     train, _ = split_lines(spark, sf_dir)
@@ -109,7 +168,8 @@ def in_sample_class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probabilities(model.transform(train), "instance", "label")
 
 
-@query("oof_class_vectors")
+@query("oof_class_vectors", f"""{layers_sql(lines_sql(INST_SQL, FOLD_SQL), 4, SMALL, forest_plan(SMALL, False, [0], (-1, 0, 1, 2)), 1)}
+{probabilities(SMALL, 'mean_1', 'inst AS instance, cast(fold AS INTEGER) AS fold, label::DOUBLE AS label')}""")
 def oof_class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, _ = out_of_fold_vectors(line_rows(spark, sf_dir), SMALL, False)
     return _probabilities(vectors, "instance", "fold", "label")
@@ -127,10 +187,12 @@ def oof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(proper).alias("n_proper"))
 
 
-@query("cascade_concat")
+@query("cascade_concat", f"""{layers_sql(lines_sql(INST_SQL, FOLD_SQL), 4, PAIR, fold_plan(PAIR), 2, concat=True)}
+{" UNION ALL ".join(f"""SELECT cast({i} AS INTEGER) AS layer, count(*) FILTER ((p1 > p0)::INT = label) AS n_right, count(*) AS n_total,
+  count(*) FILTER ((p1 > p0)::INT = label) / count(*) AS accuracy FROM models_{i} JOIN rows1 USING (rid)""" for i in (1, 2))}""")
 def cascade_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-fold cascade: accuracy of every layer."""
-    model = fit_cascade(line_rows(spark, sf_dir), SMALL.replace(rf_num=1, crf_num=1))
+    model = fit_cascade(line_rows(spark, sf_dir), PAIR)
     return spark.createDataFrame([(h["layer"], h["n_right"], h["n_total"], h["accuracy"]) for h in model.history],
                                  "layer int, n_right long, n_total long, accuracy double")
 
@@ -143,7 +205,7 @@ def cascade_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probabilities(model.transform(rows.filter("not is_train")), "instance", "label")
 
 
-@query("block_cascade")
+@query("block_cascade", f"""{CASCADE_SQL} {probabilities(SMALL, 'mean_2', KEYS_SQL, where="split = 'test'")}""")
 def block_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: train on the chosen blocks, class probabilities of all held-out rows."""
     train, test = blocked_lines(spark, sf_dir)
@@ -154,14 +216,14 @@ METRIC_SCHEMA = ("layer int, split string, n_right long, n_total long, accuracy
                  "recall double, f1 double, kappa double")
 
 
-@query("block_cascade_metrics")
+@query("block_cascade_metrics", f"{CASCADE_SQL} {metrics_sql(SMALL, 2)}")
 def block_cascade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f.strip().split(" ")[0] for f in METRIC_SCHEMA.split(",")]
     model = block_cascade_model(spark, sf_dir)
     return spark.createDataFrame([tuple(h[n] for n in names) for h in model.history], METRIC_SCHEMA)
 
 
-CHOSEN_SQL = ", ".join(map(str, P.choose_blocks(BLOCKS, TAKEN, BLOCK_SEED)))
+CHOSEN_SQL = ", ".join(map(str, CHOSEN))
 
 
 @query("block_cascade_coverage", f"""
@@ -181,13 +243,16 @@ def block_cascade_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "layer int, split string, n_total long, learned boolean")
 
 
-@query("block_cascade_predict")
+@query("block_cascade_predict", f"""{layers_sql(f"""
+SELECT row_number() OVER () AS rid, vec_id AS inst, {sql_hash(ROWS_SEED, 'b', 'vec_id')} AS row_hash, label, b AS block, -1 AS fold, 'train' AS split, x
+FROM (SELECT *, {sql_hash(BLOCK_SEED, 'vec_id')} % 4 AS b, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings)""",
+    64, TEN_CLASSES, block_plan(TEN_CLASSES, [0, 1, 2, 3]), 2)} {probabilities(TEN_CLASSES, 'mean_2', KEYS_SQL)}""")
 def block_cascade_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ten-class cascade on the embeddings: probabilities of every row (the labels are noise)."""
     rows = P.random_blocks(table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("instance"), F.col("label").cast("double").alias("label"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features")), 4, BLOCK_SEED, "instance")
-    model = fit_block_cascade(rows, None, SMALL.replace(num_classes=10, rf_num=1, crf_num=1, max_depth=3))
+    model = fit_block_cascade(rows, None, TEN_CLASSES)
     return _probabilities(model.transform(rows), "instance", "label")
 
 
