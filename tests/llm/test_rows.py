@@ -12,6 +12,7 @@ from layerwood.llm.chat import format_chat, read_chat, text_part
 from layerwood.llm.contamination import decontaminate, item_windows, keyed, postings, proximity_matches, rarest_terms, term_counts
 from layerwood.llm.langid import LanguageModel, fit_languages, identify, identify_languages
 from layerwood.llm.mixing import fair_queue_mix
+from layerwood.llm import neighbours
 from layerwood.llm.neighbours import nearest
 from layerwood.llm.toxicity import fit_toxicity, score_texts, toxicity_score
 from layerwood.llm.warc import mark_revisits, read_archives, write_archives
@@ -253,6 +254,12 @@ def test_pipeline(spark, tmp_path):
     rows += [(i, f"{words()} you idiot {words()}", "en", "a") for i in range(200, 230)]
     bench = " ".join(f"bench{i}" for i in range(20))
     rows.append((300, bench, "en", "b"))
+    passages = {n: " ".join("".join(rng.choice(list("abcdefghmnoprstu"), 6)) for _ in range(n)) for n in (20, 51, 63, 120)}
+    # each stands in two documents that share nothing else, at different places
+    for i, (n, passage) in enumerate(passages.items()):
+        for side in range(2):
+            around = " ".join(words() for _ in range(12))
+            rows.append((400 + 2 * i + side, f"{around} {passage} {words()}" if side else f"{words()} {passage} {around}", "en", "a"))
     docs = spark.createDataFrame([(*r, len(r[1] or ""), "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i >= 200)) for i in [*range(60), *range(200, 230)]], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -265,8 +272,44 @@ def test_pipeline(spark, tmp_path):
         kept.write.parquet(path)
         kept = spark.read.parquet(path)
         left.append(collections.Counter(r["doc_id"] for r in kept.collect()))
+        if name == "repeated_passages":
+            texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert not [i for i in left[0] if i is not None and 200 <= i < 230] and left[0][100] == 2
     assert left[1][100] == 1 and 101 not in left[1] and left[1][102] == left[1][None] == 1
     assert 300 in left[2] and 300 not in left[3] and all(left[3][i] == 1 for i in range(60))
+    before = {r[0]: r[1] for r in rows}
+    for i, (n, passage) in enumerate(passages.items()):
+        for key in (400 + 2 * i, 401 + 2 * i):
+            middle = passage[10:-10]
+            assert (middle in texts[key]) == (n == 20), n
+            assert len(texts[key]) >= len(before[key]) - len(passage) - 4
+    assert all(texts[i] == before[i] for i in range(60))
     mixed = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in mixed} <= set(left[3]) and all(r["copies"] >= 1 for r in mixed)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("scores", [4_000_000, 500])
+def test_neighbours_at_ties(spark, scores, monkeypatch):
+    # products of signs tie all the time; ids have to decide
+    monkeypatch.setattr(neighbours, "SCORES", scores)
+    rng = np.random.default_rng(8)
+    x = rng.choice([-1.0, 1.0], (700, 10))
+    ids = rng.permutation(700)
+    rows = nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0,
+                   search_leaves=10**6).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["id"], r["score"]))
+    assert sorted(got) == list(range(0, 700, 20))
+    for q, found in got.items():
+        score = x @ x[ids == q][0]
+        want = sorted((-s, int(i)) for s, i in zip(score, ids) if i != q)[:20]
+        assert found == [(i, -s) for s, i in want]

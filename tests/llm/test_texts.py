@@ -105,7 +105,7 @@ def test_jaccard_join(docs):
 
 def test_jaccard_join_in_many_blocks(docs, monkeypatch):
     whole = by_row(jaccard_join(docs).collect(), "doc_id", "class_id", "n_links")
-    for name, value in (("SMALL", 2), ("DEPTH", 2), ("BLOCK_SETS", 3), ("BLOCK_SHINGLES", 700)):
+    for name, value in (("SMALL", 2), ("DEPTH", 2), ("BLOCK_SETS", 3), ("BLOCK_SHINGLES", 700), ("STRIP", 2)):
         monkeypatch.setattr(jaccard, name, value)
     assert by_row(jaccard_join(docs).collect(), "doc_id", "class_id", "n_links") == whole
 
@@ -117,14 +117,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def repeats_of(texts):
+def repeats_of(texts, length=400):
     data = [(t or "").encode() for t in texts]
-    count = collections.Counter(d[i:i + 400] for d in data for i in range(len(d) - 399))
+    count = collections.Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
     for d in data:
         gone = [False] * len(d)
-        for i in range(len(d) - 399):
-            if count[d[i:i + 400]] > 1:
-                gone[i:i + 400] = [True] * 400
+        for i in range(len(d) - length + 1):
+            if count[d[i:i + length]] > 1:
+                gone[i:i + length] = [True] * length
         yield sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), bytes(c for c, g in zip(d, gone) if not g)
 
 
@@ -138,11 +138,22 @@ def test_remove_repeats(docs, most, monkeypatch):
     assert set(docs.columns) - {"kept"} <= set(got[0].asDict())
 
 
+@pytest.mark.parametrize("length", [64, 224])
+def test_remove_repeats_of_other_lengths(docs, length, monkeypatch):
+    # every core and context that repeats takes the way of frequent ones
+    monkeypatch.setattr(repeats, "SHARES", 10**9)
+    monkeypatch.setattr(repeats, "LEAST_HOT", 1)
+    rows = docs.select("doc_id", "text").collect()
+    want = collections.Counter((r.doc_id, n, bytes(k)) for r, (_, n, k) in zip(rows, repeats_of([r.text for r in rows], length)))
+    got = remove_repeats(docs, length=length).collect()
+    assert collections.Counter((r["doc_id"], len(r["spans"] or []), bytes(r["kept"])) for r in got) == want
+
+
 def test_remove_repeats_in_segments(docs, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 500)
     rows = docs.select("doc_id", "text").collect()
     want = collections.Counter((r.doc_id, bytes(k)) for r, (_, n, k) in zip(rows, repeats_of([r.text for r in rows])))
-    assert collections.Counter((r["doc_id"], bytes(r["kept"])) for r in remove_repeats(docs, send_spans=0).collect()) == want
+    assert collections.Counter((r["doc_id"], bytes(r["kept"])) for r in remove_repeats(docs, send_bytes=0).collect()) == want
 
 
 def slow_model(texts):
