@@ -15,7 +15,7 @@ from ..config import ForestConfig
 from ..functions.hashing import MIX_RANGE
 from ..operators import sampling as P
 from ..operators import splits as S
-from ..plans.grower import Tree
+from ..plans.grower import Tree, feature_kinds
 from .registry import sql_hash, sql_mix
 
 INVALID = "-1.7976931348623157e308::DOUBLE"
@@ -50,8 +50,14 @@ def gain(config: ForestConfig) -> str:
             f"AND {value} >= {config.min_info_gain!r} THEN {value} ELSE {INVALID} END")
 
 
-def threshold_tables(tag: str, rows: str, width: int, raw: int, config: ForestConfig, used: list[int]) -> list[str]:
-    """Edges, thresholds and bins of the training rows of the used blocks; features added to the ``raw`` ones are sampled on their own."""
+def threshold_tables(tag: str, rows: str, width: int, raw: int, config: ForestConfig, used: list[int], kinds: list[int], arity: dict[int, int]) -> list[str]:
+    """Edges, thresholds and bins of the training rows of the used blocks; features added to the ``raw`` ones are sampled on their own.
+
+    Categories have no edges; their bin is their code, and the number of cuts follows from their arity.
+    """
+    cuts = [arity[f] - 1 if kinds[f] == S.ORDERED else (1 << (arity[f] - 1)) - 1 for f in sorted(arity)]
+    is_category = f"feature IN ({', '.join(map(str, sorted(arity))) or '-1'})"
+    known = "CASE feature " + " ".join(f"WHEN {f} THEN {n}" for f, n in zip(sorted(arity), cuts)) + " ELSE count(threshold) END" if arity else "count(threshold)"
     return [
         f"cells{tag} AS MATERIALIZED (SELECT rid, block, unnest(range({width})) AS feature, unnest(x) AS v FROM {rows} "
         f"WHERE split = 'train' AND block IN ({', '.join(map(str, used))}))",
@@ -59,17 +65,51 @@ def threshold_tables(tag: str, rows: str, width: int, raw: int, config: ForestCo
         f"{sql_hash(config.seed, 'block', f'CASE WHEN feature < {raw} THEN feature ELSE feature - {raw} END', 'v')} AS h FROM (SELECT DISTINCT block, feature, v FROM cells{tag}))",
         f"edges{tag} AS MATERIALIZED (SELECT block, feature, v, (v + above) / 2 AS threshold, "
         f"row_number() OVER (PARTITION BY block, feature ORDER BY v) - 1 AS i FROM "
-        f"(SELECT *, row_number() OVER (PARTITION BY block, feature ORDER BY h, v) AS r FROM vals{tag} WHERE above IS NOT NULL) WHERE r < {config.max_bins})",
-        f"cuts{tag} AS MATERIALIZED (SELECT block, feature, count(threshold) AS n FROM (SELECT DISTINCT block, feature FROM vals{tag}) "
+        f"(SELECT *, row_number() OVER (PARTITION BY block, feature ORDER BY h, v) AS r FROM vals{tag} WHERE above IS NOT NULL AND NOT {is_category}) WHERE r < {config.max_bins})",
+        f"cuts{tag} AS MATERIALIZED (SELECT block, feature, {known} AS n FROM (SELECT DISTINCT block, feature FROM vals{tag}) "
         f"LEFT JOIN edges{tag} USING (block, feature) GROUP BY 1, 2)",
-        f"codes{tag} AS MATERIALIZED (SELECT block, feature, v, coalesce(sum((e.i IS NOT NULL)::INT) OVER "
-        f"(PARTITION BY block, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS bin "
+        f"codes{tag} AS MATERIALIZED (SELECT block, feature, v, CASE WHEN {is_category} THEN v::INT ELSE coalesce(sum((e.i IS NOT NULL)::INT) OVER "
+        f"(PARTITION BY block, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT END AS bin "
         f"FROM vals{tag} LEFT JOIN edges{tag} e USING (block, feature, v))",
         f"binned{tag} AS MATERIALIZED (SELECT rid, list(bin ORDER BY feature) AS b FROM cells{tag} JOIN codes{tag} USING (block, feature, v) GROUP BY rid)"]
 
 
-def tree_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) -> list[str]:
-    """All nodes of the trees: nodes{tag} has tree, node, is_leaf, feature, threshold, gain, c0...."""
+def kind_is(kinds: list[int], kind: int) -> str:
+    return f"feature IN ({', '.join(str(f) for f, k in enumerate(kinds) if k == kind) or '-2'})"
+
+
+def candidate_tables(own: str, config: ForestConfig, kinds: list[int]) -> list[str]:
+    """u{own}: every cut that may be taken, with its left and total counts and the categories that go left (null for numbers)."""
+    ks = range(config.num_classes)
+    over = "OVER (PARTITION BY tree, node, feature, cut"
+    sides = ", ".join(f"sum(c{k}) {over} ORDER BY bin) AS l{k}, sum(c{k}) {over}) AS t{k}" for k in ks)
+    columns = "tree, node, feature, cut, lefts, " + ", ".join(f"l{k}, t{k}" for k in ks)
+    numbers = kind_is(kinds, S.CONTINUOUS)[:-1] + ", -1)"
+    out, every = [], [f"SELECT {columns} FROM (SELECT tree, node, feature, CASE WHEN cut >= 0 THEN cut ELSE bin END AS cut, NULL::INT[] AS lefts, {sides}, "
+                      f"cut < 0 OR bin = 0 AS real FROM x{own} WHERE {numbers}) WHERE real"]
+    if S.ORDERED in kinds:
+        centre = gini([f"c{k}" for k in ks]) if config.num_classes > 2 else "c1"
+        ranked = ", ".join(f"sum(c{k}) {over} ORDER BY rank) AS l{k}, sum(c{k}) {over}) AS t{k}" for k in ks)
+        out.append(f"r{own} AS MATERIALIZED (SELECT *, row_number() {over} ORDER BY {centre}, bin) - 1 AS rank FROM x{own} WHERE {kind_is(kinds, S.ORDERED)})")
+        every.append(f"SELECT {columns} FROM (SELECT tree, node, feature, rank AS cut, list(bin) {over} ORDER BY rank) AS lefts, {ranked}, "
+                     f"cut < 0 OR rank = cut AS real FROM (SELECT * REPLACE (cut::BIGINT AS cut) FROM r{own})) WHERE real")
+    if S.UNORDERED in kinds:
+        inside = "(number >> bin) & 1 = 1"
+        counts = ", ".join(f"sum(CASE WHEN {inside} THEN c{k} ELSE 0 END)::DOUBLE AS l{k}, sum(c{k})::DOUBLE AS t{k}" for k in ks)
+        out.append(f"y{own} AS MATERIALIZED (SELECT *, unnest(CASE WHEN cut >= 0 THEN [cut::BIGINT + 1] ELSE range(1, greatest((1 << top) - 1, 1)::BIGINT + 1) END) AS number "
+                   f"FROM (SELECT *, max(bin) {over}) AS top FROM x{own} WHERE {kind_is(kinds, S.UNORDERED)}))")
+        # a subset may hold categories that do not occur in the node
+        lefts = "list_filter(range(62), lambda b: (number >> b) & 1 = 1)::INT[]"
+        every.append(f"SELECT {columns} FROM (SELECT tree, node, feature, number - 1 AS cut, {lefts} AS lefts, {counts} FROM y{own} GROUP BY tree, node, feature, number)")
+    return [*out, f"u{own} AS MATERIALIZED ({' UNION ALL '.join(every)})"]
+
+
+def goes_left(value: str, split: str, bound: str) -> str:
+    return f"(CASE WHEN {split}.lefts IS NULL THEN {value} <= {bound} ELSE list_contains({split}.lefts, {value}::INT) END)"
+
+
+def tree_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree], kinds: list[int]) -> list[str]:
+    """All nodes of the trees: nodes{tag} has tree, node, is_leaf, feature, threshold, lefts, gain, c0...."""
     ks = range(config.num_classes)
     listed = ", ".join(f"({t.tree}, {t.model}, {t.forest}, {t.block}, {t.fold_out}, {t.is_random}, {t.bootstrap}, {t.tree_hash}, {t.subset})" for t in trees)
     drawn = " + ".join(f"(m >= {int(b * MIX_RANGE)})::INT" for b in P.poisson_cdf(config.subsampling_rate))
@@ -79,8 +119,7 @@ def tree_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) ->
         f"p{tag}_0 AS MATERIALIZED (SELECT * FROM (SELECT rid, tree, 1::BIGINT AS node, label, b, CASE WHEN bootstrap THEN {drawn} ELSE 1 END AS w FROM "
         f"(SELECT r.rid, r.label, b.b, t.tree, t.bootstrap, {sql_mix('r.row_hash', 't.tree_hash')} AS m FROM {rows} r JOIN binned{tag} b USING (rid) "
         f"JOIN trees{tag} t ON t.block = r.block AND (t.fold_out < 0 OR t.fold_out <> r.fold))) WHERE w > 0)"]
-    over = "OVER (PARTITION BY tree, node, feature, cut"
-    sides = ", ".join(f"sum(c{k}) {over} ORDER BY bin) AS l{k}, sum(c{k}) {over}) AS t{k}" for k in ks)
+    numbers = kind_is(kinds, S.CONTINUOUS).replace("feature", "c.feature")
     for d in range(config.max_depth):
         own, last = f"{tag}_{d}", d + 1 == config.max_depth
         open_ = f"SELECT tree, node FROM k{tag}_{d - 1} WHERE NOT closed" if d else f"SELECT DISTINCT tree, node FROM p{own}"
@@ -94,25 +133,25 @@ def tree_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) ->
             f"c{own} AS MATERIALIZED (SELECT tree, node, feature, CASE WHEN is_random THEN {sql_mix('h', str(S.CUT_SALT))} % n ELSE -1 END AS cut "
             f"FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY h, feature) AS r FROM h{own}) WHERE r <= subset AND n > 0)",
             f"x{own} AS MATERIALIZED (SELECT tree, node, feature, cut, bin, {sums} FROM (SELECT p.tree, p.node, c.feature, c.cut, p.label, p.w, "
-            f"CASE WHEN c.cut >= 0 THEN (p.b[c.feature + 1] > c.cut)::INT ELSE p.b[c.feature + 1] END AS bin "
+            f"CASE WHEN c.cut >= 0 AND {numbers} THEN (p.b[c.feature + 1] > c.cut)::INT ELSE p.b[c.feature + 1] END AS bin "
             f"FROM p{own} p JOIN c{own} c ON p.tree = c.tree AND p.node = c.node) GROUP BY tree, node, feature, cut, bin{totals})",
-            f"u{own} AS MATERIALIZED (SELECT tree, node, feature, CASE WHEN cut >= 0 THEN cut ELSE bin END AS cut, {sides}, cut < 0 OR bin = 0 AS real FROM x{own})",
+            *candidate_tables(own, config, kinds),
             f"s{own} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, feature, cut) AS r "
-            f"FROM (SELECT *, {gain(config)} AS gain FROM u{own} WHERE real)) WHERE r = 1)",
+            f"FROM (SELECT *, {gain(config)} AS gain FROM u{own})) WHERE r = 1)",
             f"k{own} AS MATERIALIZED (SELECT *, {'true' if last else pure} AS closed FROM (SELECT tree, node * 2 + side AS node, {kids} "
             f"FROM s{own}, (SELECT unnest(range(2)) AS side) WHERE gain >= {config.min_info_gain!r}))"]
         if not last:
             out += [
-                f"m{own} AS MATERIALIZED (SELECT p.rid, p.tree, p.node * 2 + (p.b[s.feature + 1] > s.cut)::INT AS node, p.label, p.b, p.w "
+                f"m{own} AS MATERIALIZED (SELECT p.rid, p.tree, p.node * 2 + (NOT {goes_left('p.b[s.feature + 1]', 's', 's.cut')})::INT AS node, p.label, p.b, p.w "
                 f"FROM p{own} p JOIN s{own} s ON p.tree = s.tree AND p.node = s.node WHERE s.gain >= {config.min_info_gain!r})",
                 f"p{tag}_{d + 1} AS MATERIALIZED (SELECT m.* FROM m{own} m JOIN k{own} k ON m.tree = k.tree AND m.node = k.node AND NOT k.closed)"]
     depths = range(config.max_depth)
     roots = f"SELECT tree, node, {', '.join(f't{k} AS c{k}' for k in ks)} FROM s{tag}_0"
     every = " UNION ALL ".join([roots, *(f"SELECT tree, node, {counts} FROM k{tag}_{d}" for d in depths)])
-    cut = " UNION ALL ".join(f"SELECT tree, node, feature, cut, gain FROM s{tag}_{d} WHERE gain >= {config.min_info_gain!r}" for d in depths)
+    cut = " UNION ALL ".join(f"SELECT tree, node, feature, cut, lefts, gain FROM s{tag}_{d} WHERE gain >= {config.min_info_gain!r}" for d in depths)
     out.append(
         f"nodes{tag} AS MATERIALIZED (SELECT a.tree, a.node, s.tree IS NULL AS is_leaf, coalesce(s.feature, 0) AS feature, "
-        f"coalesce(e.threshold, 0) AS threshold, coalesce(s.gain, 0) AS gain, {', '.join(f'a.c{k}' for k in ks)} FROM ({every}) a "
+        f"coalesce(e.threshold, 0) AS threshold, s.lefts, coalesce(s.gain, 0) AS gain, {', '.join(f'a.c{k}' for k in ks)} FROM ({every}) a "
         f"JOIN trees{tag} t ON t.tree = a.tree LEFT JOIN ({cut}) s ON s.tree = a.tree AND s.node = a.node "
         f"LEFT JOIN edges{tag} e ON e.block = t.block AND e.feature = s.feature AND e.i = s.cut)")
     return out
@@ -124,7 +163,7 @@ def vote_tables(tag: str, rows: str, config: ForestConfig, trees: list[Tree]) ->
     n = " + ".join(f"c{k}" for k in ks)
     out = [f"w{tag}_0 AS MATERIALIZED (SELECT r.rid, r.x, t.tree, 1::BIGINT AS node FROM {rows} r JOIN trees{tag} t ON t.fold_out = r.fold)"]
     for d in range(config.max_depth):
-        out.append(f"w{tag}_{d + 1} AS MATERIALIZED (SELECT w.rid, w.x, w.tree, CASE WHEN n.is_leaf THEN w.node WHEN w.x[n.feature + 1] <= n.threshold THEN 2 * w.node "
+        out.append(f"w{tag}_{d + 1} AS MATERIALIZED (SELECT w.rid, w.x, w.tree, CASE WHEN n.is_leaf THEN w.node WHEN {goes_left('w.x[n.feature + 1]', 'n', 'n.threshold')} THEN 2 * w.node "
                    f"ELSE 2 * w.node + 1 END AS node FROM w{tag}_{d} w JOIN nodes{tag} n ON w.tree = n.tree AND w.node = n.node)")
     shares = ", ".join(f"{added(f'c{k} / ({n})', 'w.tree')} AS v{k}" for k in ks)
     votes, whole = total([f"v{k}" for k in ks]), total([f"q{k}" for k in ks])
@@ -142,8 +181,10 @@ def mean_table(tag: str, config: ForestConfig, models: int) -> str:
     return f"mean{tag} AS MATERIALIZED (SELECT rid, {each} FROM models{tag} GROUP BY rid)"
 
 
-def layers_sql(rows_sql: str, width: int, config: ForestConfig, plan: Callable[[int, int], list[Tree]], layers: int, concat: bool = False) -> str:
+def layers_sql(rows_sql: str, width: int, config: ForestConfig, plan: Callable[[int, int], list[Tree]], layers: int, concat: bool = False,
+               arity: dict[int, int] | None = None) -> str:
     """WITH list of ``layers`` layers; ``plan(layer, features)`` gives a layer's trees."""
+    arity = arity or {}
     ks, parts, rows = range(config.num_classes), [f"rows1 AS MATERIALIZED ({rows_sql})"], "rows1"
     for layer in range(1, layers + 1):
         tag, features = f"_{layer}", width
@@ -151,8 +192,9 @@ def layers_sql(rows_sql: str, width: int, config: ForestConfig, plan: Callable[[
             features += config.num_classes * (config.models_per_layer if concat else 1)
         trees = plan(layer, features)
         models = max(t.model for t in trees) + 1
-        parts += threshold_tables(tag, rows, features, width, config, sorted({t.block for t in trees}))
-        parts += tree_tables(tag, rows, config, trees)
+        kinds = feature_kinds(features, arity, config)
+        parts += threshold_tables(tag, rows, features, width, config, sorted({t.block for t in trees}), kinds, arity)
+        parts += tree_tables(tag, rows, config, trees, kinds)
         parts += vote_tables(tag, rows, config, trees)
         parts.append(mean_table(tag, config, models))
         if layer < layers:

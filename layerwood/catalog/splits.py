@@ -320,7 +320,7 @@ SELECT cast(node AS BIGINT) AS node, cast(rank AS INTEGER) AS cut,
 FROM ranked WINDOW w AS (PARTITION BY node ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def ordered_category_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = S.candidate_splits(priority_cells(spark, sf_dir, 2), 2, (S.ORDERED,))
-    return cuts.select("node", "cut", "mask", "l0", "l1")
+    return cuts.select("node", "cut", F.get("mask", F.lit(0)).alias("mask"), "l0", "l1")
 
 
 @query("unordered_category_cuts", f"""
@@ -331,7 +331,7 @@ def unordered_category_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A category counts in every subset that holds it."""
     cells = priority_cells(spark, sf_dir, 3).withColumn("kind", F.lit(S.UNORDERED))
     cuts = S.candidate_splits(cells, 3, (S.UNORDERED,))
-    return cuts.select("node", "mask", *[f"{s}{k}" for k in range(3) for s in ("l", "t")])
+    return cuts.select("node", F.get("mask", F.lit(0)).alias("mask"), *[f"{s}{k}" for k in range(3) for s in ("l", "t")])
 
 
 @query("category_subsets", """

@@ -50,7 +50,7 @@ class ForestConfig:
                      "num_folds", "early_stopping_rounds"):
             need(getattr(self, name) > 0, f"{name} must be positive")
         need(0 < self.max_depth <= 30, "max_depth must be in 1..30")
-        need(2 <= self.max_bins <= 256, "max_bins must be in 2..256")
+        need(2 <= self.max_bins <= 65_536, "max_bins must be in 2..65536")
         need(self.min_info_gain >= 0, "min_info_gain must not be negative")
         need(0 < self.subsampling_rate <= 1, "subsampling_rate must be in (0, 1]")
         need(self.feature_subset in FEATURE_SUBSETS, f"unknown feature_subset {self.feature_subset}")

@@ -20,6 +20,8 @@ from ..functions.hashing import key_hash, mix
 from ..functions.impurity import IMPURITY, INVALID_GAIN, LARGEST, split_gain, total
 
 CONTINUOUS, ORDERED, UNORDERED = 0, 1, 2
+#: Categories in a word of a left side.
+WORD = 62
 CUT_SALT = 104729
 ALL_CUTS = -1
 TOTALS = -1
@@ -168,33 +170,41 @@ def centroid_order(histogram: DataFrame, num_classes: int, impurity: str = "gini
                              + " ORDER BY centroid, bin) - 1 AS int) AS rank")
 
 
+def words_for(categories: int) -> int:
+    """Words that a left side of so many categories takes; one where there are none."""
+    return max(1, -(-categories // WORD))
+
+
 def candidate_splits(histogram: DataFrame, num_classes: int, kinds=(CONTINUOUS,),
-                     impurity: str = "gini") -> DataFrame:
+                     impurity: str = "gini", words: int = 1) -> DataFrame:
     """(tree, node, feature, kind, cut, mask, l*, t*): every cut that may be taken.
 
-    ``mask`` has the left categories as bits; it is 0 for continuous features.
+    ``mask`` has the left categories as bits of ``words`` words, ``WORD`` in each; it
+    is 0 for continuous features.
     """
+    more = "0L, " * (words - 1)
+    nothing = f"array({more}0L) AS mask"
     sides = [c for k in range(num_classes) for c in (f"l{k}", f"t{k}")]
     head = [*NODE, "feature", "kind"]
     out = []
     if CONTINUOUS in kinds:
         part = prefix_sums(histogram.where(f"kind = {CONTINUOUS}"), num_classes)
         out.append(part.where("cut < 0 OR bin = 0").selectExpr(
-            *head, "if(cut >= 0, cut, bin) AS cut", "0L AS mask", *sides))
+            *head, "if(cut >= 0, cut, bin) AS cut", nothing, *sides))
     if ORDERED in kinds:
         ranked = centroid_order(histogram.where(f"kind = {ORDERED}"), num_classes, impurity)
         part = prefix_sums(ranked, num_classes, "rank").selectExpr(
-            "*", f"sum(shiftleft(1L, bin)) {_over('rank')} AS mask")
+            "*", "array(" + ", ".join(f"sum(if(bin div {WORD} = {w}, shiftleft(1L, bin % {WORD}), 0L)) {_over('rank')}" for w in range(words)) + ") AS mask")
         out.append(part.where("cut < 0 OR rank = cut").selectExpr(*head, "rank AS cut", "mask", *sides))
     if UNORDERED in kinds:
         cells = histogram.where(f"kind = {UNORDERED}").selectExpr("*", f"max(bin) {_over()} AS _top")
         cells = cells.selectExpr("*", "explode(if(cut >= 0, array(cut + 1L), "
-                                      "sequence(1L, greatest(shiftleft(1L, _top) - 1L, 1L)))) AS mask")
-        inside = "(shiftright(mask, bin) & 1L) = 1"
-        part = cells.groupBy(*head, "mask").agg(
+                                      "sequence(1L, greatest(shiftleft(1L, _top) - 1L, 1L)))) AS number")
+        inside = "(shiftright(number, bin) & 1L) = 1"
+        part = cells.groupBy(*head, "number").agg(
             *[F.expr(f"sum(if({inside}, c{k}, 0D)) AS l{k}") for k in range(num_classes)],
             *[F.expr(f"sum(c{k}) AS t{k}") for k in range(num_classes)])
-        out.append(part.selectExpr(*head, "cast(mask - 1 AS int) AS cut", "mask", *sides))
+        out.append(part.selectExpr(*head, "cast(number - 1 AS int) AS cut", f"array(number{', 0L' * (words - 1)}) AS mask", *sides))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
@@ -238,7 +248,8 @@ def children(expanded: DataFrame) -> DataFrame:
 
 
 def goes_left(bin_: Column, kind: Column, cut: Column, mask: Column) -> Column:
-    in_mask = F.call_function("shiftright", mask, bin_).bitwiseAND(F.lit(1).cast("long")) == 1
+    word = F.get(mask, F.floor(bin_ / WORD).cast("int"))
+    in_mask = F.call_function("shiftright", word, bin_ % WORD).bitwiseAND(F.lit(1).cast("long")) == 1
     return F.when(kind == CONTINUOUS, bin_ <= cut).otherwise(in_mask)
 
 

@@ -31,7 +31,7 @@ from ..session import materialize, require_columns
 from . import tasks
 
 STATE_BYTES = 256 << 20
-NODE_SCHEMA = ("tree int, node long, is_leaf boolean, feature int, kind int, cut int, mask long, "
+NODE_SCHEMA = ("tree int, node long, is_leaf boolean, feature int, kind int, cut int, mask array<long>, "
                "threshold double, gain double, counts array<double>")
 
 
@@ -102,6 +102,12 @@ class Binning:
                 out.append((1 << (self.arity[f] - 1)) - 1)
         return np.array(out, np.int64)
 
+    @property
+    def bin_type(self) -> str:
+        """One byte per bin while all bins and categories fit it, else two."""
+        most = max([len(e) for features in self.edges.values() for e in features if e is not None] + [a - 1 for a in self.arity.values()], default=0)
+        return "u1" if most < 256 else "<u2"
+
     def extend(self, other: Binning) -> Binning:
         """Append the features of another binning of the same blocks."""
         shift = len(self.kinds)
@@ -119,8 +125,8 @@ def feature_kinds(num_features: int, arity: dict[int, int], config: ForestConfig
         if f not in arity:
             kinds.append(S.CONTINUOUS)
             continue
-        if arity[f] > min(config.max_bins, 62):
-            raise ValueError(f"feature {f} has {arity[f]} categories, more than max_bins or 62")
+        if arity[f] > config.max_bins:
+            raise ValueError(f"feature {f} has {arity[f]} categories, more than max_bins")
         kinds.append(S.UNORDERED if config.num_classes > 2 and arity[f] <= limit else S.ORDERED)
     return kinds
 
@@ -176,15 +182,15 @@ def with_row_hash(df: DataFrame, seed: int, *keys: str) -> DataFrame:
 
 
 def bin_points(df: DataFrame, binning: Binning) -> DataFrame:
-    """One narrow row (block, fold, row_hash, label, bins) per training row.
+    """One narrow row (block, fold, row_hash, label, bins) per training row; a bin takes one byte or two.
 
     Rows are ordered by block inside each partition (no shuffle), so that a
     batch holds one block and a tree is walked with long arrays.
     """
     require_columns(df, "block", "fold", "row_hash", "label", "features")
-    shared = df.sparkSession.sparkContext.broadcast(binning.edges)
+    shared, bin_type = df.sparkSession.sparkContext.broadcast(binning.edges), binning.bin_type
     return (df.select("block", "fold", "row_hash", F.col("label").cast("int").alias("label"), "features")
-            .mapInArrow(lambda it: tasks.binned_batches(it, shared.value),
+            .mapInArrow(lambda it: tasks.binned_batches(it, shared.value, bin_type),
                         "block long, fold int, row_hash long, label int, bins binary")
             .sortWithinPartitions("block"))
 
@@ -194,12 +200,12 @@ def bin_points(df: DataFrame, binning: Binning) -> DataFrame:
 class NodeArrays:
     """The nodes found so far, as columns; children of a node are neighbours."""
 
-    def __init__(self, trees: list[Tree], num_classes: int):
+    def __init__(self, trees: list[Tree], num_classes: int, words: int = 1):
         n = len(trees)
         self.columns = {
             "tree": np.array([t.tree for t in trees], np.int32), "node": np.ones(n, np.int64),
             "child": np.full(n, -1, np.int64), "feature": np.zeros(n, np.int32),
-            "kind": np.zeros(n, np.int32), "cut": np.zeros(n, np.int32), "mask": np.zeros(n, np.int64),
+            "kind": np.zeros(n, np.int32), "cut": np.zeros(n, np.int32), "mask": np.zeros((n, words), np.int64),
             "gain": np.zeros(n), "counts": np.zeros((n, num_classes))}
         self.open = np.arange(n)
 
@@ -213,7 +219,7 @@ class NodeArrays:
     def state_bytes(self, trees: list[Tree]) -> int:
         """Size of what a level sends to the tasks: nodes, and candidates of the open ones."""
         width = max(t.subset for t in trees) + 1
-        return 48 * len(self) + (16 + 12 * width) * len(self.open)
+        return (40 + 8 * self.columns["mask"].shape[1]) * len(self) + (16 + 12 * width) * len(self.open)
 
     def part(self, members: list[int]) -> NodeArrays:
         """The nodes of some trees."""
@@ -251,7 +257,7 @@ class NodeArrays:
             self.open = np.array([], np.int64)
             return
         left, right = found["left"][split], found["counts"][split] - found["left"][split]
-        added = {name: np.zeros(2 * n, column.dtype) for name, column in c.items() if column.ndim == 1}
+        added = {name: np.zeros((2 * n, *column.shape[1:]), column.dtype) for name, column in c.items()}
         added["tree"] = np.repeat(c["tree"][at], 2)
         added["node"] = np.stack([2 * c["node"][at], 2 * c["node"][at] + 1], 1).ravel()
         added["child"] = np.full(2 * n, -1, np.int64)
@@ -284,9 +290,7 @@ class NodeArrays:
         table = pa.table({
             "tree": c["tree"][rows], "node": c["node"][rows], "is_leaf": c["child"][rows] < 0,
             "feature": c["feature"][rows], "kind": c["kind"][rows], "cut": c["cut"][rows],
-            "mask": c["mask"][rows], "threshold": thresholds, "gain": c["gain"][rows],
-            "counts": pa.ListArray.from_arrays(
-                np.arange(len(rows) + 1, dtype=np.int32) * counts.shape[1], counts.ravel())})
+            "mask": listed(c["mask"][rows]), "threshold": thresholds, "gain": c["gain"][rows], "counts": listed(counts)})
         return spark.createDataFrame(table, NODE_SCHEMA)
 
 
@@ -335,13 +339,17 @@ def level_state(nodes: NodeArrays, trees: list[Tree], binning: Binning, config:
     feature, kind, cut = candidate_arrays(trees, binning, c["tree"][front], c["node"][front], level == 0)
     slot = np.full(len(nodes), -1, np.int64)
     slot[front] = np.arange(len(front))
-    return {"trees": task_trees(trees, nodes.roots()), "num_classes": config.num_classes, "num_bins": config.max_bins + 1,
+    return {"trees": task_trees(trees, nodes.roots()), "bin_type": binning.bin_type, "num_classes": config.num_classes, "num_bins": config.max_bins + 1,
             "slot_tree": c["tree"][front], "slot_node": c["node"][front],
             "cand_feature": feature, "cand_kind": kind, "cand_cut": cut,
             "nodes": {**{k: c[k] for k in ("child", "feature", "kind", "cut", "mask")}, "slot": slot,
                       "has_categories": bool(binning.arity)}}
 
 
+def listed(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
+
+
 def list_column(table: pa.Table, name: str) -> np.ndarray:
     """A list column of equal lengths as a 2-d array; without rows its width is 0."""
     column = table.column(name).combine_chunks()
@@ -350,12 +358,12 @@ def list_column(table: pa.Table, name: str) -> np.ndarray:
 
 def read_level(table: pa.Table) -> dict:
     out = {n: table.column(n).to_numpy() for n in (
-        "tree", "node", "feature", "kind", "cut", "mask", "gain", "is_leaf", "left_leaf", "right_leaf")}
-    return {**out, "left": list_column(table, "left"), "counts": list_column(table, "counts")}
+        "tree", "node", "feature", "kind", "cut", "gain", "is_leaf", "left_leaf", "right_leaf")}
+    return {**out, **{n: list_column(table, n) for n in ("left", "counts", "mask")}}
 
 
-def choose_level(histogram: DataFrame, config: ForestConfig, kinds, level: int) -> DataFrame:
-    candidates = S.candidate_splits(histogram, config.num_classes, sorted(set(kinds)), config.impurity)
+def choose_level(histogram: DataFrame, config: ForestConfig, kinds, level: int, words: int = 1) -> DataFrame:
+    candidates = S.candidate_splits(histogram, config.num_classes, sorted(set(kinds)), config.impurity, words)
     best = S.best_split(candidates, config.num_classes, config.impurity, config.min_instances,
                         config.min_info_gain)
     return S.expand_nodes(best, level, config.max_depth, config.num_classes, config.impurity,
@@ -368,7 +376,8 @@ def grow(points: DataFrame, trees: list[Tree], binning: Binning, config: ForestC
     spark = points.sparkSession
     fields = "tree int, node long, feature int, kind int, cut int, bin int, " + ", ".join(
         f"{c} double" for c in S.count_columns(config.num_classes))
-    todo, done = [(NodeArrays(trees, config.num_classes), 0)], []
+    words = S.words_for(max(binning.arity.values(), default=0))
+    todo, done = [(NodeArrays(trees, config.num_classes, words), 0)], []
     while todo:
         nodes, level = todo.pop()
         while level < config.max_depth and len(nodes.open):
@@ -383,7 +392,7 @@ def grow(points: DataFrame, trees: list[Tree], binning: Binning, config: ForestC
             # the merge, the prefix sums and the feature's best cut, so even a root is merged by
             # as many tasks as it has candidates; then one row per feature goes to its node
             merged = S.merge_histogram(partial.repartition("tree", "node", "feature"), config.num_classes)
-            nodes.apply(read_level(choose_level(merged, config, binning.kinds, level).toArrow()), config.num_classes)
+            nodes.apply(read_level(choose_level(merged, config, binning.kinds, level, words).toArrow()), config.num_classes)
             shared.unpersist()
             level += 1
         else:

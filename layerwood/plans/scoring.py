@@ -24,6 +24,7 @@ class Layer:
     nodes: DataFrame
     num_classes: int
     _sizes: dict[int, int] | None = dataclasses.field(default=None, repr=False, compare=False)
+    _words: int = dataclasses.field(default=1, repr=False, compare=False)
     _shared: Broadcast | None = dataclasses.field(default=None, repr=False, compare=False)
 
     @property
@@ -33,7 +34,8 @@ class Layer:
     def sizes(self) -> dict[int, int]:
         """Nodes by tree, counted once; one row per tree reaches the driver."""
         if self._sizes is None:
-            self._sizes = {r["tree"]: r["count"] for r in self.nodes.groupBy("tree").count().collect()}
+            rows = self.nodes.groupBy("tree").agg(F.count("*").alias("n"), F.max(F.size("mask")).alias("words")).collect()
+            self._sizes, self._words = {r["tree"]: r["n"] for r in rows}, max((r["words"] for r in rows), default=1)
         return self._sizes
 
     def size(self) -> int:
@@ -52,7 +54,7 @@ class Layer:
     def groups(self, state_bytes: int) -> list[list[Tree]]:
         """Trees in runs whose node arrays stay below the bound; one tree at least."""
         sizes = self.sizes()
-        per_node, out, held = 48 + 8 * self.num_classes, [[]], 0
+        per_node, out, held = 48 + 8 * self.num_classes + 8 * self._words, [[]], 0
         for t in self.trees:
             size = per_node * sizes.get(t.tree, 0)
             if out[-1] and held + size > state_bytes:
@@ -70,7 +72,8 @@ def layer_state(layer: Layer, trees: list[Tree]) -> dict:
     tree, node = table.column("tree").to_numpy(), table.column("node").to_numpy()
     key = tree.astype(np.int64) << 32 | node
     order = np.argsort(key)
-    column = {n: table.column(n).to_numpy()[order] for n in ("is_leaf", "feature", "kind", "mask", "threshold")}
+    column = {n: table.column(n).to_numpy()[order] for n in ("is_leaf", "feature", "kind", "threshold")}
+    column["mask"] = list_column(table, "mask")[order]
     tree, node, key = tree[order], node[order], key[order]
     # children are found by key and stored side by side, so one index serves both
     child = np.full(len(key), -1, np.int64)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 from ..functions.hashing import MIX_RANGE, mix_array
+from ..operators.splits import WORD
 
 FLUSH_CODES = 4_000_000
 
@@ -29,19 +30,20 @@ def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), width)
 
 
-def byte_matrix(column: pa.Array) -> np.ndarray:
-    """A binary column of equal lengths as a 2-d array of bytes."""
+def bin_matrix(column: pa.Array, bin_type: str) -> np.ndarray:
+    """A binary column of equal lengths as a 2-d array of bins."""
     _, offsets, data = column.buffers()
     places = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[places[0]:places[-1]].reshape(len(column), -1)
+    flat = np.frombuffer(data, np.uint8)[places[0]:places[-1]]
+    return np.frombuffer(flat.tobytes() if bin_type != "u1" else flat, bin_type).reshape(len(column), -1)
 
 
-def bin_rows(values: np.ndarray, edges: list) -> np.ndarray:
+def bin_rows(values: np.ndarray, edges: list, bin_type: str = "u1") -> np.ndarray:
     """Bin of each value: the number of edges below it; None keeps a category code."""
-    out = np.empty(values.shape, np.uint8)
+    out = np.empty(values.shape, bin_type)
     for f, edge in enumerate(edges):
         column = values[:, f]
-        out[:, f] = column.astype(np.uint8) if edge is None else np.searchsorted(edge, column, "left")
+        out[:, f] = column.astype(bin_type) if edge is None else np.searchsorted(edge, column, "left")
     return out
 
 
@@ -83,7 +85,8 @@ def descend(values: np.ndarray, root: int, nodes: dict, limit: str) -> np.ndarra
         right = ~(x <= bound.take(here))  # a NaN goes right, as it does in the bins
         if has_categories:
             category = kind.take(here) != 0
-            inside = (mask.take(here) >> np.where(category, x, 0).astype(np.int64)) & 1
+            code = np.where(category, x, 0).astype(np.int64)
+            inside = (mask[here, code // WORD] >> code % WORD) & 1
             right = np.where(category, inside == 0, right)
         here = below + right
     return at
@@ -95,7 +98,7 @@ def active_points(batch: pa.RecordBatch, state: dict):
     fold = np.asarray(batch.column("fold"))
     row_hash = np.asarray(batch.column("row_hash"))
     labels = np.asarray(batch.column("label"))
-    bins = byte_matrix(batch.column("bins"))
+    bins = bin_matrix(batch.column("bins"), state["bin_type"])
     nodes = state["nodes"]
     for block, rows in by_block(blocks):
         block_bins = bins if len(rows) == len(bins) else bins[rows]
@@ -172,16 +175,16 @@ def histogram_batches(batches, state: dict):
         yield emit()
 
 
-def binned_batches(batches, edges: dict):
+def binned_batches(batches, edges: dict, bin_type: str = "u1"):
     """(block, fold, row_hash, label, bins) from (…, features) with per-block edges."""
     for batch in batches:
         values = matrix(batch.column("features"))
         blocks = np.asarray(batch.column("block"))
-        out = np.zeros(values.shape, np.uint8)
+        out = np.zeros(values.shape, bin_type)
         for block, rows in by_block(blocks):
             if block in edges:
-                out[rows] = bin_rows(values[rows], edges[block])
-        width = out.shape[1]
+                out[rows] = bin_rows(values[rows], edges[block], bin_type)
+        width = out.shape[1] * out.itemsize
         packed = pa.Array.from_buffers(pa.binary(width), len(out), [None, pa.py_buffer(out.tobytes())])
         yield pa.RecordBatch.from_arrays(
             [batch.column("block"), batch.column("fold"), batch.column("row_hash"),
