@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators.sampling import choose_blocks, random_blocks
+from ..operators.sampling import assign_blocks, assignment_frame, choose_blocks, random_blocks
 from ..session import new_path
 from ..sources.delimited import has_right_fields, keep_data_lines, parse_delimited, parse_layer_lines, with_row_ids
 from ..sources.specs import DATASETS, FeatureSpec, encoded_width, numbers, read_feature_specs
-from ..sources.tables import layer_lines, read_blocks, write_blocks
+from ..sources import tables
+from ..sources.tables import layer_lines, read_blocks, write_blocks, write_table
 from .registry import LINE_KEYS, long_form, query, sql_hash, table
 
 KEYS_SQL = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
@@ -159,6 +160,33 @@ def read_selected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path, READ_CHOSEN)
 
 
+ASSIGNED = [(m, slot, b) for m, drawn in enumerate(assign_blocks(list(range(READ_BLOCKS)), 3, 2, 1, READ_SEED)) for slot, b in enumerate(drawn)]
+
+
+@query("read_assigned_blocks", f"""
+SELECT o_orderkey AS instance, o_totalprice, a.block::BIGINT AS block, cast(1 AS INTEGER) AS layer, a.model::INTEGER AS model, a.slot::INTEGER AS slot
+FROM orders JOIN (VALUES {", ".join(map(str, ASSIGNED))}) a(model, slot, block) ON {sql_hash(READ_SEED, 'o_orderkey')} % {READ_BLOCKS} = a.block""")
+def read_assigned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks that three models draw in the first of two layers, by a join with the written draw."""
+    path, draw = new_path(spark, "blocks"), new_path(spark, "draw")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance"), "o_totalprice")
+    write_blocks(random_blocks(rows, READ_BLOCKS, READ_SEED, "instance"), path)
+    blocks = spark.read.parquet(path).select(F.col("block").cast("long")).distinct()
+    write_table(assignment_frame(blocks, 3, 2, 2, READ_SEED), draw)
+    return tables.read_assigned_blocks(spark, path, spark.read.parquet(draw), 1)
+
+
+@query("blocks_written_once", f"""
+SELECT o_orderkey AS instance, o_totalprice, {sql_hash(READ_SEED, 'o_orderkey')} % 6 AS block FROM orders""")
+def blocks_written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second write in mode ``ignore`` leaves blocks that are there as they are."""
+    path = new_path(spark, "blocks")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance"), "o_totalprice")
+    write_blocks(random_blocks(rows, 6, READ_SEED, "instance"), path)
+    write_blocks(random_blocks(rows.withColumn("o_totalprice", F.lit(0.0)), 6, READ_SEED, "instance"), path, mode="ignore")
+    return read_blocks(spark, path, range(6))
+
+
 @query("block_round_trip", f"""
 SELECT {sql_hash(READ_SEED, 'event_id')} % 12 AS block, count(*) AS n_rows,
        cast(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1""")

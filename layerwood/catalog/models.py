@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import ForestConfig
 from ..operators import metrics as M
@@ -11,7 +12,7 @@ from ..operators import sampling as P
 from ..plans.cascade import CascadeModel, fit_block_cascade, fit_cascade, out_of_fold_vectors
 from ..plans.forest import fit_block_forest, fit_forest, library_forest_vectors
 from ..plans.grower import Tree, plan_trees
-from ..plans.job import run_job
+from ..plans.job import prepare_blocks, run_job
 from ..plans.persist import load_cascade, load_forest, save_cascade, save_forest
 from ..session import new_path
 from ..sources.delimited import load_delimited
@@ -340,6 +341,21 @@ def delimited_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(5)], F.lit(fine).alias("id_is_own"))
 
 
+@query("full_tables", """
+SELECT cast(l_linenumber - 1 AS DOUBLE) AS label, l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3,
+       cast(l_suppkey AS DOUBLE) AS f4, 1::BIGINT AS n_sides FROM lineitem""")
+def full_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full training and test tables as the job writes them, read back: every row is in one of them."""
+    path = new_path(spark, "full")
+    prepare_blocks(spark, "watch_acc", *written_lines(spark, sf_dir), JOB_BLOCKS, 0.7, 7, f"{path}/blocks", f"{path}/tables")
+    both = None
+    for side in ("train", "test"):
+        rows = spark.read.parquet(f"{path}/tables/{side}")
+        both = rows if both is None else both.unionByName(rows)
+    sides = Window.partitionBy("instance")
+    return both.select("label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(5)], F.count("*").over(sides).alias("n_sides"))
+
+
 @query("document_cascade_metrics")
 def document_cascade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_cascade_report(spark, sf_dir)

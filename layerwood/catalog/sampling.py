@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sampling_rates as R
 from ..functions.hashing import HASH_RANGE, MIX_RANGE, key_hash, key_hash_value
 from ..operators import sampling as P
+from ..session import materialize
 from .registry import query, sql_hash, sql_mix, table
 
 
@@ -28,6 +29,16 @@ def random_sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.random_blocks(_orders(spark, sf_dir), 24, 5, "instance")
 
 
+@query("balanced_blocks", """
+SELECT cast(b AS BIGINT) AS block, total // 24 + (b < total % 24)::INT AS n_rows, total AS n_instances
+FROM (SELECT count(*) AS total, count(DISTINCT o_orderkey) AS ids FROM orders), (SELECT unnest(range(24)) AS b)""")
+def balanced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of blocks dealt evenly; every instance is in one of them."""
+    rows = materialize(P.balanced_blocks(_orders(spark, sf_dir), 24, 5, "instance"), "balanced")
+    ids = rows.select("instance").distinct().agg(F.count("*").alias("n_instances"))
+    return rows.groupBy("block").agg(F.count("*").alias("n_rows")).join(F.broadcast(ids))
+
+
 @query("kfold", f"""
 WITH folds AS (SELECT {sql_hash(9, 'o_orderkey')} % 3 AS fold, o_totalprice FROM orders)
 SELECT cast(k.k AS INTEGER) AS fold, fold <> k.k AS is_train, count(*) AS n_rows, round(min(o_totalprice), 6) AS low,

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import HASH_RANGE, MIX_RANGE, key_hash, key_hash_value, mix
+from ..session import materialize
 
+#: Largest weight that a bootstrap draw can give; at rate 1 a larger one has a probability below 1e-14.
 POISSON_TERMS = 16
 
 
@@ -23,6 +25,25 @@ def random_blocks(df: DataFrame, blocks: int, seed: int, *keys: str) -> DataFram
     return df.withColumn("block", key_hash(seed, *keys) % F.lit(blocks))
 
 
+def balanced_blocks(df: DataFrame, blocks: int, seed: int, *keys: str) -> DataFrame:
+    """Add ``block`` so that the sizes of blocks differ by one row at most.
+
+    Each partition is put in hash order and dealt round the blocks, beginning where
+    the partition before it stopped; so every block is a random sample of every
+    partition.  Nothing is shuffled: only the row counts of partitions are added
+    up.  The dealt rows are written first, so that a lost task cannot deal anew.
+    """
+    order = df.withColumn("_h", key_hash(seed, *keys)).sortWithinPartitions("_h", *keys)
+    # the id holds the partition in its upper bits and the place in it in the lower ones
+    placed = materialize(order.drop("_h").withColumn("_m", F.monotonically_increasing_id()), "dealt")
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = placed.withColumns({"_p": F.shiftright("_m", 33), "_m": place})
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    return placed.join(F.broadcast(starts), "_p").withColumn("block", (F.col("_s") + F.col("_m")) % F.lit(blocks)).drop("_p", "_m", "_s")
+
+
 def k_folds(df: DataFrame, folds: int, seed: int, *keys: str) -> DataFrame:
     return df.withColumn("fold", (key_hash(seed, *keys) % F.lit(folds)).cast("int"))
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import key_hash, mix
 from ..functions.impurity import IMPURITY, INVALID_GAIN, LARGEST, split_gain, total
+from ..session import materialize
 
 CONTINUOUS, ORDERED, UNORDERED = 0, 1, 2
 #: Categories in a word of a left side.
@@ -43,29 +44,70 @@ def feature_value_counts(df: DataFrame, by=("block",)) -> DataFrame:
     return explode_features(df, *by).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def successors(values: DataFrame, by, buckets: int = 32) -> DataFrame:
+def value_ranges(values: DataFrame, by, ranges: int | None = None) -> DataFrame:
+    """Distinct values in ranges of about equal row counts, in order within and across ranges.
+
+    Spark cuts by samples of the rows themselves, so a group with many values has
+    many ranges and small groups share one, whatever their distribution.
+    """
+    keys = [*by, "value"]
+    ranged = values.repartitionByRange(ranges, *keys) if ranges else values.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
+
+
+def _with_next(batches):
+    """Next value of the same group within a range; its first row and the row without a known next are ends."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def emit(rows: pa.Table, closed: bool, first: bool):
+        """All rows but the last if more follow."""
+        n = rows.num_rows - (0 if closed else 1)
+        here, below = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+        same = pa.array([True] * here.num_rows, pa.bool_())
+        for name in rows.column_names[:-1]:
+            same = pc.and_(same, pc.equal(here.column(name), below.column(name)).combine_chunks())
+        following = pc.if_else(same, below.column("value").combine_chunks(), pa.scalar(None, below.schema.field("value").type))
+        if closed:
+            following = pa.concat_arrays([following, pa.nulls(1, following.type)])
+        flags = [False] * n
+        begins, ends = list(flags), list(flags)
+        if first and n:
+            begins[0] = True
+        if closed:
+            ends[-1] = True
+        out = rows.slice(0, n).append_column("next_value", following).append_column("begins", pa.array(begins, pa.bool_())).append_column("ends", pa.array(ends, pa.bool_()))
+        return out.combine_chunks().to_batches()
+
+    held, first = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if rows.num_rows > 1:
+            yield from emit(rows, False, first)
+            first = False
+        held = rows.slice(rows.num_rows - 1)
+    if held is not None:
+        yield from emit(held, True, first)
+
+
+def successors(values: DataFrame, by, buckets: int | None = None) -> DataFrame:
     """Next larger distinct value of the same group, without one task per group.
 
-    Approximate quantiles cut each group's range into buckets; inside a bucket
-    the successor is ``lead``, at its end the smallest value of the next bucket.
-    ``values`` holds distinct values.  Only the bounds and bucket minima are
-    broadcast: at most ``buckets`` numbers for each group, and the groups are
-    the (block, feature) pairs, whose number is fixed by the configuration.
+    ``values`` holds distinct values.  They are sorted in ranges of equal row
+    counts; inside a range the next row is the successor, and a range's last row
+    gets the first row of the range behind it.  Only two rows per range take part in
+    that second step.
     """
     by = list(by)
-    points = [i / buckets for i in range(1, buckets)]
-    bounds = values.groupBy(*by).agg(F.percentile_approx("value", points, 1000).alias("_bounds"))
-    placed = (values.join(F.broadcast(bounds), by)
-              .withColumn("_b", F.size(F.filter(F.array_distinct("_bounds"), lambda b: F.col("value") > b)))
-              .drop("_bounds"))
-    lowest = placed.groupBy(*by, "_b").agg(F.min("value").alias("_low"))
-    following = lowest.select(*by, "_b", F.lead("_low").over(
-        Window.partitionBy(*by).orderBy("_b")).alias("_next"))
-    inside = Window.partitionBy(*by, "_b").orderBy("value")
-    return (placed.withColumn("_lead", F.lead("value").over(inside))
-            .join(F.broadcast(following), [*by, "_b"])
-            .withColumn("next_value", F.coalesce("_lead", "_next"))
-            .drop("_b", "_lead", "_next"))
+    types = dict(values.dtypes)
+    ordered = value_ranges(values.select(*by, "value"), by, buckets)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, "value"]) + f", next_value {types['value']}, begins boolean, ends boolean"
+    found = materialize(ordered.mapInArrow(_with_next, schema), "successors")
+    edges = found.filter("begins OR ends").withColumn("_next", F.lead("value").over(Window.partitionBy(*by).orderBy("value")))
+    last = edges.filter("ends").select(*by, "value", F.col("_next").alias("next_value"))
+    return found.filter("NOT ends").select(*by, "value", "next_value").unionByName(last)
 
 
 def candidate_thresholds(values: DataFrame, by=("block", "feature")) -> DataFrame:

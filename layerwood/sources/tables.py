@@ -27,6 +27,19 @@ def read_blocks(spark: SparkSession, path: str, blocks: Iterable[int]) -> DataFr
               .withColumn("block", F.col("block").cast("long")))
 
 
+def read_assigned_blocks(spark: SparkSession, path: str, assignment: DataFrame, layer: int) -> DataFrame:
+    """Rows of the blocks that the models of a layer draw, one copy per model: adds layer, model and slot.
+
+    ``assignment`` is a written table (layer, model, slot, block).  It is joined,
+    so Spark learns at run time which block folders to open; its rows of one layer
+    are models x blocks per model, which the configuration fixes.
+    """
+    drawn = F.broadcast(assignment.filter(F.col("layer") == layer).select("layer", "model", "slot", F.col("block").alias("_drawn")))
+    rows = spark.read.parquet(path)
+    return (rows.join(drawn, F.col("block") == F.col("_drawn")).drop("_drawn")
+                .withColumn("block", F.col("block").cast("long")))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 

@@ -12,8 +12,9 @@ from layerwood.operators import sampling as P
 from layerwood.operators import splits as S
 from layerwood.plans.cascade import fit_block_cascade, fit_cascade
 from layerwood.plans.forest import fit_forest
-from layerwood.plans.grower import choose_level
+from layerwood.plans.grower import choose_level, sample_edges
 from layerwood.session import shared_dir
+from layerwood.sources.tables import read_assigned_blocks, write_blocks
 
 
 def plan(df):
@@ -40,6 +41,60 @@ def test_one_shuffle_per_level(spark):
     assert shuffles(choose_level(merged, ForestConfig(), [S.CONTINUOUS], 0)) == 1
 
 
+def test_best_cuts_in_two_steps(spark):
+    fields = "tree int, node long, feature int, kind int, cut int, bin int, c0 double, c1 double"
+    partial = spark.range(100).selectExpr("int(id) tree", "id node", "0 feature", "0 kind", "-1 cut", "int(id) bin",
+                                          "1D c0", "0D c1").mapInArrow(lambda it: it, fields)
+    merged = S.merge_histogram(partial.repartition("tree", "node", "feature"), 2)
+    text = plan(choose_level(merged, ForestConfig(), [S.CONTINUOUS], 0))
+    # sums and prefix sums are dealt by feature; only best cuts are dealt by node
+    node = text.index("hashpartitioning(tree#", 0)
+    assert text.count("Exchange hashpartitioning") == 2 and "max_by" in text[node:] and "feature#" in text[text.rindex("hashpartitioning("):].split("\n")[0]
+
+
+def test_scoring_is_evaluated_once(spark, sf_dir):
+    rows = line_rows(spark, sf_dir)
+    model = fit_block_cascade(rows, None, ForestConfig(num_classes=3, rf_num=1, crf_num=1, sub_rf_num=1, trees=2, max_depth=2, max_layers=2))
+    long = model.transform(rows).select("instance", F.posexplode("probability")).filter("col > 0.1")
+    assert plan(long).count("ArrowEvalPython") == 2
+
+
+def test_sampled_thresholds_take_one_scan(spark, sf_dir):
+    seen = []
+    rows = line_rows(spark, sf_dir)
+    real = type(rows).mapInArrow
+    try:
+        type(rows).mapInArrow = lambda self, *a, **k: seen.append(1) or real(self, *a, **k)
+        sample_edges(rows, 31, 1)
+    finally:
+        type(rows).mapInArrow = real
+    assert len(seen) == 1
+
+
+def test_value_ranges_are_even(spark):
+    # nine tenths of the values lie in a thousandth of the range
+    df = spark.range(100_000).select(F.lit(0).alias("g"), F.when(F.col("id") % 10 > 0, F.col("id") / 1e5).otherwise(F.col("id") * 1.0).alias("value"))
+    sizes = [r["count"] for r in S.value_ranges(df.distinct(), ["g"], 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 2 * 100_000 / 16
+
+
+def test_blocks_dealt_evenly(spark):
+    rows = P.balanced_blocks(spark.range(1_003).repartition(7), 10, 5, "id")
+    assert "Exchange hashpartitioning" not in plan(rows)
+    out = rows.collect()
+    sizes = [sum(r["block"] == b for r in out) for b in range(10)]
+    assert sorted(r["id"] for r in out) == list(range(1_003)) and sorted(sizes) == [100] * 7 + [101] * 3
+    assert P.balanced_blocks(spark.range(0), 4, 1, "id").count() == 0
+
+
+def test_assigned_blocks_prune_folders_at_run_time(spark, tmp_path):
+    write_blocks(P.random_blocks(spark.range(1_000), 8, 1, "id"), f"{tmp_path}/blocks")
+    spark.createDataFrame([(1, 0, 0, 3), (2, 0, 0, 5)], "layer int, model int, slot int, block long").write.parquet(f"{tmp_path}/draw")
+    rows = read_assigned_blocks(spark, f"{tmp_path}/blocks", spark.read.parquet(f"{tmp_path}/draw"), 1)
+    assert "dynamicpruning" in plan(rows)
+    assert {r["block"] for r in rows.select("block").distinct().collect()} == {3}
+
+
 def test_histogram_is_summed_before_the_shuffle(spark, sf_dir):
     points = tree_points(spark, sf_dir)
     frontier = points.select("tree", "node").distinct().withColumn("candidates", F.expr(
