@@ -8,12 +8,13 @@ link per group).
 
 How often a pair of ids is linked in the corpus is counted in four steps:
 
-1. Tasks align whole texts and send each distinct pair once, with its count.
+1. Tasks encode and align whole texts.  They write the ids of each text (two bytes
+   each where the vocabularies allow it) and each distinct pair once, with its count.
 2. The distinct pairs get a minimal perfect hash (``perfect_hash``).
 3. What tasks sent becomes dense count vectors indexed by the hash, cut into
    slices, which are added up a tree, ``FAN`` at a time.
-4. A second pass aligns every text again and looks its links up; keys are
-   verified, an unknown pair is an error.
+4. A second pass aligns every text again, from its ids, and looks its links up;
+   keys are verified, an unknown pair is an error.
 
 Linked tokens end with the same bytes, so the shorter is a suffix of the longer:
 ``pair_bound`` counts such pairs of the two vocabularies (under a million for
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, materialize
+from ..session import materialize
 from .perfect_hash import PerfectHash, perfect_hash
 
 FAN = 16
@@ -150,21 +151,23 @@ def encode_a(raw: bytes, text: str, enc: Encoders) -> np.ndarray:
     return np.array(enc.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
 
 
+def side_by_side(a: np.ndarray, b: np.ndarray, enc: Encoders) -> Aligned:
+    at_a, at_b = np.cumsum(enc.a_sizes[a]), np.cumsum(enc.b_sizes[b])
+    ends = np.zeros((at_a[-1] if len(at_a) else 0) + 1, np.uint8)
+    ends[at_a] = 1
+    ends[at_b] += 1
+    return Aligned(a, b, ends[at_a] == 2, ends[at_b] == 2)
+
+
 def align(text: bytes, a: np.ndarray, b: list[int], enc: Encoders) -> Aligned:
     """Side by side, unless the tokens do not join to the blank and the text.
 
     A cuts bytes and changes none, so the lengths of its tokens tell whether they are all there.
     """
     whole = b" " + text
-    at_a = np.cumsum(enc.a_sizes[a])
-    if not len(at_a) or at_a[-1] != len(whole) or b"".join([enc.b_bytes[i] for i in b]) != whole:
+    if not len(a) or enc.a_sizes[a].sum() != len(whole) or b"".join([enc.b_bytes[i] for i in b]) != whole:
         return NOTHING
-    y = np.array(b, np.int64)
-    at_b = np.cumsum(enc.b_sizes[y])
-    ends = np.zeros(len(whole) + 1, np.uint8)
-    ends[at_a] = 1
-    ends[at_b] += 1
-    return Aligned(a, y, ends[at_a] == 2, ends[at_b] == 2)
+    return side_by_side(a, np.array(b, np.int64), enc)
 
 
 def aligned(texts: list[bytes | None], enc: Encoders) -> Iterator[Aligned]:
@@ -214,28 +217,49 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
-def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """First pass: per task its distinct pairs, each with the number of links that hold it."""
+def id_type(enc: Encoders) -> str:
+    return "<u2" if max(len(enc.a_bytes), len(enc.b_bytes)) <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, a_path: str, b_path: str, text: str, keep: list[T.StructField]) -> DataFrame:
+    """First pass: per text its ids (``_a``, ``_b``), and behind them per task its distinct pairs with the number of links that hold each."""
+    names = [*(f.name for f in keep), "_a", "_b", "_pair", "_count"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoders(a_path, b_path)
-        keys, counts, raw, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        form = id_type(enc)
+        keys, counts, raw, size, types = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, None
 
         def merged():
             return summed(np.concatenate([keys, *raw]), np.concatenate([counts, np.ones(size, np.int64)]))
 
         for batch in batches:
-            for x in aligned(batch.column(0).to_pylist(), enc):
-                raw.append(x.pairs)
-                size += len(raw[-1])
-                if 8 * size > HELD:
-                    keys, counts = merged()
-                    raw, size = [], 0
+            types = [c.type for c in batch.columns[:-1]]
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            # few rows at a time where texts are long
+            cuts = np.flatnonzero(np.diff(ends // (4 * BATCH))) + 1
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part, a, b = batch.slice(low, high - low), [], []
+                for x in aligned(part.column(part.num_columns - 1).to_pylist(), enc):
+                    raw.append(x.pairs)
+                    size += len(raw[-1])
+                    a.append(x.a.astype(form).tobytes())
+                    b.append(x.b.astype(form).tobytes())
+                    if 8 * size > HELD:
+                        keys, counts = merged()
+                        raw, size = [], 0
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         keys, counts = merged()
         for low in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[low:low + (1 << 16)]), pa.array(counts[low:low + (1 << 16)])], ["pair", "count"])
+            some = keys[low:low + (1 << 16)]
+            none = [pa.nulls(len(some), t) for t in [*types, pa.binary(), pa.binary()]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some), pa.array(counts[low:low + (1 << 16)])], names)
 
-    return texts.mapInArrow(counted, "pair long, count long")
+    free = [T.StructField(f.name, f.dataType) for f in keep]
+    more = [T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType()), T.StructField("_pair", T.LongType()), T.StructField("_count", T.LongType())]
+    given = docs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text).cast("binary").alias("_raw"))
+    return materialize(given.mapInArrow(counted, T.StructType([*free, *more])), "encoded")
 
 
 def count_vector(sent: DataFrame, found: PerfectHash) -> np.ndarray:
@@ -281,36 +305,38 @@ class PairTable:
     best: np.ndarray
 
 
-def learn_pairs(texts: DataFrame, a_path: str, b_path: str) -> PairTable:
-    """Steps 1 to 3 over a table of one binary column."""
-    enc = encoders(a_path, b_path)
-    sent = materialize(pair_counts(texts, a_path, b_path), "pairs")
+def learn_pairs(sent: DataFrame, enc: Encoders) -> PairTable:
+    """Steps 2 and 3 from what the tasks sent (pair, count)."""
     bound = pair_bound(enc)
     keys = sent.select("pair").distinct().limit(bound + 1).toArrow().column(0).to_numpy()
     if len(keys) > bound:
         raise ValueError(f"more than {bound} distinct pairs: the tokens linked do not end with the same bytes")
     found = perfect_hash(keys)
     counts = count_vector(sent, found) if len(found) else np.zeros(0, np.int64)
-    discard(sent)
     best = np.zeros(len(enc.b_bytes), np.int64)
     np.maximum.at(best, (found.keys & np.uint64(0xFFFFFFFF)).astype(np.int64), counts)
     return PairTable(found, counts, best)
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Columns of docs, numbers of tokens, groups and links, ``n_best``, ``count_sum``, and ``groups`` as text.
 
     ``n_best``: links whose pair is the most frequent one of its B id; ``count_sum``: the pairs' counts added over links.
     """
-    raw = docs.select(F.col(text).cast("binary").alias("text"))
-    table = docs.sparkSession.sparkContext.broadcast(learn_pairs(raw, a_path, b_path))
+    keep = [f for f in docs.schema.fields if f.name not in RESULTS and (keep_text or f.name != text)]
+    held = encoded(docs, a_path, b_path, text, keep)
+    sent = held.filter("_pair IS NOT NULL").select(F.col("_pair").alias("pair"), F.col("_count").alias("count"))
+    table = docs.sparkSession.sparkContext.broadcast(learn_pairs(sent, encoders(a_path, b_path)))
+    names = [f.name for f in keep] + list(RESULTS)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pairs = encoders(a_path, b_path), table.value
+        form = id_type(enc)
 
         def rows(part: pa.RecordBatch) -> pa.RecordBatch:
             n_a, n_b, n_links, keys, groups = [], [], [], [NOTHING.pairs], []
-            for x in aligned(part.column(part.num_columns - 1).to_pylist(), enc):
+            for a, b in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                x = side_by_side(*(np.frombuffer(ids, form).astype(np.int64) for ids in (a, b)), enc) if a else NOTHING
                 n_a.append(len(x.a))
                 n_b.append(len(x.b))
                 keys.append(x.pairs)
@@ -325,17 +351,14 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text
             ends = np.concatenate([[0], np.cumsum(np.array(n_links, np.int64))])
             best, total = (np.concatenate([[0], np.cumsum(v)])[ends] for v in (counts == pairs.best[key & 0xFFFFFFFF], counts))
             numbers = [n_a, n_b, n_links, n_links, np.diff(best), np.diff(total)]
-            return pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v, pa.int64()) for v in numbers), pa.array(groups, pa.string())], names)
+            return pa.RecordBatch.from_arrays([*part.columns[:-2], *(pa.array(v, pa.int64()) for v in numbers), pa.array(groups, pa.string())], names)
 
         for batch in batches:
-            # few rows at a time where texts are long
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64))
             cuts = np.flatnonzero(np.diff(ends // (4 * BATCH))) + 1
             for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
                 yield rows(batch.slice(low, high - low))
 
-    kept = [f for f in docs.schema.fields if f.name not in RESULTS]
-    names = [f.name for f in kept] + list(RESULTS)
-    schema = T.StructType([*kept, *(T.StructField(n, T.StringType() if t == "string" else T.LongType()) for n, t in RESULTS.items())])
-    given = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("binary").alias("_raw"))
-    return given.mapInArrow(looked_up, schema)
+    results = [T.StructField(n, T.StringType() if t == "string" else T.LongType()) for n, t in RESULTS.items()]
+    ids = held.filter("_pair IS NULL").select(*(F.col(f"`{f.name}`") for f in keep), "_a", "_b")
+    return ids.mapInArrow(looked_up, T.StructType([*(T.StructField(f.name, f.dataType) for f in keep), *results]))

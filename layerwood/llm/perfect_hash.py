@@ -1,6 +1,7 @@
 """Minimal perfect hashing of 64-bit keys by levels of collision-free bits.
 
-On every level the keys that are left are hashed into twice as many bits; keys
+On every level the keys that are left are hashed into ``BITS`` times as many bits (so
+nine tenths of all keys are found on the first); keys
 alone on their bit stay there, the others go to the next level.  A key's number
 is how many bits stand before its own, counted over all levels.  The keys are
 kept beside the hash, in the order of their numbers, so that a key that was not
@@ -18,6 +19,8 @@ import numpy as np
 
 from .text import mixed
 
+#: Bits per key of a level.
+BITS = 8
 SEEDS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -64,7 +67,7 @@ def perfect_hash(keys: np.ndarray) -> PerfectHash:
     while len(left):
         if len(words) == len(SEEDS):
             raise ValueError("keys collide on every level")
-        size = 64 * max(1, (2 * len(left) + 63) // 64)
+        size = 64 * max(1, (BITS * len(left) + 63) // 64)
         at = places(left, len(words), size)
         alone = np.bincount(at, minlength=size) == 1
         level = np.packbits(alone, bitorder="little").view(np.uint64)
