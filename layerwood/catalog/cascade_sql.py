@@ -182,10 +182,10 @@ def mean_table(tag: str, config: ForestConfig, models: int) -> str:
 
 
 def layers_sql(rows_sql: str, width: int, config: ForestConfig, plan: Callable[[int, int], list[Tree]], layers: int, concat: bool = False,
-               arity: dict[int, int] | None = None) -> str:
-    """WITH list of ``layers`` layers; ``plan(layer, features)`` gives a layer's trees."""
+               arity: dict[int, int] | None = None, before: str = "") -> str:
+    """WITH list of ``layers`` layers; ``plan(layer, features)`` gives a layer's trees, ``before`` what the rows are made from."""
     arity = arity or {}
-    ks, parts, rows = range(config.num_classes), [f"rows1 AS MATERIALIZED ({rows_sql})"], "rows1"
+    ks, parts, rows = range(config.num_classes), [*([before] if before else []), f"rows1 AS MATERIALIZED ({rows_sql})"], "rows1"
     for layer in range(1, layers + 1):
         tag, features = f"_{layer}", width
         if layer > 1:

@@ -23,11 +23,9 @@ SPLIT_SEED, BLOCK_SEED, BLOCKS, TAKEN = 7, 5, 12, 6
 ROWS_SEED = 51
 
 
-def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with six statistics of their whole text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    text = F.col("text")
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six statistics of the whole text of every document; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
     words = F.split(F.lower(text), r"\s+")
     n_words = F.size(words).cast("double")
@@ -36,9 +34,22 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / n,
         F.size(F.array_distinct(words)) / n_words,
         F.length(F.regexp_replace(text, "[^0-9]", "")) / n)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("instance"), features.alias("features"))
+
+
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     # six numbers go into the join, not the text
-    return docs.select("doc_id", features.alias("features")).join(labels, "doc_id").select(
-        F.col("doc_id").alias("instance"), "label", "features")
+    return document_features(spark, sf_dir).join(labels, F.col("instance") == F.col("doc_id")).select("instance", "label", "features")
+
+
+DOCUMENTS_SQL = r"""
+texts AS MATERIALIZED (SELECT doc_id AS inst, t, string_split_regex(lower(t), '\s+') AS words, greatest(length(t), 1) AS n
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+described AS MATERIALIZED (SELECT inst, [length(t)::DOUBLE, len(words)::DOUBLE, len(string_split(t, chr(10)))::DOUBLE,
+  length(regexp_replace(t, '[^\p{L}]', '', 'g')) / n, len(list_distinct(words)) / len(words), length(regexp_replace(t, '[^0-9]', '', 'g')) / n] AS x FROM texts)
+"""
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,12 +209,17 @@ def cascade_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "layer int, n_right long, n_total long, accuracy double")
 
 
-@query("cascade_predict")
+@query("cascade_predict", f"""{layers_sql(f"""
+SELECT row_number() OVER () AS rid, inst, {INST_SQL} AS row_hash, label, 0 AS block, fold, split, x FROM (
+  SELECT inst, quality AS label, {FOLD_SQL} AS fold, 'train' AS split, x FROM described JOIN labels ON doc_id = inst
+  WHERE {sql_hash(SPLIT_SEED, 'inst')} < {int(0.7 * (1 << 32))}
+  UNION ALL SELECT inst, NULL, -1, 'test', x FROM described)""", 6, PAIR, fold_plan(PAIR), 2, concat=True, before=DOCUMENTS_SQL)}
+{probabilities(PAIR, 'mean_2', 'inst AS instance', where="split = 'test'")}""")
 def cascade_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-fold cascade on the documents, class probabilities of the held-out ones."""
+    """k-fold cascade on the labelled training documents, class probabilities of all documents."""
     rows = P.train_test_split(document_rows(spark, sf_dir), 0.7, SPLIT_SEED, "instance")
-    model = fit_cascade(rows.filter("is_train").drop("is_train"), SMALL.replace(rf_num=1, crf_num=1))
-    return _probabilities(model.transform(rows.filter("not is_train")), "instance", "label")
+    model = fit_cascade(rows.filter("is_train").drop("is_train"), PAIR)
+    return _probabilities(model.transform(document_features(spark, sf_dir)), "instance")
 
 
 @query("block_cascade", f"""{CASCADE_SQL} {probabilities(SMALL, 'mean_2', KEYS_SQL, where="split = 'test'")}""")
@@ -356,6 +372,10 @@ def full_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(5)], F.count("*").over(sides).alias("n_sides"))
 
 
-@query("document_cascade_metrics")
+@query("document_cascade_metrics", f"""{layers_sql(f"""
+SELECT row_number() OVER () AS rid, inst, {sql_hash(ROWS_SEED, 'b', 'inst')} AS row_hash, label, b AS block, -1 AS fold, split, x FROM (
+  SELECT inst, quality AS label, CASE WHEN is_train THEN {sql_hash(BLOCK_SEED, 'inst')} % 4 ELSE 0 END AS b, CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, x
+  FROM (SELECT *, {sql_hash(SPLIT_SEED, 'inst')} < {int(0.7 * (1 << 32))} AS is_train FROM described JOIN labels ON doc_id = inst))""",
+    6, SMALL, block_plan(SMALL, [0, 1, 2, 3]), 2, before=DOCUMENTS_SQL)} {metrics_sql(SMALL, 2)}""")
 def document_cascade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_cascade_report(spark, sf_dir)

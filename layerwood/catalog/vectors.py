@@ -9,17 +9,17 @@ from ..functions import arrays as A
 from ..operators import metrics as M
 from ..operators import vectors as V
 from ..operators.sampling import random_blocks
-from .registry import VECTOR_WIDTH, VECTORS_SQL, class_vectors, long_form, query, sql_hash, table
+from .registry import FORESTS, VECTOR_WIDTH, VECTORS_SQL, class_vectors, long_form, query, sql_hash, table
 
 
 @query("forest_class_vectors", f"""
 WITH {VECTORS_SQL}
 SELECT instance, cast(0 AS BIGINT) AS block, cast(forest AS INTEGER) AS forest, cast(class AS INTEGER) AS pos,
-       round(p, 9) AS value FROM vectors WHERE forest IN (0, 3)""")
+       round(p, 9) AS value FROM vectors""")
 def forest_class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name the probabilities features, tag them with the forest id, and union the forests."""
     rows = class_vectors(spark, sf_dir).withColumnRenamed("features", "probability")
-    parts = [V.as_class_vectors(rows.filter(F.col("forest") == f).drop("forest"), f) for f in (0, 3)]
+    parts = [V.as_class_vectors(rows.filter(F.col("forest") == f).drop("forest"), f) for f in range(FORESTS)]
     return long_form(V.union_all(parts), "instance", "block", "forest")
 
 
@@ -150,12 +150,13 @@ def normalize_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mean_fold_vectors", f"""
 WITH {VECTORS_SQL}
 SELECT instance, cast(class AS INTEGER) AS pos, round(avg(p), 9) AS value
-FROM vectors WHERE forest < 3 GROUP BY instance, class""")
+FROM vectors GROUP BY instance, class""")
 def mean_fold_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element-wise mean of three fold vectors that stand in three columns."""
-    wide = class_vectors(spark, sf_dir).filter("forest < 3").groupBy("instance").agg(
-        *[F.max_by("features", F.when(F.col("forest") == f, 1)).alias(f"fold_{f}") for f in range(3)])
-    return long_form(wide.select("instance", A.mean_vectors("fold_0", "fold_1", "fold_2").alias("features")), "instance")
+    """Element-wise mean of fold vectors that stand in a column each."""
+    folds = [f"fold_{f}" for f in range(FORESTS)]
+    wide = class_vectors(spark, sf_dir).groupBy("instance").agg(
+        *[F.max_by("features", F.when(F.col("forest") == f, 1)).alias(name) for f, name in enumerate(folds)])
+    return long_form(wide.select("instance", A.mean_vectors(*folds).alias("features")), "instance")
 
 
 @query("table_dims", """
