@@ -39,10 +39,10 @@ from .contamination import small
 from .text import LOWER, cut_words, hash_words, joined, mixed, per_text
 
 COORDINATES = 64
-SMALL, DEPTH, BLOCK_SETS, BLOCK_SHINGLES = 128, 4, 1024, 600_000
+SMALL, DEPTH, BLOCK_SETS, BLOCK_SHINGLES = 128, 4, 1024, 300_000
 #: Rows of a table of sets by sets that are looked at together.
 STRIP = 512
-PIECE = 4 << 20
+PIECE = 1 << 20
 _draw = np.random.default_rng(31)
 FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 PLACES = _draw.integers(1, 2**63, 32, dtype=np.uint64) | np.uint64(1)
@@ -271,8 +271,8 @@ def compare_blocks(threshold: float) -> Callable:
     def compared(table: pa.Table) -> pa.Table:
         uid, side = table.column("uid").to_numpy(), table.column("side").to_numpy()
         copies = table.column("copies").to_numpy()
-        values = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
-        sizes = np.array([len(x) // 8 for x in table.column("shingles").to_pylist()])
+        packed, starts = joined(table.column("shingles"))
+        values, sizes = np.frombuffer(packed.tobytes(), np.uint64), np.diff(starts) // 8
         owner = np.repeat(np.arange(len(uid)), sizes)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
