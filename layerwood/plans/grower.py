@@ -250,7 +250,7 @@ class NodeArrays:
         split = ~found["is_leaf"]
         at = at[split]
         for name in ("feature", "kind", "cut", "mask", "gain"):
-            c[name][at] = found[name][split]
+            c[name][at] = found[name][split].reshape(len(at), *c[name].shape[1:])
         n, start = len(at), len(self)
         c["child"][at] = start + 2 * np.arange(n)
         if not n:
