@@ -150,3 +150,25 @@ def test_layer_tables_are_deleted(spark):
     assert fit_cascade(rows.drop("block"), config.replace(num_folds=2)).history
     assert model.transform(rows).count() == 200
     assert tables() == before
+
+
+def test_points_meet_nodes_without_a_task_per_node(spark, monkeypatch):
+    points = spark.range(0, 8_000, 1, 8).selectExpr("0 AS tree", "1L AS node", "int(id % 2) AS label", "1 AS w", "array(int(id % 5)) AS bins")
+    frontier = spark.createDataFrame([(0, 1, [(0, S.CONTINUOUS, S.ALL_CUTS)])], "tree int, node long, candidates array<struct<feature:int,kind:int,cut:int>>")
+    split = spark.createDataFrame([(0, 1, 0, 0, 2, [0], False, False, False)],
+                                  "tree int, node long, feature int, kind int, cut int, mask array<long>, left_leaf boolean, right_leaf boolean, is_leaf boolean")
+
+    def sums():
+        found = S.node_histogram(points, frontier, 2, False).collect()
+        return sorted((r["bin"], r["c0"], r["c1"]) for r in found), sorted(tuple(r) for r in S.route_points(points, split).groupBy("node").count().collect())
+
+    text = plan(S.node_histogram(points, frontier, 2, False))
+    assert "SortMergeJoin" not in text and shuffles(S.node_histogram(points, frontier, 2, False)) == 1
+    assert shuffles(S.route_points(points, split)) == 0
+    sent = sums()
+    # nodes too large to be sent: the points of the only node are dealt over its parts
+    monkeypatch.setattr(S, "SEND_BYTES", 0)
+    assert sums() == sent and sent[1] == [(2, 4_800), (3, 3_200)]
+    moved = S.route_points(points, split)
+    assert "_part" in plan(moved) and "spark_partition_id" in plan(moved).lower()
+    assert "partial_sum" in plan(S.node_histogram(points, frontier, 2, False))
