@@ -3,13 +3,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerwood import ForestConfig
-from layerwood.functions.hashing import key_hash_value
+from layerwood.functions.hashing import key_hash_value, mix_array
 from layerwood.operators import metrics as M
 from layerwood.operators import splits as S
+from layerwood.operators.sampling import poisson_cdf
+from layerwood.plans import tasks
 from layerwood.plans.cascade import fit_block_cascade, fit_cascade, out_of_fold_vectors
-from layerwood.plans.forest import fit_forest, library_forest_vectors
-from layerwood.plans.grower import fit_binning, sample_edges
+from layerwood.plans.forest import fit_forest, fit_layer, library_forest_vectors
+from layerwood.plans.grower import bin_points, fit_binning, grouped_points, plan_trees, sample_edges
 from layerwood.plans.persist import load_cascade, load_forest, save_cascade, save_forest
+from layerwood.plans.scoring import with_class_vectors
 
 
 def values(spark, per_block):
@@ -213,3 +216,72 @@ def test_scoring_keeps_rows_with_null_and_repeated_ids(spark):
     model.state_bytes = 0
     assert len(rows) == 400
     assert rows == sorted((str(r["features"]), str(np.round(r["probability"], 9))) for r in model.transform(odd).collect())
+
+
+def group_input(spark):
+    """Rows of few different values: 3 x 2 of them over two blocks and two folds, 900 times each or more."""
+    return spark.range(0, 12_000, 1, 2).selectExpr(
+        "id % 2 AS block", "int(id % 4 div 2) AS fold", "id * 7919 % 4294967296 AS row_hash", "double(id % 3 = 0) AS label",
+        "array(double(id % 3), double(id % 5 = 0)) AS features")
+
+
+def test_equal_rows_are_grouped_and_keep_their_draws(spark, monkeypatch):
+    rows = group_input(spark)
+    config = ForestConfig(trees=2, max_depth=3, seed=5)
+    binning = fit_binning(rows, [0, 1], 2, config)
+    single = sorted((r["block"], r["fold"], r["label"], bytes(r["bins"]), r["row_hash"] % tasks.MIX_RANGE) for r in bin_points(rows, binning).collect())
+
+    def groups():
+        return grouped_points(rows, binning).collect()
+
+    found = groups()
+    spread = sorted((r["block"], r["fold"], r["label"], bytes(r["bins"]), h) for r in found for h in np.frombuffer(r["hashes"], "<u4").tolist())
+    assert spread == single
+    # a level walks groups: 64 rows in each, but for one rest per value, block, fold and task
+    assert len(found) <= 12_000 / tasks.GROUP_ROWS + 2 * 24 and max(len(r["hashes"]) for r in found) == 4 * tasks.GROUP_ROWS
+
+    trees = plan_trees([[0, 1], [0, 1]], {1}, 2, config, 1, folds_out=(-1, 0, 1))
+
+    def nodes():
+        return sorted(map(str, fit_layer(rows, trees, binning, config).nodes.collect()))
+
+    grouped = nodes()
+    monkeypatch.setattr(tasks, "GROUP_ROWS", 1)
+    assert nodes() == grouped and len(grouped) > len(trees)
+
+
+def test_weights_of_groups_are_sums_of_draws():
+    rows = np.arange(1, 1_001, dtype=np.int64) * 7919
+    sizes = np.array([1, 64, 35, 400, 500])
+    tree = {"bootstrap": True, "rate": 1.0, "tree_hash": 99, "poisson": np.array([int(p * tasks.MIX_RANGE) for p in poisson_cdf(1.0)])}
+    single = np.searchsorted(tree["poisson"], mix_array(rows, 99), "right")
+    assert tasks.tree_weights(rows, tree).tolist() == single.tolist()
+    ends = np.cumsum(sizes)
+    assert tasks.group_weights(rows, sizes, tree).tolist() == [int(single[a:b].sum()) for a, b in zip(ends - sizes, ends)]
+    assert tasks.group_weights(rows, sizes, {**tree, "bootstrap": False}) is sizes
+
+
+def test_last_layer_is_not_written_and_names_only_for_progress(spark, tmp_path, monkeypatch):
+    from layerwood.plans import cascade as C
+
+    written = []
+    real = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name, path=None: written.append((name, set(df.columns))) or real(df, name, path))
+    rows = group_input(spark).selectExpr("row_hash AS instance", "block", "label", "features")
+    config = ForestConfig(rf_num=1, crf_num=1, sub_rf_num=1, trees=2, max_depth=2, max_layers=2, early_stopping_rounds=5)
+    model = C.fit_block_cascade(rows, rows.drop("block"), config)
+    assert [n for n, _ in written] == ["layer-input", "layer-1"] and all(not c & {"instance", "vector"} for _, c in written)
+    del written[:]
+    kept = C.fit_block_cascade(rows, rows.drop("block"), config, progress_path=f"{tmp_path}/fit")
+    assert [n for n, _ in written] == ["layer-input", "layer-1", "layer-2"] and {"instance", "vector"} <= written[-1][1]
+    assert kept.history == model.history and len(model.history) == 4
+
+
+def test_votes_in_groups_need_no_null_vector(spark):
+    rows = group_input(spark)
+    config = ForestConfig(trees=3, max_depth=2, seed=5)
+    layer = fit_layer(rows, plan_trees([[0, 1]], set(), 2, config, 1), fit_binning(rows, [0, 1], 2, config), config)
+    whole = with_class_vectors(rows, layer, "vector").select("row_hash", "vector").collect()
+    parts = with_class_vectors(rows, layer, "vector", state_bytes=0)
+    assert "null" not in parts._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert all(np.allclose(a["vector"], b["vector"]) for a, b in zip(sorted(whole), sorted(parts.select("row_hash", "vector").collect())))
