@@ -7,12 +7,13 @@ from layerwood.functions.hashing import key_hash_value, mix_array
 from layerwood.operators import metrics as M
 from layerwood.operators import splits as S
 from layerwood.operators.sampling import poisson_cdf
-from layerwood.plans import tasks
+from layerwood.plans import scoring, tasks
 from layerwood.plans.cascade import fit_block_cascade, fit_cascade, out_of_fold_vectors
 from layerwood.plans.forest import fit_forest, fit_layer, library_forest_vectors
 from layerwood.plans.grower import bin_points, fit_binning, grouped_points, plan_trees, sample_edges
 from layerwood.plans.persist import load_cascade, load_forest, save_cascade, save_forest
 from layerwood.plans.scoring import with_class_vectors
+from layerwood.session import materialize
 
 
 def values(spark, per_block):
@@ -277,11 +278,14 @@ def test_last_layer_is_not_written_and_names_only_for_progress(spark, tmp_path,
     assert kept.history == model.history and len(model.history) == 4
 
 
-def test_votes_in_groups_need_no_null_vector(spark):
+def test_votes_in_groups_need_no_null_vector(spark, monkeypatch):
     rows = group_input(spark)
     config = ForestConfig(trees=3, max_depth=2, seed=5)
     layer = fit_layer(rows, plan_trees([[0, 1]], set(), 2, config, 1), fit_binning(rows, [0, 1], 2, config), config)
     whole = with_class_vectors(rows, layer, "vector").select("row_hash", "vector").collect()
+    written = []
+    monkeypatch.setattr(scoring, "materialize", lambda df, name: written.append(name) or materialize(df, name))
     parts = with_class_vectors(rows, layer, "vector", state_bytes=0)
+    assert len(layer.groups(0)) == len(layer.trees) == len(written) + 1  # written between the passes only
     assert "null" not in parts._jdf.queryExecution().optimizedPlan().toString().lower()
     assert all(np.allclose(a["vector"], b["vector"]) for a, b in zip(sorted(whole), sorted(parts.select("row_hash", "vector").collect())))
