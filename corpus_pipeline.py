@@ -61,7 +61,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = remove_repeats(docs.select(COLUMNS), length=PASSAGE_BYTES)
     kept = F.col("kept").cast("string")
     whole = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("�"), F.lit("")))
-    rows = rows.filter(F.col("spans").isNull() | (F.octet_length("kept") > 0))
+    # told by the spans, as a filter on kept runs its Python a second time, in workers of its own
+    left = F.col("n_bytes") - F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    rows = rows.filter(F.col("spans").isNull() | (left > 0))
     rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole))
     return rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(
         F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(COLUMNS)

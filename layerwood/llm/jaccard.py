@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .components import components
 from .contamination import small
-from .text import LOWER, cut_words, hash_words, joined, mixed, per_text
+from .text import LOWER, cut_words, handing_back, hash_words, joined, mixed, per_text
 
 COORDINATES = 64
 SMALL, DEPTH, BLOCK_SETS, BLOCK_SHINGLES = 128, 4, 1024, 300_000
@@ -109,7 +109,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(one), pa.array(two), pa.array(sizes),
                                                   pa.array(sig, pa.binary())], ["id", "hash1", "hash2", "n", "minhash"])
 
-    return docs.mapInArrow(sketch, f"id {dict(docs.dtypes)['id']}, hash1 long, hash2 long, n long, minhash binary")
+    return docs.mapInArrow(handing_back(sketch), f"id {dict(docs.dtypes)['id']}, hash1 long, hash2 long, n long, minhash binary")
 
 
 def runs_for(recall: float) -> int:
@@ -261,7 +261,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     ids = small(materialize(wanted.select(F.col("id").alias("_id")).distinct(), "ids"))
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(packed, "hash1 long, hash2 long, shingles binary")
+    sets = texts.mapInArrow(handing_back(packed), "hash1 long, hash2 long, shingles binary")
     return sets.join(wanted.select("uid", "hash1", "hash2"), ["hash1", "hash2"]).select("uid", "shingles").dropDuplicates(["uid"])
 
 

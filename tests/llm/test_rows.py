@@ -288,6 +288,20 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in mixed} <= set(left[3]) and all(r["copies"] >= 1 for r in mixed)
 
 
+def test_repeats_stage_cuts_once(spark, tmp_path):
+    # a second run of the cutting holds a second worker per task
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghmnoprstu"), 6)) for _ in range(n))
+    passage, whole, clean = words(60), words(50), words(80)
+    rows = [(1, f"left é {passage}"), (2, f"{passage}€ right"), (3, whole), (4, whole), (4, whole), (5, clean), (6, None), (7, ""), (None, f"{whole}!")]
+    docs = spark.createDataFrame([(*r, "en", "a", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_repeats(spark, docs, str(tmp_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = collections.Counter((r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect())
+    assert got == collections.Counter([(1, "left é ", 7), (2, "€ right", 7), (5, clean, len(clean)), (6, None, 0), (7, "", 0), (None, "!", 1)])
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
