@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, short_batches
 from .components import components
 from .contamination import small
 from .text import LOWER, cut_words, handing_back, hash_words, joined, mixed, per_text
@@ -322,7 +322,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
                  recall: float = 0.99) -> DataFrame:
     """key, class_id and n_links (other rows at least this similar) of every row."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = materialize(sketched(docs, words), "sketches")
+    with short_batches(docs.sparkSession):
+        rows = materialize(sketched(docs, words), "sketches")
     sets = rows.filter("n > 0").groupBy("hash1", "hash2").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("minhash").alias("minhash"))
     sets = materialize(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")

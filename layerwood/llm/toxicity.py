@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, short_batches
 from .text import mixed
 
 ORDERS = (3, 4, 5)
@@ -179,7 +179,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     # max_features in its own group cannot be among the first, so this limit (applied in every task) drops nothing
     alike = Window.partitionBy("mark", "n0", "n1").orderBy(F.desc("z"), "gram")
     ranked = counted.filter(F.col("z") >= least_z).withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= max_features)
-    best = ranked.orderBy(F.col("nth") > same_texts, F.desc("z"), "gram").limit(max_features).collect()
+    with short_batches(docs.sparkSession):
+        best = ranked.orderBy(F.col("nth") > same_texts, F.desc("z"), "gram").limit(max_features).collect()
     if not best:
         return ToxicityModel(none.grams, none.weights, float(np.log(n1 / n0)))
     grams = np.array([r["gram"] for r in best], np.int64).view(np.uint64)
@@ -194,7 +195,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             packed = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(2), packed], ["label", "bits"])
 
-    rows = sample.mapInArrow(marked, "label int, bits binary").toPandas()
+    with short_batches(docs.sparkSession):
+        rows = sample.mapInArrow(marked, "label int, bits binary").toPandas()
     # a fixed order of rows, so that reruns give the same sums
     rows = rows.sort_values(["label", "bits"])
     bits = np.unpackbits(np.frombuffer(b"".join(map(bytes, rows["bits"])), np.uint8).reshape(len(rows), -1), axis=1)[:, :len(grams)]

@@ -14,7 +14,8 @@ from layerwood.llm.components import components
 from layerwood.llm.jaccard import jaccard_join
 from layerwood.llm.repeats import remove_repeats
 from layerwood.llm.scoring import score_documents
-from layerwood.llm.text import BLANK, LOWER, cut_words, hash_words, joined
+from layerwood.llm.text import BLANK, LOWER, cut_words, handing_back, hash_words, joined
+from layerwood.session import ARROW_ROWS, materialize, short_batches
 
 SCHEMA = "doc_id long, text string, score double, kept string, class_id string, n_words int"
 WORDS = "la le the of and ere ting sho ber ka mi no pu ra".split()
@@ -50,6 +51,22 @@ def by_row(rows, *names):
     return collections.Counter(tuple(r[n] for n in names) for r in rows)
 
 
+def test_short_batches(spark):
+    @handing_back
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    before = spark.conf.get(ARROW_ROWS)
+    rows = spark.range(0, 5_000, 1, 2).mapInArrow(sizes, "n long")
+    with short_batches(spark, 300):
+        held = [r["n"] for r in materialize(rows, "sizes").collect()]
+    assert max(held) <= 300 and sum(held) == 5_000 and spark.conf.get(ARROW_ROWS) == before
+    with pytest.raises(KeyError), short_batches(spark, 300):
+        raise KeyError
+    assert spark.conf.get(ARROW_ROWS) == before
+
+
 def test_words_and_hashes():
     column = pa.array(["Ab  cd", None, "", "cd", " x\ty "])
     flat, starts = joined(column)
