@@ -1,6 +1,7 @@
 """The other operators: their queries against SQL, and the defined cases."""
 
 import collections
+import heapq
 
 import numpy as np
 import pytest
@@ -225,6 +226,96 @@ def test_neighbours_leaves_are_measured(spark):
     assert hits / (60 * 20) >= 0.9
 
 
+def test_neighbours_queues_are_arrays():
+    # the leaves in the order in which one queue over all trees hands them on
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    forest = [neighbours.grow(x, 9, seed) for seed in range(3)]
+    asks = rng.normal(size=(5, 12)).astype(np.float32)
+    far = neighbours.queues(forest, asks)
+    start = np.cumsum([0] + [len(tree.cuts) + 1 for tree in forest])
+    assert far.shape == (5, start[-1])
+    for i, point in enumerate(asks):
+        queue, seen = [(0.0, t, 0) for t in range(3)], []
+        while queue:
+            distance, t, node = heapq.heappop(queue)
+            while node >= 0:
+                side = float(forest[t].normals[node] @ point - forest[t].cuts[node])
+                left, right = forest[t].children[node].tolist()
+                heapq.heappush(queue, (max(distance, abs(side)), t, left if side >= 0 else right))
+                node = right if side >= 0 else left
+            seen.append((start[t] - node - 1, distance))
+        places, distances = zip(*seen)
+        assert sorted(places) == list(range(start[-1])) and np.allclose(far[i][list(places)], distances, atol=1e-5)
+        assert all(far[i][neighbours.places_of(forest, point[None])[:, 0]] == 0)
+
+
+def test_neighbours_floor_is_reached(spark):
+    rng = np.random.default_rng(4)
+    x, asks, most = rng.normal(size=(400, 8)), rng.normal(size=(30, 8)), 6
+    sample = x.astype(np.float32)[:300]
+    forest = [neighbours.grow(sample, 9, seed) for seed in range(3)]
+    places = neighbours.places_of(forest, sample)
+    near = rng.random((30, sum(len(tree.cuts) + 1 for tree in forest))) < 0.1
+    near[0], near[1] = True, False
+    floor = neighbours.known_floor(asks, near, sample, places, most)
+    for i in range(30):
+        inside = near[i][places].any(axis=0)
+        assert (x[:300][inside] @ asks[i] >= floor[i]).sum() >= most or floor[i] == -np.inf
+    assert np.isclose(floor[0], np.sort(x[:300] @ asks[0])[-most]) and floor[1] == -np.inf
+    assert all(neighbours.known_floor(asks, near, sample[:5], places[:, :5], most) == -np.inf)
+
+
+@pytest.mark.parametrize("floors", [True, False])
+def test_neighbours_of_a_leaf(floors):
+    # lengths of many sizes: what reaches the floor is scored in doubles, whatever the products in single precision say
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 7)) * 10.0 ** rng.integers(-60, 60, 90)[:, None]
+    q = rng.normal(size=(40, 7)) * 10.0 ** rng.integers(-60, 60, 40)[:, None]
+    scores, most, members = q @ x[10:80].T, 5, slice(10, 80)
+    floor = np.sort(scores, axis=1)[:, -3] * (1 - 1e-9) if floors else np.full(40, -np.inf)
+    rows = list(neighbours.best_of_leaf(q, neighbours.directions(q), x, neighbours.lengths(x[members]).max(), np.arange(40), members, floor, most))
+    asker, member, score = (np.concatenate(part) for part in zip(*rows))
+    for i in range(40):
+        want = set(10 + np.argsort(-scores[i])[:3 if floors else most])
+        got = set(member[asker == i].tolist())
+        assert want <= got and all(score[asker == i] >= floor[i])
+    assert np.allclose(score, np.einsum("ij,ij->i", q[asker], x[member]), rtol=1e-12)
+
+
+def test_neighbours_buckets_hand_on_few(spark, monkeypatch):
+    # many buckets: a query's points come from the leaves that hold its best, not most of them from every bucket
+    monkeypatch.setattr(neighbours, "BUCKET_POINTS", 400)
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    handed, made = [], neighbours.candidates
+    monkeypatch.setattr(neighbours, "candidates", lambda *given: handed.append(made(*given)) or handed[-1])
+    rows = nearest(table, F.col("vec_id") % 100 == 0, search_leaves=10**6).toPandas()
+    # 90 buckets and all leaves: 21 from each bucket would be 1,890 rows a query
+    assert handed[0].count() <= 30 * 21 * 12
+    for i, found in rows.sort_values("rank").groupby("query_id"):
+        s = x.astype(float) @ x[i].astype(float)
+        s[i] = -np.inf
+        assert found["id"].tolist() == np.argsort(-s, kind="stable")[:20].tolist()
+
+
+def test_neighbours_of_words(spark):
+    # ids of text and vectors of doubles; some of them equal
+    x = np.random.default_rng(5).normal(size=(150, 5)).round(1)
+    x[100:] = x[:50]
+    ids = [f"v{i:03d}" for i in range(150)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id string, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(nearest(table, F.col("vec_id").endswith("0"), leaf_rows=8).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["id"], r["score"]))
+    assert sorted(got) == [i for i in ids if i.endswith("0")]
+    for i, found in got.items():
+        score = np.einsum("ij,ij->i", x, np.repeat(x[ids.index(i)][None], 150, axis=0))
+        want = sorted((-s, j) for s, j in zip(score, ids) if j != i)[:20]
+        assert found == [(j, -s) for s, j in want]
+
+
 def test_chat_parts(spark):
     rows = [(1, 2, "assistant", "a <|end|> \\s \\l <b"), (1, 1, "user", "hi"), (1, 1, "user", "hi"), (None, None, None, None), (2, 0, "ass<istant", "")]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", text_part(F.col("text")).alias("parts"))
