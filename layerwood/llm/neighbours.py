@@ -58,7 +58,7 @@ PAIRS = 400_000
 #: Numbers in a block of scores.
 SCORES = 4_000_000
 #: Queries whose queues are made at a time; that are sent in one row; that meet a bucket's leaves at a time.
-QUEUES, SENT, VISITORS = 64, 2_048, 20_000
+QUEUES, SENT, VISITORS = 32, 2_048, 20_000
 #: Asking points whose true neighbours are looked up to choose the number of leaves.
 PROBES = 128
 
@@ -381,7 +381,8 @@ def candidates(points: DataFrame, asking: DataFrame, forest: list[Tree], sample:
                 some = q[i:i + QUEUES]
                 far = queues(forest, raised(some, longest, query=True))
                 near = np.zeros((len(some), len(home) + 1), bool)
-                near[:, :-1] = far <= np.partition(far, taken, axis=1)[:, taken, None]
+                # numbers beyond single precision have no distance; their leaves are near
+                near[:, :-1] = ~(far > np.partition(far, taken, axis=1)[:, taken, None])
                 floor.append(known_floor(some, near, sample, places, most))
                 bits.append(np.packbits(np.take(near, slots, axis=1), axis=1))
             floor = np.concatenate(floor)
@@ -430,7 +431,7 @@ def candidates(points: DataFrame, asking: DataFrame, forest: list[Tree], sample:
                         asker, _, score = kept[0]
                         held = len(asker)
                         # the last of a full list is a floor
-                        full = np.arange(held) - np.searchsorted(asker, asker) == most - 1
+                        full = (np.arange(held) - np.searchsorted(asker, asker) == most - 1) & np.isfinite(score)
                         floor[asker[full]] = np.maximum(floor[asker[full]], score[full])
             if kept:
                 asker, member, score = best_pairs(kept, uid, order_of, most)

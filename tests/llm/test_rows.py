@@ -300,6 +300,22 @@ def test_neighbours_buckets_hand_on_few(spark, monkeypatch):
         assert found["id"].tolist() == np.argsort(-s, kind="stable")[:20].tolist()
 
 
+@pytest.mark.parametrize("size, kind", [(3e38, "float"), (1e150, "double"), (1e-150, "double")])
+def test_neighbours_of_any_size(spark, size, kind):
+    # numbers that the trees' single precision cannot hold, beside ordinary ones
+    x = np.random.default_rng(11).uniform(-1, 1, (160, 6))
+    x[:40] *= size
+    x = x.astype(np.float32) if kind == "float" else x
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = collections.defaultdict(list)
+    for r in sorted(nearest(table, F.col("vec_id") % 10 == 0, leaf_rows=8).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["id"], r["score"]))
+    x = x.astype(np.float64)
+    for i in range(0, 160, 10):
+        score = np.einsum("ij,ij->i", x, np.repeat(x[i][None], 160, axis=0))
+        assert got[i] == [(j, -s) for s, j in sorted((-s, j) for j, s in enumerate(score) if j != i)[:20]]
+
+
 def test_neighbours_of_words(spark):
     # ids of text and vectors of doubles; some of them equal
     x = np.random.default_rng(5).normal(size=(150, 5)).round(1)
